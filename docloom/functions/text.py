@@ -5,7 +5,7 @@ Every function takes and returns a Column, so Catalyst sees the whole computatio
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import settings as S
@@ -70,22 +70,31 @@ def without_prefix(base: Column) -> Column:
     return F.when(cut != base, cut)
 
 
+def _reachable(suffixes: list[str]) -> list[str]:
+    """Listed order means first fit; a suffix behind a shorter ending of itself can never be reached."""
+    return [s for i, s in enumerate(suffixes) if not any(s.endswith(t) for t in suffixes[:i])]
+
+
 def without_suffix(base: Column) -> Column:
-    """First listed suffix that leaves MIN_STEM letters removed, else NULL."""
-    expr = None
-    for s in S.SUFFIXES:
-        hit = base.endswith(s) & (F.length(base) >= len(s) + S.MIN_STEM)
-        cut = base.substr(F.lit(1), F.length(base) - len(s))
-        expr = F.when(hit, cut) if expr is None else expr.when(hit, cut)
-    return expr
+    """First listed suffix that leaves MIN_STEM letters removed, else NULL. Among reachable suffixes the longest fitting
+    one is the first listed, which is the leftmost match of one alternation."""
+    cut = F.regexp_replace(base, f"(?<=.{{{S.MIN_STEM}}})(?:{'|'.join(_reachable(S.SUFFIXES))})\\z", "")
+    return F.when(cut != base, cut)
+
 
+def explode_forms(tokens: DataFrame, token_col: str, out: str = "form") -> DataFrame:
+    """One row per index form of each token (up to four for Hebrew: base, minus prefix, minus suffix, minus both).
 
-def word_forms(token: Column) -> Column:
-    """Up to four index forms of a token: base, minus prefix, minus suffix, minus both."""
-    base = base_form(token)
-    pre = without_prefix(base)
-    hebrew = F.array_distinct(F.array_compact(F.array(base, pre, without_suffix(base), without_suffix(pre))))
-    return F.when(token.rlike(f"[{HEBREW}]"), F.filter(hebrew, lambda f: F.length(f) >= 2)).otherwise(F.array(base))
+    Built in steps so that each regex runs once per token and only on Hebrew ones."""
+    keep = [c for c in tokens.columns if c != token_col]
+    hebrew = F.col(token_col).rlike(f"[{HEBREW}]")
+    step = tokens.withColumn("_heb", hebrew).withColumn("_base", base_form(F.col(token_col)))
+    step = step.withColumn("_pre", F.when(F.col("_heb"), without_prefix(F.col("_base"))))
+    step = step.withColumn("_suf", F.when(F.col("_heb"), without_suffix(F.col("_base"))))
+    step = step.withColumn("_both", F.when(F.col("_heb") & F.col("_pre").isNotNull(), without_suffix(F.col("_pre"))))
+    forms = F.when(F.col("_heb"), F.filter(F.array_distinct(F.array_compact(F.array("_base", "_pre", "_suf", "_both"))),
+                                           lambda f: F.length(f) >= 2)).otherwise(F.array("_base"))
+    return step.select(*keep, "_base", forms.alias("_forms"))
 
 
 def title_text(filename: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import pieces
 from docloom.operators.scale import attach_groups, top_n
@@ -33,7 +34,7 @@ def duplicate_groups(docs: DataFrame, key: str = "content_sha256") -> DataFrame:
         "is_oldest", F.col("doc_id") == F.col("oldest_doc_id"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded_hash(texts: pd.Series) -> pd.Series:
     return texts.map(pieces.folded_hash)
 

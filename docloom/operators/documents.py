@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import settings as S
 from docloom.functions import pieces
@@ -97,7 +98,7 @@ def looks_mirrored(text: Column) -> Column:
     return (F.length(text) >= S.MIN_CHARS_FOR_RTL_CHECK) & (mirrored > forward + S.RTL_MARGIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unmirror(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else pieces.unmirror(t))
 

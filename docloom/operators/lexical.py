@@ -19,8 +19,10 @@ def build_postings(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     Repeats inside one text meet in the same map task, so the partial count shrinks the data before the shuffle, and the
     (lexeme, id) key spreads even a word that occurs everywhere."""
     tokens = X.lexical_tokens(F.col(text_col))
-    exploded = (rows.select("tenant_id", id_col, F.size(tokens).alias("n_tokens"), F.explode(tokens).alias("_tok"))
-                .select("tenant_id", id_col, "n_tokens", F.explode(X.word_forms(F.col("_tok"))).alias("lexeme")))
+    # the token list is a column of its own: next to explode() it would be evaluated again for every token
+    listed = rows.select("tenant_id", id_col, tokens.alias("_toks")).withColumn("n_tokens", F.size("_toks"))
+    exploded = listed.select("tenant_id", id_col, "n_tokens", F.explode("_toks").alias("_tok"))
+    exploded = X.explode_forms(exploded, "_tok").select("tenant_id", id_col, "n_tokens", F.explode("_forms").alias("lexeme"))
     return exploded.groupBy("tenant_id", "lexeme", id_col, "n_tokens").agg(F.count("*").alias("tf"))
 
 
@@ -38,9 +40,8 @@ def index_stats(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text
 def query_forms(questions: DataFrame) -> DataFrame:
     """(tenant_id, question_id, grp, form, n_groups): one group per distinct word; its forms are alternatives (L2)."""
     words = F.filter(X.lexical_tokens(F.col("question")), lambda t: ~F.lower(t).isin(S.QUERY_STOP_WORDS))
-    w = (questions.select("tenant_id", "question_id", F.explode(words).alias("_tok"))
-         .select("tenant_id", "question_id", X.base_form(F.col("_tok")).alias("_base"),
-                 F.array_sort(X.word_forms(F.col("_tok"))).alias("_forms"))
+    w = (X.explode_forms(questions.select("tenant_id", "question_id", F.explode(words).alias("_tok")), "_tok")
+         .withColumn("_forms", F.array_sort("_forms"))
          .filter((F.size("_forms") > 0) & ~F.col("_base").isin(S.QUERY_STOP_WORDS)))
     # bounded: the distinct words of one question
     grouped = (w.groupBy("tenant_id", "question_id").agg(F.array_sort(F.collect_set("_forms")).alias("_groups")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import settings as S
 from docloom.functions import pieces
@@ -14,6 +15,7 @@ from docloom.functions import text as X
 from docloom.operators.documents import turn_segment
 from docloom.operators.scale import top_n, with_next
 
+_NOTABLE = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("span", "string"))
 _MATCH = "array<struct<lexicon_id:string,term:string,surface_form:string,start:int,end:int>>"
 BROADCAST_ENTRIES = 20_000
 BROADCAST_CHARS = 32 << 20
@@ -94,12 +96,13 @@ def _match_by_words(texts: DataFrame, entries: DataFrame) -> DataFrame:
             .withColumn("_m", find("text", "_e")))
 
 
-@F.pandas_udf("array<struct<start:int,end:int,span:string>>")
+@F.pandas_udf(_NOTABLE)
 def _notable(texts: pd.Series) -> pd.Series:
     return pd.Series([[dict(start=s, end=e, span=t) for s, e, t in pieces.notable_spans(v or "")] for v in texts], dtype=object)
 
 
-_SPAN = "array<struct<start:int,end:int,span:string,kind:string,lexicon_id:string,term:string>>"
+_SPAN = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("span", "string").add("kind", "string")
+                    .add("lexicon_id", "string").add("term", "string"))
 
 
 @F.pandas_udf(_SPAN)

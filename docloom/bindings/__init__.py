@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("catalog_reports", "catalog_text", "catalog_retrieval")
+_MODULES = ("catalog_reports", "catalog_text", "catalog_retrieval", "catalog_governance", "catalog_answers")
 
 
 def load_catalog() -> tuple[dict, dict]:

@@ -104,8 +104,18 @@ FROM (SELECT doc_id, tenant_id, effective_date, position - 1 AS position, regexp
 WHERE text <> ''"""
 
 
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The event log as a file stream."""
+    files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet")
+    return files.parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    return raw(spark, d, "events").selectExpr(
+    return as_queries(raw(spark, d, "events"))
+
+
+def as_queries(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS query_id", "concat('t', user_id % 7) AS tenant_id",
         "CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS user_id",
         "CASE WHEN event_id % 41 = 0 THEN NULL ELSE concat(user_id, '-', cast(ts as date)) END AS conversation_id",

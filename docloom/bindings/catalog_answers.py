@@ -287,7 +287,9 @@ def stream_term_usage(s, d):
 
 @query("stream_refinement_pairs", "q", _NEXT.replace("TIMESTAMP '2024-01-05'", "TIMESTAMP '2023-01-01'") + " SELECT tenant_id, conversation_id, CAST(query_id AS VARCHAR) AS from_query_id, CAST(nq AS VARCHAR) AS to_query_id FROM pr")
 def stream_refinement_pairs(s, d):
-    return _drain(s, T.refinement_pairs_stream(B.as_queries(B.event_stream(s, d))), "pairs")
+    root = _scratch(s, "pairs")
+    T.refinement_pairs_by_batch(B.as_queries(B.event_stream(s, d)), root).awaitTermination()
+    return s.read.parquet(f"{root}/pairs").select("tenant_id", "conversation_id", F.col("from_query_id").cast("string"), F.col("to_query_id").cast("string"))
 
 
 @query("stream_feedback", "q", _FEEDBACK + " SELECT q.query_id, coalesce(fb, CASE WHEN tagged AND q.feedback IS NULL THEN 'negative' END, q.feedback) AS feedback FROM q LEFT JOIN st USING (query_id)")

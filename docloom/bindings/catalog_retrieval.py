@@ -10,6 +10,7 @@ from docloom.bindings.registry import day, query
 from docloom.operators import answers as H
 from docloom.operators import documents as P
 from docloom.operators import fusion as R
+from docloom.operators import lexical as L
 from docloom.operators import vector as V
 from docloom.plans.retrieve import hybrid_retrieve as plan
 from docloom.session import store_table
@@ -109,7 +110,8 @@ def _inputs(s, d):
 
 def _retrieved(s, d, **options):
     questions, chunks, docs = _inputs(s, d)
-    return plan(questions, chunks, docs, as_of_year=B.AS_OF_YEAR, **options)
+    postings = store_table(L.build_postings(chunks), "postings")
+    return plan(questions, chunks, docs, postings, store_table(L.document_frequencies(postings), "frequencies"), as_of_year=B.AS_OF_YEAR, **options)
 
 
 _HYBRID = """qz AS (SELECT * FROM mq), qe AS (""" + B.SQL["qe"] + """), """ + _index_sql("c", "chunk_id", "text") + """,

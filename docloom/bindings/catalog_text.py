@@ -10,6 +10,7 @@ from docloom.functions import text as X
 from docloom.operators import documents as P
 from docloom.operators import lexical as L
 from docloom.operators import lexicon as V
+from docloom.session import store_table
 
 # --- P: documents ----------------------------------------------------------------------------------------------------------
 
@@ -212,15 +213,15 @@ def document_frequencies(s, d):
        + " SELECT question_id, chunk_id, score, rank FROM lex")
 def lexical_search(s, d):
     c = B.chunks(s, d, "org")
-    out = L.lexical_search(B.question_lines(s, d), L.build_postings(c), L.index_stats(c), 20)
+    out = L.lexical_search(B.question_lines(s, d), store_table(L.build_postings(c), "postings"), L.index_stats(c), 20)
     return out.select("question_id", "chunk_id", "score", "rank")
 
 
 @query("title_search", "d", _index_sql("(SELECT doc_id, translate(regexp_replace(filename, '[.][^.]*$', ''), '-_,./\\()[]', '          ') AS title FROM d)", "doc_id", "title")
-       + ", qz AS (SELECT doc_id AS question_id, source || ' or ' || lang AS question FROM documents), " + _search_sql("doc_id", 5) + " SELECT question_id, doc_id, rank FROM lex")
+       + ", qz AS (SELECT DISTINCT source || lang AS question_id, source || ' or ' || lang AS question FROM documents), " + _search_sql("doc_id", 5) + " SELECT question_id, doc_id, rank FROM lex")
 def title_search(s, d):
     docs = B.docs(s, d).withColumn("tenant_id", F.lit("org"))
-    q = B.raw(s, d, "documents").selectExpr("'org' AS tenant_id", "doc_id AS question_id", "concat(source, ' or ', lang) AS question")
+    q = B.raw(s, d, "documents").selectExpr("'org' AS tenant_id", "concat(source, lang) AS question_id", "concat(source, ' or ', lang) AS question").distinct()
     return L.title_search(q, docs).select("question_id", "doc_id", "rank")
 
 
@@ -228,7 +229,16 @@ def title_search(s, d):
        + " SELECT question_id, rank, chunk_id, substr(text, 1, 400) AS excerpt FROM lex JOIN c USING (chunk_id)")
 def peek(s, d):
     c = B.chunks(s, d, "org")
-    return L.peek(B.question_lines(s, d), L.build_postings(c), L.index_stats(c), c)
+    return L.peek(B.question_lines(s, d), store_table(L.build_postings(c), "postings"), L.index_stats(c), c)
+
+
+@query("lexical_search_by_shuffle", "c ql", _index_sql("c", "chunk_id", "text") + ", qz AS (SELECT * FROM ql), " + _search_sql("chunk_id", 20)
+       + " SELECT question_id, chunk_id, score, rank FROM lex")
+def lexical_search_by_shuffle(s, d):
+    # the route of a question table too large to broadcast
+    c = B.chunks(s, d, "org")
+    out = L.lexical_search(B.question_lines(s, d), store_table(L.build_postings(c), "postings"), L.index_stats(c), 20, small_forms=0)
+    return out.select("question_id", "chunk_id", "score", "rank")
 
 
 # --- X: lexicon ------------------------------------------------------------------------------------------------------------------

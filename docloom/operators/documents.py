@@ -92,10 +92,12 @@ def gate(docs: DataFrame, force: bool = False) -> DataFrame:
 
 def looks_mirrored(text: Column) -> Column:
     """True when mirrored function words clearly outnumber forward ones (P5)."""
-    zero = F.lit(0)
-    forward = sum((X.count_of(text, w) for w in S.RTL_FUNCTION_WORDS), zero)
-    mirrored = sum((X.count_of(text, w[::-1]) for w in S.RTL_FUNCTION_WORDS), zero)
-    return (F.length(text) >= S.MIN_CHARS_FOR_RTL_CHECK) & (mirrored > forward + S.RTL_MARGIN)
+    def check(t: Column) -> Column:
+        forward = sum((X.count_of(t, w) for w in S.RTL_FUNCTION_WORDS), F.lit(0))
+        mirrored = sum((X.count_of(t, w[::-1]) for w in S.RTL_FUNCTION_WORDS), F.lit(0))
+        return (F.length(t) >= S.MIN_CHARS_FOR_RTL_CHECK) & (mirrored > forward + S.RTL_MARGIN)
+    # bound to a lambda variable, so a computed text is built once and not per counted word
+    return F.exists(F.array(text), check)
 
 
 @F.pandas_udf(T.StringType())

@@ -311,8 +311,13 @@ def flag_report(flags: DataFrame, docs: DataFrame, chunks: DataFrame, status: st
 
     def section(name: str) -> DataFrame:
         return chunks.select(F.col("chunk_id").alias(f"{name}_chunk_id"), F.col("section_path").alias(f"{name}_section"))
+    # many flags carry no chunk: those join on a key of their own instead of meeting on NULL in one task
+    for c in ("new_chunk_id", "existing_chunk_id"):
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.concat(F.lit("none:"), F.col("flag_id").cast("string"))))
     out = (rows.join(doc("new"), "new_doc_id", "left").join(doc("existing"), "existing_doc_id", "left")
            .join(section("new"), "new_chunk_id", "left").join(section("existing"), "existing_chunk_id", "left"))
+    for c in ("new_chunk_id", "existing_chunk_id"):
+        out = out.withColumn(c, F.when(~F.col(c).startswith("none:"), F.col(c)))
     linked = F.coalesce((F.col("_new_to") == F.col("existing_doc_id")), F.lit(False)) | F.coalesce(
         F.col("_existing_to") == F.col("new_doc_id"), F.lit(False))
     both = F.col("new_filename").isNotNull() & F.col("existing_filename").isNotNull()

@@ -50,40 +50,60 @@ def query_forms(questions: DataFrame) -> DataFrame:
             .select("tenant_id", "question_id", "n_groups", "grp", F.explode("_forms").alias("form")))
 
 
-def lexical_search(questions: DataFrame, postings: DataFrame, stats: DataFrame, k: int | None, id_col: str = "chunk_id",
-                   allowed: DataFrame | None = None, limit_col: str | None = None) -> DataFrame:
+SMALL_FORMS = 200_000
+SEED_GROUPS = 3
+SEED_SPREAD = 10
+
+
+def lexical_search(questions: DataFrame, postings: DataFrame, stats: DataFrame, k: int, id_col: str = "chunk_id",
+                   allowed: DataFrame | None = None, limit_col: str | None = None, frequencies: DataFrame | None = None,
+                   small_forms: int = SMALL_FORMS) -> DataFrame:
     """Texts matching every word group of a question, BM25 score, best first (L2): (question_id, <id>, score, rank).
 
-    Each question starts from its rarest group, so a frequent word is only checked against the few candidates (by the
-    well-spread (lexeme, id) key) and its posting list is never expanded. ``allowed`` restricts ids before ranking.
-    ``k`` bounds every question; ``limit_col`` in questions may lower the bound per question."""
+    * Only posting lists of asked words are looked at. When the question forms fit ``small_forms`` rows (checked by a
+      bounded fetch) they are broadcast and that cut happens in the scan; otherwise it is a shuffle join.
+    * Each question starts from its rarest groups (up to three, none ten times as common as the rarest); a frequent word is
+      only checked against the few candidates they share, by the well-spread (lexeme, id) key.
+
+    ``allowed`` (unique ids) restricts texts before ranking. ``k`` bounds every question; ``limit_col`` in questions may
+    lower the bound per question. ``frequencies`` is a stored document_frequencies table; without it the frequencies of
+    the asked words are counted."""
     forms = query_forms(questions)
-    df = document_frequencies(postings)
-    weighed = (forms.join(df.withColumnRenamed("lexeme", "form"), ["tenant_id", "form"], "left")
-               .withColumn("df", F.coalesce("df", F.lit(0))))
-    group_df = weighed.groupBy("tenant_id", "question_id", "grp").agg(F.sum("df").alias("_gdf"))
-    driver = group_df.groupBy("tenant_id", "question_id").agg(
-        F.min(F.struct("_gdf", "grp")).alias("_d")).filter("_d._gdf > 0").select(
-        "tenant_id", "question_id", F.col("_d.grp").alias("grp"))
-    live = weighed.filter("df > 0")
-    seed = live.join(driver, ["tenant_id", "question_id", "grp"], "left_semi")
-    base = postings if allowed is None else postings.join(allowed.select(id_col), id_col, "left_semi")
-    cand = (seed.select("tenant_id", "question_id", F.col("form").alias("lexeme"))
-            .join(base.select("tenant_id", "lexeme", id_col), ["tenant_id", "lexeme"])
-            .select("tenant_id", "question_id", id_col).distinct())
-    checks = cand.join(live, ["tenant_id", "question_id"])
-    hits = checks.withColumnRenamed("form", "lexeme").join(
-        postings, ["tenant_id", "lexeme", id_col]).join(stats, "tenant_id")
+    fetched = forms.limit(small_forms + 1).toArrow() if small_forms else None
+    small = fetched is not None and fetched.num_rows <= small_forms
+    if small:
+        forms = questions.sparkSession.createDataFrame(fetched)
+    side = F.broadcast if small else (lambda df: df)
+    lexemes = forms.select("tenant_id", F.col("form").alias("lexeme")).distinct()
+    wanted = postings.join(side(lexemes), ["tenant_id", "lexeme"])
+    df = frequencies.join(side(lexemes), ["tenant_id", "lexeme"]) if frequencies is not None else document_frequencies(wanted)
+    # bounded: the word groups of one question
+    per_group = (forms.join(df.withColumnRenamed("lexeme", "form"), ["tenant_id", "form"], "left")
+                 .groupBy("tenant_id", "question_id", "n_groups", "grp")
+                 .agg(F.sum("df").alias("_gdf"), F.collect_list(F.when(F.col("df") > 0, F.struct(F.col("form").alias("lexeme"), "df"))).alias("_fs")))
+    per_question = (per_group.groupBy("tenant_id", "question_id", "n_groups")
+                    .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_gdf", F.lit(0)).alias("n"), "grp", "_fs"))).alias("_gs"))
+                    .filter(F.col("_gs")[0]["n"] > 0))
+    seeds = F.filter(F.slice("_gs", 1, SEED_GROUPS), lambda g: g["n"] <= SEED_SPREAD * F.col("_gs")[0]["n"])
+    live = (per_question.select("tenant_id", "question_id", "n_groups", F.size(seeds).alias("_n_seeds"), F.posexplode("_gs").alias("_at", "_g"))
+            .select("tenant_id", "question_id", "n_groups", "_n_seeds", "_at", F.col("_g.grp").alias("grp"), F.explode("_g._fs").alias("_f"))
+            .select("tenant_id", "question_id", "n_groups", "_n_seeds", "_at", "grp", "_f.*"))
+    if small:  # no more rows than forms
+        live = questions.sparkSession.createDataFrame(live.toArrow(), schema=live.schema)
+    seed = live.filter("_at < _n_seeds").select("tenant_id", "question_id", "lexeme", "_n_seeds", F.expr("shiftleft(1, _at)").alias("_bit"))
+    cand = (wanted.select("tenant_id", "lexeme", id_col).join(side(seed), ["tenant_id", "lexeme"])
+            .groupBy("tenant_id", "question_id", id_col, "_n_seeds").agg(F.bit_or("_bit").alias("_bits"))
+            .filter(F.expr("_bits = shiftleft(1, _n_seeds) - 1")).select("tenant_id", "question_id", id_col))
+    if allowed is not None:
+        cand = cand.join(allowed.select(id_col), id_col)
+    hits = (cand.join(side(live.drop("_n_seeds", "_at")), ["tenant_id", "question_id"]).join(wanted, ["tenant_id", "lexeme", id_col]).join(stats, "tenant_id"))
     idf = F.log(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_tokens") / F.col("avg_tokens"))
-    scored = (hits.withColumn("_s", idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm))
-              .groupBy("question_id", id_col, "n_groups")
-              .agg(F.count_distinct("grp").alias("_matched"), F.round(F.sum("_s"), 9).alias("score"))
+    per_word = (hits.withColumn("_s", idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)))
+    scored = (per_word.groupBy("question_id", id_col, "n_groups")
+              .agg(F.size(F.collect_set("grp")).alias("_matched"), F.round(F.sum("_s"), 9).alias("score"))
               .filter("_matched = n_groups").drop("_matched", "n_groups"))
-    order = [F.col("score").desc(), F.col(id_col).asc()]
-    if k is None:
-        return scored
-    ranked = top_n(scored, ["question_id"], order, k, "rank")
+    ranked = top_n(scored, ["question_id"], [F.col("score").desc(), F.col(id_col).asc()], k, "rank")
     if limit_col:
         ranked = (ranked.join(questions.select("question_id", F.col(limit_col).alias("_lim")), "question_id")
                   .filter("rank <= _lim").drop("_lim"))
@@ -100,8 +120,8 @@ def title_search(questions: DataFrame, docs: DataFrame, k: int = S.TITLE_DOCS) -
 
 
 def peek(questions: DataFrame, postings: DataFrame, stats: DataFrame, chunks: DataFrame, k: int = 2,
-         max_chars: int = 400) -> DataFrame:
+         max_chars: int = 400, **options) -> DataFrame:
     """Short excerpts of the best lexical hits (L4)."""
-    hits = lexical_search(questions, postings, stats, k)
+    hits = lexical_search(questions, postings, stats, k, **options)
     return (hits.join(chunks.select("chunk_id", "text"), "chunk_id")
             .select("question_id", "rank", "chunk_id", F.col("text").substr(1, max_chars).alias("excerpt")))

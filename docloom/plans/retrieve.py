@@ -38,7 +38,7 @@ def with_document_columns(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, postings: DataFrame | None = None,
-                    k: int = 5, as_of_year: int = 2024, include_superseded: bool = False,
+                    frequencies: DataFrame | None = None, k: int = 5, as_of_year: int = 2024, include_superseded: bool = False,
                     scorer: fusion.Scorer | None = None, amendments: DataFrame | None = None,
                     resolutions: DataFrame | None = None, history: DataFrame | None = None,
                     matched_terms: DataFrame | None = None, lanes: tuple[str, ...] = ("vector", "bm25", "title", "year"),
@@ -61,7 +61,7 @@ def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, po
         allowed = None if include_superseded else meta
         lane["lexical"] = lexical.lexical_search(
             q.withColumn("_limit", 4 * F.col("k")), index, lexical.index_stats(chunks), 4 * bound,
-            allowed=allowed, limit_col="_limit")
+            allowed=allowed, limit_col="_limit", frequencies=frequencies)
     if "title" in lanes:
         lane["title"] = vector.seed_by_title(q, lexical.title_search(q, live_docs), full)
     if "year" in lanes:

@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom import settings as S
 from docloom.operators.answers import FeedbackResult, apply_feedback
+from docloom.operators.documents import turn_segment
+from docloom.operators.lexicon import failed, succeeded
+from docloom.operators.scale import with_next
 from docloom.sources.corpus import shape_files
 
 
@@ -61,7 +64,6 @@ _LAST = "query_id string, failed boolean"
 def refinement_pairs_stream(queries: DataFrame, idle: str = "2 days", ts: str = "created_at") -> DataFrame:
     """Failed-then-succeeded neighbours per thread (T5). State is one turn per thread, dropped after ``idle`` of event time;
     turns are paired in (turn, time) order within a batch and across batches as they arrive."""
-    from docloom.operators.lexicon import failed, succeeded
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     rows = (queries.filter("conversation_id is not null").withWatermark(ts, idle)
             .select(F.col("tenant_id").cast("string").alias("tenant_id"), F.col("conversation_id").cast("string").alias("conversation_id"),
@@ -73,15 +75,16 @@ def refinement_pairs_stream(queries: DataFrame, idle: str = "2 days", ts: str =
         if state.hasTimedOut:
             state.remove()
             return
-        turns = pd.concat(list(batches)).sort_values(["turn", "at", "query_id"])
+        turns = sorted(row for b in batches for row in zip(b["turn"], b["at"], b["query_id"], b["failed"], b["succeeded"]))
         before = state.get if state.exists else None
-        out = []
-        for t in turns.itertuples():
-            if before is not None and before[1] and t.succeeded:
-                out.append((key[0], key[1], before[0], t.query_id))
-            before = (t.query_id, bool(t.failed))
+        out, latest = [], turns[0][1]
+        for _, at, query_id, failed_, succeeded_ in turns:
+            if before is not None and before[1] and succeeded_:
+                out.append((key[0], key[1], before[0], query_id))
+            before = (query_id, bool(failed_))
+            latest = max(latest, at)
         state.update(before)
-        state.setTimeoutTimestamp(max(int(turns["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"])
 
@@ -89,6 +92,32 @@ def refinement_pairs_stream(queries: DataFrame, idle: str = "2 days", ts: str =
         pair, _PAIR, _LAST, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def refinement_pairs_by_batch(queries: DataFrame, root: str, ts: str = "created_at", idle_days: int = 2) -> StreamingQuery:
+    """The same pairs in bulk (T5): every micro-batch is windowed on the JVM together with the last turn kept per thread.
+
+    Writes ``root/pairs/batch=N`` and ``root/last/batch=N``; batch N reads the turns kept by batch N - 1, so repeating a
+    batch after a failure writes the same folders again. Threads silent for ``idle_days`` are let go."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cols = ["tenant_id", "conversation_id", "query_id", "turn_index", "confidence", "feedback", ts]
+        turns = batch.filter("conversation_id is not null").select(*cols, F.lit(1).alias("_new"))
+        kept_path = f"{root}/last/batch={batch_id - 1}"
+        if batch_id > 0:
+            turns = spark.read.schema(turns.schema).parquet(kept_path).unionByName(turns)
+        ordered = turns.withColumn("_turn", F.coalesce("turn_index", F.lit(2_147_483_647)))
+        nxt = with_next(ordered, ["conversation_id"], ["_new", "_turn", ts, "query_id"], F.concat_ws("/", "_new", F.lpad(turn_segment("turn_index", ts).cast("string"), 20, "0")),
+                        ["query_id", "confidence", "feedback"])
+        pairs = nxt.filter(F.col("next").isNotNull() & F.coalesce(failed(), F.lit(False)) & F.coalesce(succeeded("next."), F.lit(False)))
+        pairs.select("tenant_id", "conversation_id", F.col("query_id").alias("from_query_id"), F.col("next.query_id").alias("to_query_id")).write.mode(
+            "overwrite").parquet(f"{root}/pairs/batch={batch_id}")
+        last = (ordered.groupBy("conversation_id").agg(F.max_by(F.struct(*[c for c in cols if c != "conversation_id"]), F.struct("_new", "_turn", ts, "query_id")).alias("_l"))
+                .select("conversation_id", "_l.*").select(*cols, F.lit(0).alias("_new")))
+        newest = last.agg(F.max(ts)).first()[0]
+        live = last.filter(F.col(ts) >= F.lit(newest) - F.make_dt_interval(F.lit(idle_days))) if newest is not None else last
+        live.write.mode("overwrite").parquet(kept_path.replace(f"batch={batch_id - 1}", f"batch={batch_id}"))
+    return queries.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
 def feedback_stream(events: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]],
                     save: Callable[[FeedbackResult, int], None], checkpoint: str) -> StreamingQuery:
     """Apply feedback events as they arrive (T6): ``load`` gives (queries, answers), ``save`` stores the new state."""

@@ -112,6 +112,7 @@ def mining_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(cut, lambda t: (F.length(t) >= 3) & ~t.isin(S.MINING_STOP_WORDS)))
 
 
+# Quoted phrases (three quote styles) and acronyms.
 QUOTED_PATTERN = (
     '"([^"\\n]{2,40})"'
     f"|(?<![{HEBREW}])״([^״\\n]{{2,40}})״(?![{HEBREW}])"

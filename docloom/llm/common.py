@@ -34,8 +34,8 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def hot_rows(counted: DataFrame, count: str, share: int = HOT_SHARE) -> DataFrame:
     """Rows of a table of key counts whose count exceeds the ``share``-th part of the sum: fewer than ``share`` rows by arithmetic."""
-    total = counted.agg(F.sum(count).alias("_total"))
-    return counted.join(F.broadcast(total), F.col(count) * share > F.col("_total")).drop("_total")
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return counted.filter(F.col(count) * share > total)
 
 
 def labelled_sample(labels: DataFrame, column: str, modulus: int, rest: int, rows: int) -> DataFrame:

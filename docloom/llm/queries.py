@@ -20,6 +20,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,3 +53,63 @@ def op8_line_dedup(spark, sf_dir):
 def op9_exact_dedup(spark, sf_dir):
     from docloom.llm.digest_tree import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    from docloom.llm.packing import pack
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_quality")
+def op7_quality(spark, sf_dir):
+    from docloom.llm.common import fold_is
+    from docloom.llm.quality import fit, score
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels"), "quality", 5, 0))
+    return scored.select("doc_id", fold_is("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_langid")
+def op10_langid(spark, sf_dir):
+    from docloom.llm.common import fold_is
+    from docloom.llm.langid import identify, learn_dictionaries
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn_dictionaries(docs)).select("doc_id", fold_is("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op4_pii")
+def op4_pii(spark, sf_dir):
+    from docloom.llm.pii import KINDS, detect
+    found = detect(table(spark, sf_dir, "documents"))
+    counts = [F.regexp_count("spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    from docloom.llm.common import fold_is
+    from docloom.llm.toxicity import fit, scored
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2))
+    return found.select("doc_id", fold_is("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_minhash_dedup", r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, p, p + 4), ' ') AS shingle
+          FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+    c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n USING (doc_id)""")
+def op3_minhash_dedup(spark, sf_dir):
+    from docloom.llm.minhash import near_components
+    return near_components(table(spark, sf_dir, "documents"))

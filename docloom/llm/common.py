@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,9 +48,32 @@ def labelled_sample(labels: DataFrame, column: str, modulus: int, rest: int, row
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def byte_lists(column: pa.Array) -> list[bytes]:
-    """Python bytes of an Arrow binary column."""
-    return column.to_pylist()
+#: Blocks in which task sums of a matrix meet.
+SLOTS = 64
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(part.as_py(), np.float64)
+            total[slot] = total[slot] + values if slot in total else values
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slot", "part"])
+
+
+def sum_over(table: DataFrame, function: Callable[[pa.RecordBatch, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
+    """Sum of a matrix of fixed shape that every task computes over its rows: cut in SLOTS blocks, summed block by block, then collected."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            function(batch, total)
+        cut = np.array_split(total.ravel(), SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["slot", "part"])
+
+    kind = "slot int, part binary"
+    rows = table.mapInArrow(partial, kind).repartition(F.col("slot")).mapInArrow(_summed, kind).collect()
+    parts = {r["slot"]: np.frombuffer(r["part"], np.float64) for r in rows}
+    return np.concatenate([parts[k] for k in range(SLOTS)]).reshape(shape) if parts else np.zeros(shape)
 
 
 # --- hashing of whole texts, vectorised over bytes -------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,13 @@ from docloom.llm.common import fold_is
 ROWS, DICT_BYTES = 64, 112_640
 LEVEL, PIECE_CHARS, MARGIN = 3, 12_000, 0.01
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower case, with one space for whatever stands between letters: case, marks and layout say little about the language."""
+    return _NO_LETTER.sub(" ", text.lower())
+
 
 def learn_dictionaries(docs: DataFrame, rows: int = ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows outside the held-out fold, drawn by a hash of the id. Each drawn text gives an equal
@@ -27,7 +35,7 @@ def learn_dictionaries(docs: DataFrame, rows: int = ROWS, dict_bytes: int = DICT
     found: dict[str, list[tuple]] = {}
     for row in drawn.select("lang", "at", middle.alias("part")).collect():
         found.setdefault(row["lang"], []).append((len(row["part"]), row["at"], row["part"]))
-    return {lang: "\n".join(x[2].lower() for x in sorted(parts)).encode()[-dict_bytes:] for lang, parts in sorted(found.items())}
+    return {lang: " ".join(letters(x[2]) for x in sorted(parts)).encode()[-dict_bytes:] for lang, parts in sorted(found.items())}
 
 
 def _judge(dictionaries: dict[str, bytes]):
@@ -48,8 +56,9 @@ def _judge(dictionaries: dict[str, bytes]):
                     out.append(("und", 0.0, True))
                     continue
                 sizes = [0] * len(langs)
+                text = letters(text)
                 for at in range(0, len(text), PIECE_CHARS):  # short inputs keep the dictionary within reach
-                    piece = text[at : at + PIECE_CHARS].lower().encode()
+                    piece = text[at : at + PIECE_CHARS].encode()
                     for k, packer in enumerate(packers):
                         sizes[k] += len(packer.compress(piece))
                 best = min(range(len(langs)), key=lambda k: (sizes[k], k))

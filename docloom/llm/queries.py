@@ -113,3 +113,15 @@ def op1_toxicity(spark, sf_dir):
 def op3_minhash_dedup(spark, sf_dir):
     from docloom.llm.minhash import near_components
     return near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark, sf_dir):
+    from docloom.llm.decontam import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@query("op5_attention_lm")
+def op5_attention_lm(spark, sf_dir):
+    from docloom.llm.attention_lm import score
+    return score(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import labelled_sample
 
 #: At most SAMPLE labelled rows are learned from. Evidence needs MIN_SEEN toxic texts and a lower bound (Z deviations) of PRECISION.
-SAMPLE, MIN_SEEN, Z, PRECISION = 20_000, 5, 3.5, 0.3
+SAMPLE, MIN_SEEN, Z, PRECISION = 20_000, 5, 3.5, 0.5
 SYMBOLS = 40  # 0 is the border of a word, 1-26 are a-z, other letters share the rest
 MEMO = 300_000
+MOST = 3
 
 # Signs and the letters they stand for; cost of each act of the channel in nats.
 _SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -153,22 +155,28 @@ class Decoder:
         return " ".join([w for t in low.split() if (w := self.word(t))] + self.spaced(low))
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings, which stand for its stem."""
+def stems(word: str) -> list[str]:
+    """The word itself and its beginnings."""
     return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
 
 
+def features(counts: Counter) -> list[str]:
+    """A feature for each stem and each number of times, up to MOST, that the text reaches."""
+    return [f"{k}{stem}" for stem, n in counts.items() for k in range(1, min(n, MOST) + 1)]
+
+
 def _evidence(cost: np.ndarray, wanted: frozenset | None):
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(cost)
         for batch in batches:
             rows = []
             for text in batch.column(0):
-                words = set(decoder.restore(text.as_py()).split())
+                words = decoder.restore(text.as_py()).split()
                 if not words:
                     continue
                 cluster = max(words, key=lambda w: (len(w), w))  # near copies share their longest word, so they count about once
-                rows += [(f, cluster) for f in {f for w in words for f in features(w)} if wanted is None or f in wanted]
+                found = features(Counter(s for w in words for s in stems(w)))
+                rows += [(f, cluster) for f in found if wanted is None or f in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["feature", "cluster"])
     return collect
 
@@ -201,32 +209,36 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
 def _scorer(model):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder, evidence, floor = Decoder(model.value["cost"]), model.value["evidence"], model.value["floor"]
-        memo: dict[str, float] = {}
+        known = {f[1:] for f in evidence}
+        memo: dict[str, tuple] = {}
         for batch in batches:
             out = []
             for text in batch:
                 low = (text.as_py() or "").lower()
-                hits: dict[str, float] = {}
-                for token in set(low.split()):
-                    p = memo.get(token)
-                    if p is None:
+                met: Counter = Counter()
+                for token in low.split():
+                    hit = memo.get(token)
+                    if hit is None:
                         if len(memo) >= MEMO:
                             memo.clear()
                         word = decoder.word(token)
-                        p = memo[token] = max((evidence.get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
-                    if p:
-                        hits[token] = p
+                        hit = memo[token] = tuple(s for s in stems(word) if s in known) if word else ()
+                    if hit:
+                        met.update(hit)
                 for word in decoder.spaced(low):
-                    if p := max(evidence.get(f, 0.0) for f in features(word)):
-                        hits[f" {word}"] = p
-                out.append(1 - (1 - floor) * math.prod(1 - hits[t] for t in sorted(hits)))
+                    met.update(s for s in stems(word) if s in known)
+                doubts: dict[str, float] = {}  # stems that begin alike are one piece of evidence
+                for feature in features(met):
+                    if p := evidence.get(feature):
+                        doubts[feature[2:6]] = min(doubts.get(feature[2:6], 1.0), 1 - p)
+                out.append(1 - (1 - floor) * math.prod(doubts[s] for s in sorted(doubts)))
             yield pa.array(out, pa.float64())
     return F.arrow_udf(score, "double")
 
 
 def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1 for each row's whole text: one less the product of the doubts that the evidence of its
-    distinct words leaves.
+    """``docs`` with a column of scores from 0 to 1 for each row's whole text: one less the product of the doubts that its evidence leaves, where
+    evidence is a word or a beginning of words met once, twice or more often.
 
     Null, empty and letterless texts get the floor, half the share of label 1 and never over 0.25. Without labelled rows there is no evidence and
     the floor is 0. Equal texts get equal scores; other columns are kept as they are, one named ``column`` is replaced.

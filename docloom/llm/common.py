@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,17 @@ def labelled_sample(labels: DataFrame, column: str, modulus: int, rest: int, row
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Matrix products of a task stay on its own core: Spark runs a task on each, and threads of many tasks would only wait for each other."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 #: Blocks in which task sums of a matrix meet.
 SLOTS = 64
 
@@ -64,6 +78,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sum_over(table: DataFrame, function: Callable[[pa.RecordBatch, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
     """Sum of a matrix of fixed shape that every task computes over its rows: cut in SLOTS blocks, summed block by block, then collected."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         total = np.zeros(shape)
         for batch in batches:
             function(batch, total)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import raw_text, sum_over
+from docloom.llm.common import one_blas_thread, raw_text, sum_over
 from docloom.session import store_table
 
 DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
@@ -139,6 +139,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _searcher(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         model = shared.value
         weight, side, scales = model["weight"], model["side"], model["scales"]
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import labelled_sample, raw_text, word_hashes
+from docloom.llm.common import labelled_sample, one_blas_thread, raw_text, word_hashes
 
 #: At most SAMPLE labelled rows are fitted on: 4096 x (64 + 1) floats are broadcast, about 1 MB.
 SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, BLOCK = 4096, 64, 25, 8, 512
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: in
 
 def _voter(model):
     def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one_blas_thread()
         idf, basis, points, labels = (model.value[k] for k in ("idf", "basis", "points", "labels"))
         prior = (labels.sum() + 0.5) / (len(labels) + 1)
         for batch in batches:

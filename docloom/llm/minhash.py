@@ -112,23 +112,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links (a, b): the smallest node reachable. Large-star and small-star rounds contract every
-    component to a star in a logarithmic number of rounds."""
+    component to a star in a logarithmic number of rounds. The minimum of a node is stored before it is joined, so that Spark can split the
+    rows of a node with very many links over tasks."""
     edges = store_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = store_table(least.withColumn("m", F.least("u", "m")), "stars")
-        met = _attach(both, least, ["u"], "n", "inner")
-        out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else \
-            met.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = store_table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars")
+        met = both.join(least, "u")
+        if large:
+            out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return store_table(out.filter("u <> v").distinct(), "edges")
 
     mark = None
     for _ in range(max_rounds):
         edges = star(star(edges, True), False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
     else:
@@ -218,8 +220,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     mixed = store_table(mixed.filter("low <> high").select("band", "n"), "mixed")
     open_nodes = store_table(_attach(placed, mixed, ["band"], "n", "inner").select("node", "component").distinct(), "open")
     rest = store_table(_remaining(open_nodes, sets), "pairs")
-    links = links.unionByName(_verified(rest, sets))
-    found = store_table(components(links), "components")
+    more = store_table(_verified(rest, sets), "links")
+    if not more.isEmpty():  # the stars found so far and the new links between them
+        joined = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+        found = store_table(components(joined), "components")
 
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     named = store_table(found.withColumnRenamed("node", "rep").join(sizes, "rep"), "named")

@@ -12,7 +12,7 @@ from docloom.bindings.catalog_text import _NEXT, _usage_events
 from docloom.bindings.registry import day, query, us
 from docloom.operators import answers as H
 from docloom.operators import documents as P
-from docloom.operators.dedup import with_text_hash
+from docloom.operators.dedup import with_content_hash, with_text_hash
 from docloom.plans.ingest import ingest_batch
 from docloom.session import ensure_checkpoint_dir
 from docloom.sources import corpus as C
@@ -153,12 +153,12 @@ def folder_suggestions(s, d):
     return _picks(s, d)[1].select("tenant_id", "proposed_name", "source_doc_id", "status")
 
 
-@query("folder_acceptance", "d", """sg AS (SELECT doc_id AS suggestion_id, tenant_id, 'folder_' || (doc_id % 30) AS name FROM d WHERE lang <> 'es'), hv AS (SELECT DISTINCT tenant_id, 'folder_3' AS name FROM d),
+@query("folder_acceptance", "d", """sg AS (SELECT doc_id AS suggestion_id, tenant_id, 'folder_' || (doc_id % 30) AS name FROM d), hv AS (SELECT DISTINCT tenant_id, 'folder_3' AS name FROM d),
 x AS (SELECT sg.*, row_number() OVER (PARTITION BY sg.tenant_id, sg.name ORDER BY suggestion_id) AS rn, hv.name IS NOT NULL AS have FROM sg LEFT JOIN hv ON hv.tenant_id = sg.tenant_id AND hv.name = sg.name)
 SELECT suggestion_id, CASE WHEN NOT have AND rn = 1 THEN 'accepted' ELSE 'duplicate' END AS status FROM x""")
 def folder_acceptance(s, d):
     docs = B.docs(s, d)
-    sug = docs.filter("lang <> 'es'").selectExpr("doc_id AS suggestion_id", "tenant_id", "concat('folder_', doc_id % 30) AS proposed_name", "'d' AS proposed_description", "doc_id AS source_doc_id", "'pending' AS status")
+    sug = docs.selectExpr("doc_id AS suggestion_id", "tenant_id", "concat('folder_', doc_id % 30) AS proposed_name", "'d' AS proposed_description", "doc_id AS source_doc_id", "'pending' AS status")
     accepts = sug.selectExpr("suggestion_id", "cast(null as string) AS name", "cast(null as string) AS description")
     tax = docs.selectExpr("tenant_id", "'folder_3' AS name", "'d' AS description", "true AS active").distinct()
     return H.accept_suggestions(accepts, sug, tax, docs)[0].select("suggestion_id", "status")
@@ -166,8 +166,8 @@ def folder_acceptance(s, d):
 
 # --- H8: model batches ---------------------------------------------------------------------------------------------------------------------
 
-_PROMPT = """ld AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn FROM c) WHERE rn <= 8 GROUP BY 1),
-pr AS (SELECT doc_id, filename || chr(10) || chr(10) || substr(body, 1, 4000) AS prompt FROM ld JOIN d USING (doc_id))"""
+_PROMPT = """ld AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS body FROM c GROUP BY 1),
+pr AS (SELECT doc_id, filename || chr(10) || chr(10) || body AS prompt FROM ld JOIN d USING (doc_id))"""
 
 
 @query("classifier_input", "c", _PROMPT + " SELECT doc_id, sha256(prompt) AS h FROM pr")
@@ -183,9 +183,12 @@ def batch_inference(s, d):
 
 # --- S: storage and ingest -------------------------------------------------------------------------------------------------------------------
 
-@query("corpus_files")
+@query("corpus_files", "", r"""SELECT item_id, text, octet_length(encode(text)) AS length FROM (SELECT item_id, regexp_replace(text, '\n', ' ', 'g') || chr(10) AS text FROM benchmark)""")
 def corpus_files(s, d):
-    return C.read_corpus(s, d, "*.parquet").select("filename", "length")
+    root = _scratch(s, "corpus")  # every passage becomes a text file of its own
+    B.raw(s, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("item_id").text(root)
+    files = C.read_corpus(s, root)
+    return files.select(F.regexp_extract("path", "item_id=(\\d+)", 1).cast("bigint").alias("item_id"), "text", "length")
 
 
 @query("typed_scan", "d", "SELECT tenant_id, count(*) AS n, sum(length(filename))::BIGINT AS chars FROM d WHERE tenant_id IN ('src1', 'src2') GROUP BY 1")
@@ -228,75 +231,105 @@ def ingest_chunks(s, d):
     return _ingested(s, d).chunks.select("chunk_id", "text")
 
 
-@query("ingest_flags")
+@query("ingest_flags", "d", r"""st AS (SELECT doc_id, ingested_at, text, replace(lower(strip_accents(text)), 'ß', 'ss') AS low FROM d WHERE doc_id IN (SELECT doc_id FROM labels)),
+h AS (SELECT *, nullif(regexp_replace(low, '[^\p{L}\p{N}]', '', 'g'), '') AS h FROM st), ol AS (SELECT h, arg_min(doc_id, (ingested_at, doc_id)) AS oldest FROM h WHERE h IS NOT NULL GROUP BY 1),
+nw AS (SELECT doc_id, h, row_number() OVER (PARTITION BY upper(text) ORDER BY ingested_at, doc_id) AS rn FROM h)
+SELECT 1000000000 + doc_id AS new_doc_id, oldest AS existing_doc_id FROM nw JOIN ol USING (h) WHERE rn = 1""")
 def ingest_flags(s, d):
-    return _ingested(s, d).flags.select("new_doc_id", "existing_doc_id")
+    """The stored documents arrive again in another format: a heading mark and capitals."""
+    stored = B.docs(s, d).withColumn("tenant_id", F.lit("org")).join(B.raw(s, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    new = stored.select("tenant_id", (F.col("doc_id") + 1_000_000_000).alias("doc_id"), "filename", F.concat(F.lit("# "), F.upper("text")).alias("text"),
+                        F.lit(None).cast("int").alias("pages"), F.lit(False).alias("extraction_partial"), (F.col("ingested_at") + F.expr("INTERVAL 10 YEARS")).alias("ingested_at"))
+    return ingest_batch(new, with_text_hash(stored), B.flags(s, d).limit(0), profile="lines").flags.select("new_doc_id", "existing_doc_id")
 
 
 # --- T: streams --------------------------------------------------------------------------------------------------------------------------------
 
-def _drain(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all waiting files and read what it wrote."""
+def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream in append mode over all waiting files and read what it wrote."""
     root = _scratch(spark, name)
-    out = f"{root}/out"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        job = writer.format("parquet").start(out)
-    else:
-        job = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    writer.format("parquet").start(f"{root}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-@query("stream_ingest")
+@query("stream_ingest", "", r"""WITH t AS (SELECT min(item_id) AS i, rtrim(text, ' ' || chr(9) || chr(10)) AS text FROM (SELECT item_id, regexp_replace(text, '\n', ' ', 'g') AS text FROM benchmark) GROUP BY 2)
+SELECT text FROM t""")
 def stream_ingest(s, d):
     root = _scratch(s, "arrivals")
-    # the passages land as text files, one passage per line; the file stream picks the files up
-    B.raw(s, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("value")).repartition(8, "item_id").select("value").write.text(f"{root}/in")
+    # every passage lands as a text file in three deliveries; the first delivery comes again at the end and must add nothing
+    passages = B.raw(s, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("value"))
+    n = passages.count()
+    for k in (0, 1, 2, 0):
+        passages.filter(F.col("item_id") % 3 == k).write.mode("append").partitionBy("item_id").text(f"{root}/in")
+    taken: list[int] = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(F.lit("org").alias("tenant_id"), F.sha2("content", 256).alias("doc_id"), "filename", "text", F.lit(None).cast("int").alias("pages"),
+        named = batch.select(F.lit("org").alias("tenant_id"), F.sha2("path", 256).alias("doc_id"), "filename", "text", F.lit(None).cast("int").alias("pages"),
                              F.lit(False).alias("extraction_partial"), F.col("modified_at").alias("ingested_at"))
-        none = named.select("tenant_id", "doc_id", "ingested_at", F.lit(None).cast("string").alias("content_sha256"), F.lit(None).cast("string").alias("text_sha256")).limit(0)
+        named = with_content_hash(named)
+        if any(b < batch_id for b in taken):
+            stored = s.read.parquet(*[f"{root}/documents/batch={b}" for b in taken if b < batch_id])
+        else:
+            stored = named.withColumn("text_sha256", F.lit(None).cast("string")).limit(0)
         flags = named.select(F.col("doc_id").alias("new_doc_id"), F.col("doc_id").alias("existing_doc_id")).limit(0)
-        ingest_batch(named, none, flags, profile="lines").chunks.select("doc_id", "position", "text").write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
-    T.ingest_stream(s, f"{root}/in", f"{root}/checkpoint", sink).awaitTermination()
-    return s.read.parquet(f"{root}/chunks").select("position", "text")
+        result = ingest_batch(named, stored, flags, profile="lines")
+        result.documents.select("tenant_id", "doc_id", "content_sha256", "text_sha256", "ingested_at").write.mode("overwrite").parquet(f"{root}/documents/batch={batch_id}")
+        result.chunks.select("doc_id", "position", "text").write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
+        taken.append(batch_id)
+    T.ingest_stream(s, f"{root}/in", f"{root}/checkpoint", sink, max_files=n).awaitTermination()
+    return s.read.parquet(f"{root}/chunks").select("text")
 
 
-@query("stream_first_attempts", "", "SELECT DISTINCT 't' || (user_id % 7) AS tenant_id, user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS key FROM events")
+_KEY = """CASE user_id % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN ' ' WHEN 2 THEN concat('  ', user_id, '-', CAST(ts AS DATE), ' ')
+  WHEN 3 THEN concat(repeat('k', 120), user_id % 10, repeat('x', 8), event_id) ELSE concat(user_id, '-', CAST(ts AS DATE)) END"""
+
+
+@query("stream_first_attempts", "", f"""WITH a AS (SELECT 't' || (user_id % 7) AS tenant_id, event_id, ts, substring(trim({_KEY.replace('AS STRING', 'AS VARCHAR')}), 1, 128) AS key FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, key ORDER BY ts, event_id) AS rn FROM a)
+SELECT tenant_id, CASE WHEN key <> '' THEN key END AS key, event_id FROM r WHERE rn = 1 OR key IS NULL OR key = ''""")
 def stream_first_attempts(s, d):
-    a = B.event_stream(s, d).selectExpr("concat('t', user_id % 7) AS tenant_id", "concat(user_id, '-', cast(ts as date)) AS key", "ts AS created_at")
-    return _drain(s, T.first_attempts(a, "60 days"), "attempts").select("tenant_id", "key")
+    a = B.event_stream(s, d).selectExpr("concat('t', user_id % 7) AS tenant_id", "event_id", f"{_KEY} AS key", "ts AS created_at")
+    out = _drain(s, T.first_attempts(a, "60 days", order=("event_id",)), "attempts")
+    return out.select("tenant_id", F.when(F.trim("key") != "", F.col("key")).alias("key"), "event_id")
 
 
-@query("stream_weekly_activity", "q", """SELECT tenant_id, CAST(CAST(date_trunc('week', created_at + INTERVAL 26 HOUR) - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS week_start, count(*) AS questions,
-  count(*) FILTER (confidence = 'refused') AS refused FROM q WHERE golden_id IS NULL GROUP BY 1, 2""")
+@query("stream_weekly_activity", "q", """w AS (SELECT tenant_id, user_id, confidence, created_at + INTERVAL 2 HOUR AS local, date_trunc('week', created_at + INTERVAL 26 HOUR) - INTERVAL 1 DAY AS week_start FROM q WHERE golden_id IS NULL)
+SELECT tenant_id, CAST(CAST(week_start AS DATE) AS VARCHAR) AS week_start, count(*) AS questions, count(*) FILTER (confidence = 'refused') AS refused, count(DISTINCT user_id) AS active_users
+FROM w WHERE week_start + INTERVAL 7 DAY <= (SELECT max(local) - INTERVAL 2 DAY FROM w) GROUP BY 1, 2""")
 def stream_weekly_activity(s, d):
-    out = _drain(s, T.weekly_activity_stream(B.as_queries(B.event_stream(s, d))), "weekly", "complete")
-    return out.select("tenant_id", day("week_start"), "questions", "refused")
+    out = _drain(s, T.weekly_activity_stream(B.as_queries(B.event_stream(s, d))), "weekly")
+    return out.select("tenant_id", day("week_start"), "questions", "refused", "active_users")
 
 
-@query("stream_term_usage", "", """ev AS (SELECT event_type AS lexicon_id, ts, date_trunc('day', ts) AS d0 FROM events),
-w AS (SELECT lexicon_id, ts, d0 + to_days(CAST(i AS INTEGER)) AS as_of FROM ev, range(1, 31) r(i))
-SELECT lexicon_id, epoch_us(as_of) AS as_of, count(*) AS match_count_30d, epoch_us(max(ts)) AS last_matched_at FROM w GROUP BY 1, 2""".replace("ev AS", "WITH ev AS", 1))
+@query("stream_term_usage", "", """WITH ev AS (SELECT event_type AS lexicon_id, ts, date_trunc('day', ts) AS d0 FROM events),
+cl AS (SELECT * FROM ev WHERE d0 + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)),
+w AS (SELECT lexicon_id, ts, d0 + to_days(CAST(i AS INTEGER)) AS as_of FROM cl, range(1, 31) r(i))
+SELECT lexicon_id, epoch_us(as_of) AS as_of, count(*) AS match_count_30d, epoch_us(max(ts)) AS last_matched_at FROM w GROUP BY 1, 2""")
 def stream_term_usage(s, d):
     e = B.event_stream(s, d).selectExpr("'org' AS tenant_id", "event_type AS lexicon_id", "ts AS created_at")
-    return _drain(s, T.term_usage_stream(e), "usage", "complete").select("lexicon_id", us("as_of"), "match_count_30d", us("last_matched_at"))
+    rolling = T.rolling_usage(_drain(s, T.daily_usage_stream(e), "usage"))
+    return rolling.select("lexicon_id", us("as_of"), "match_count_30d", us("last_matched_at"))
 
 
 @query("stream_refinement_pairs", "q", _NEXT.replace("TIMESTAMP '2024-01-05'", "TIMESTAMP '2023-01-01'") + " SELECT tenant_id, conversation_id, CAST(query_id AS VARCHAR) AS from_query_id, CAST(nq AS VARCHAR) AS to_query_id FROM pr")
 def stream_refinement_pairs(s, d):
-    root = _scratch(s, "pairs")
-    T.refinement_pairs_by_batch(B.as_queries(B.event_stream(s, d)), root).awaitTermination()
-    return s.read.parquet(f"{root}/pairs").select("tenant_id", "conversation_id", F.col("from_query_id").cast("string"), F.col("to_query_id").cast("string"))
+    return _drain(s, T.refinement_pairs_stream(B.as_queries(B.event_stream(s, d))), "pairs")
 
 
 @query("stream_feedback", "q", _FEEDBACK + " SELECT q.query_id, coalesce(fb, CASE WHEN tagged AND q.feedback IS NULL THEN 'negative' END, q.feedback) AS feedback FROM q LEFT JOIN st USING (query_id)")
 def stream_feedback(s, d):
     root = _scratch(s, "feedback")
 
+    def load(batch_id):
+        if not batch_id:
+            return B.queries(s, d), _answer_table(s, d)
+        return s.read.parquet(f"{root}/queries/batch={batch_id - 1}"), s.read.parquet(f"{root}/answers/batch={batch_id - 1}")
+
     def save(result, batch_id):
-        result.queries.select("query_id", "feedback").write.mode("overwrite").parquet(f"{root}/queries")
-    T.feedback_stream(_events(B.event_stream(s, d)), lambda: (B.queries(s, d), _answer_table(s, d)), save, f"{root}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{root}/queries")
+        result.queries.write.mode("overwrite").parquet(f"{root}/queries/batch={batch_id}")
+        result.answers.write.mode("overwrite").parquet(f"{root}/answers/batch={batch_id}")
+        done.append(batch_id)
+    done: list[int] = []
+    T.feedback_stream(_events(B.event_stream(s, d)), load, save, f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/queries/batch={done[-1]}").select("query_id", "feedback")

@@ -121,7 +121,7 @@ def validate_links(s, d):
     return G.validate_links(m, offered, chunks, docs, res).drop("topic", "evidence_span")
 
 
-@query("gap_report", "c re", """SELECT chunk_id, c.doc_id, filename, forum, CAST(d.effective_date AS VARCHAR) AS doc_date, section_path, substr(c.text, 1, 500) AS text FROM c JOIN d USING (doc_id)
+@query("gap_report", "c re", """SELECT chunk_id, c.doc_id, filename, forum, CAST(d.effective_date AS VARCHAR) AS doc_date, section_path, c.text AS text FROM c JOIN d USING (doc_id)
 WHERE decision_type = 'escalation' AND chunk_id NOT IN (SELECT escalation_chunk_id FROM re)""")
 def gap_report(s, d):
     return G.gap_report(B.chunks(s, d), B.docs(s, d), B.resolutions(s, d)).withColumn("doc_date", day("doc_date"))
@@ -209,7 +209,7 @@ def flag_report(s, d):
 
 
 @query("resolution_report", "c re", """SELECT resolution_id, coalesce(a.filename, '?') AS escalation_filename, coalesce(b.filename, '?') AS terminal_filename, b.forum AS terminal_forum, x.section_path AS escalation_section,
-  substr(x.text, 1, 500) AS escalation_text, substr(y.text, 1, 500) AS terminal_text, needs_review
+  x.text AS escalation_text, y.text AS terminal_text, needs_review
 FROM re LEFT JOIN d a ON a.doc_id = escalation_doc_id LEFT JOIN d b ON b.doc_id = terminal_doc_id LEFT JOIN c x ON x.chunk_id = escalation_chunk_id LEFT JOIN c y ON y.chunk_id = terminal_chunk_id""")
 def resolution_report(s, d):
     return G.resolution_report(B.resolutions(s, d), B.docs(s, d), B.chunks(s, d)).select(

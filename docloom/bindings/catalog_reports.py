@@ -188,7 +188,7 @@ def review_queue(s, d):
 
 _DEBUG = """k AS (SELECT *, coalesce(conversation_id, 'q:' || query_id) AS thread_key, coalesce(feedback = 'negative' AND failure_mode = 'retrieval_miss', false) AS flagged FROM q),
 f AS (SELECT *, count(*) OVER (PARTITION BY thread_key) AS flagged_count, row_number() OVER (PARTITION BY thread_key ORDER BY created_at DESC, query_id DESC) AS rn FROM k WHERE flagged),
-top AS (SELECT * FROM f WHERE rn = 1 ORDER BY created_at DESC, thread_key LIMIT 50)"""
+top AS (SELECT * FROM f WHERE rn = 1)"""
 
 
 @query("debug_queue", "q", _DEBUG + """ SELECT thread_key, tenant_id, epoch_us(created_at) AS latest_flagged_at, flagged_count,
@@ -212,7 +212,7 @@ def debug_sources(s, d):
 
 
 @query("conversation_summary", "t", """SELECT conversation_id, count(*) AS turn_count, arg_max(question, turn_index) FILTER (question <> '') AS last_user_question,
-  arg_max(answer, turn_index) FILTER (answer <> '') AS last_assistant_answer, substr(arg_max(question, turn_index) FILTER (question <> ''), 1, 60) AS title FROM t GROUP BY 1""")
+  arg_max(answer, turn_index) FILTER (answer <> '') AS last_assistant_answer, arg_max(question, turn_index) FILTER (question <> '') AS title FROM t GROUP BY 1""")
 def conversation_summary(s, d):
     q = B.turns(s, d)
     conv = q.select("conversation_id").distinct().withColumn("title", F.lit(None).cast("string"))

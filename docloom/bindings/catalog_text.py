@@ -89,11 +89,12 @@ def ingest_gate(s, d):
 
 
 @query("rtl_repair", "d", r"""m AS (SELECT doc_id, 'נמ לש תא לע אל יכ ' || reverse(replace(text, chr(10), ' ')) AS text FROM d WHERE length(text) >= 182)
-SELECT doc_id, length(text) AS chars FROM m""")
+SELECT doc_id, sha256(trim(regexp_replace(array_to_string(list_transform(list_reverse(regexp_extract_all(text, '[0-9A-Za-z._/\-]+|[^0-9A-Za-z._/\-]+')),
+  lambda g: CASE WHEN regexp_matches(g, '^[0-9A-Za-z._/\-]') THEN g ELSE reverse(g) END), ''), ' +', ' ', 'g'))) AS fixed FROM m""")
 def rtl_repair(s, d):
     # long texts mirrored behind mirrored function words; shorter ones are below the length the check asks for
     mirrored = B.docs(s, d).select("doc_id", F.concat(F.lit("נמ לש תא לע אל יכ "), F.reverse(F.translate("text", "\n", " "))).alias("text"))
-    return P.repair_rtl(mirrored).select("doc_id", F.length("text").alias("chars"))
+    return P.repair_rtl(mirrored).select("doc_id", F.sha2("fixed_text", 256).alias("fixed"))
 
 
 _DATED = r"""f AS (SELECT doc_id, effective_date, CASE doc_id % 5 WHEN 1 THEN regexp_extract(filename, '\d{4}-\d{2}-\d{2}')
@@ -267,9 +268,15 @@ def match_terms_by_words(s, d):
     return _match_counts(V.match_terms(_texts(s, d), B.lexicon(s, d), broadcast_entries=0))
 
 
-@query("annotations")
+@query("annotations", "lx", r"""fm AS (SELECT lexicon_id, term, unnest(list_distinct(surface_forms)) AS form FROM lx WHERE status = 'active'),
+sg AS (SELECT doc_id, unnest(parts) AS w, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS parts FROM documents)),
+ps AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) - length(w) AS s FROM sg)
+SELECT doc_id AS text_id, s AS "start", s + length(w) AS "end", w AS span, 'known' AS kind, lexicon_id, term FROM ps JOIN fm ON w = form
+UNION ALL SELECT doc_id, length(text) + 2, length(text) + 16 + length(CAST(doc_id AS VARCHAR)), 'quoted phrase ' || doc_id, 'candidate', NULL, NULL FROM documents""")
 def annotations(s, d):
-    return V.annotate(_texts(s, d), B.lexicon(s, d)).drop("tenant_id")
+    # every text ends in a quoted phrase that no entry knows
+    quoted = _texts(s, d).withColumn("text", F.concat("text", F.lit(' "quoted phrase '), F.col("text_id").cast("string"), F.lit('"')))
+    return V.annotate(quoted, B.lexicon(s, d)).drop("tenant_id")
 
 
 @query("match_events", "lx", _MATCH + " SELECT DISTINCT text_id, lexicon_id, surface_form, 'retrieval' AS context FROM mt")
@@ -323,7 +330,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY n DESC, candida
 kn AS (SELECT lower(term) AS k FROM lx UNION SELECT lower(unnest(surface_forms)) FROM lx)"""
 
 
-@query("gap_mining", "c t lx", _GAP + " SELECT candidate, doc_freq, query_freq, signal, rank FROM rk WHERE rank <= 15 AND candidate NOT IN (SELECT k FROM kn)")
+@query("gap_mining", "c t lx", _GAP + " SELECT candidate, doc_freq, query_freq, signal FROM rk WHERE candidate NOT IN (SELECT k FROM kn)")
 def gap_mining(s, d):
     q = B.turns(s, d).withColumn("tenant_id", F.lit("org"))
     return V.mine_gaps(B.chunks(s, d, "org"), q, B.lexicon(s, d), F.lit("2024-01-02").cast("timestamp"), query_min=2, doc_max=60).drop("tenant_id")

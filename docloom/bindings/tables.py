@@ -6,10 +6,13 @@ parquet files. Attributes the driver data lacks (type, forum, dates, edges …)
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import documents as P
+from docloom.session import ensure_checkpoint_dir
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_YEAR = 2024
@@ -104,10 +107,16 @@ FROM (SELECT doc_id, tenant_id, effective_date, position - 1 AS position, regexp
 WHERE text <> ''"""
 
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The event log as a file stream."""
-    files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet")
-    return files.parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
+    """The event log as a file stream that arrives in ``parts`` files, oldest first, one in each micro-batch."""
+    events = raw(spark, d, "events")
+    low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+    for k in range(parts):  # in turn, so that the files' times are in order
+        events.filter(part == k).repartition(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:

@@ -267,35 +267,38 @@ class DebugQueue:
     sources: DataFrame   # chunks of the last flagged turn in stored order
 
 
-def debug_queue(queries: DataFrame, chunks: DataFrame, docs: DataFrame, n: int = 50) -> DebugQueue:
-    """Threads with flagged turns, latest first (A13). Turns without a thread stand alone. Turns and sources are separate
-    row sets, because a thread has no upper length."""
+def debug_queue(queries: DataFrame, chunks: DataFrame, docs: DataFrame, n: int | None = None) -> DebugQueue:
+    """Threads with flagged turns (A13), all or the latest ``n`` of each tenant. Turns without a thread stand alone. Turns and sources are
+    separate row sets, because a thread has no upper length; a reader sorts them."""
     q = queries.withColumn("thread_key", _thread_key()).withColumn(
         "flagged", F.coalesce((F.col("feedback") == "negative") & (F.col("failure_mode") == "retrieval_miss"), F.lit(False)))
     last = F.struct("query_id", "tenant_id", "created_at", "retrieval_debug", "source_chunk_ids")
     flagged = (q.filter("flagged").groupBy("thread_key")
-               .agg(F.count("*").alias("flagged_count"), F.max_by(last, F.struct("created_at", "query_id")).alias("_last"))
-               .orderBy(F.col("_last.created_at").desc(), "thread_key").limit(n))
-    turns = q.join(F.broadcast(flagged.select("thread_key")), "thread_key", "left_semi")  # at most n keys
+               .agg(F.count("*").alias("flagged_count"), F.max_by(last, F.struct("created_at", "query_id")).alias("_last")))
+    if n is not None:
+        flagged = top_n(flagged.withColumn("_tenant", F.col("_last.tenant_id")), ["_tenant"], [F.col("_last.created_at").desc(), F.col("thread_key")], n).drop("_tenant")
+    turns = q.join(flagged.select("thread_key"), "thread_key", "left_semi")
     sizes = turns.groupBy("thread_key").agg(F.count("*").alias("turn_count"))
     threads = flagged.join(sizes, "thread_key").select(
         "thread_key", "_last.tenant_id", F.col("_last.created_at").alias("latest_flagged_at"), "flagged_count", "turn_count",
-        F.col("_last.query_id").alias("last_query_id"), "_last.retrieval_debug").orderBy(F.col("latest_flagged_at").desc(), "thread_key")
+        F.col("_last.query_id").alias("last_query_id"), "_last.retrieval_debug")
     cited = flagged.select("thread_key", F.posexplode("_last.source_chunk_ids").alias("ord", "chunk_id"))
     sources = (cited.join(chunks.select("chunk_id", "doc_id", "section_path", "text"), "chunk_id")
-               .join(docs.select("doc_id", "filename"), "doc_id").orderBy("thread_key", "ord"))
+               .join(docs.select("doc_id", "filename"), "doc_id"))
     ordered = turns.select("thread_key", "query_id", "turn_index", "question", "answer", "confidence", "created_at", "flagged")
-    return DebugQueue(threads, ordered.orderBy("thread_key", F.col("turn_index").asc_nulls_last(), "created_at", "query_id"), sources)
+    return DebugQueue(threads, ordered, sources)
 
 
-def conversation_summary(conversations: DataFrame, queries: DataFrame) -> DataFrame:
-    """Turn count, last question, last answer and display title per thread."""
+def conversation_summary(conversations: DataFrame, queries: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Turn count, last question, last answer and display title per thread (A14); a title made of the last question may be cut for display."""
+    asked = F.col("last_user_question") if title_chars is None else F.col("last_user_question").substr(1, title_chars)
+
     def last(col: str) -> Column:
         return F.max_by(col, F.when(F.col(col) != "", turn_order()))
     s = queries.filter("conversation_id is not null").groupBy("conversation_id").agg(
         F.count("*").alias("turn_count"), last("question").alias("last_user_question"), last("answer").alias("last_assistant_answer"))
     return (conversations.join(s, "conversation_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
-            .withColumn("title", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("last_user_question").substr(1, 60))))
+            .withColumn("title", F.coalesce(F.when(F.col("title") != "", F.col("title")), asked)))
 
 
 def transcript(queries: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:

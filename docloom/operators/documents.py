@@ -100,18 +100,24 @@ def looks_mirrored(text: Column) -> Column:
     return F.exists(F.array(text), check)
 
 
-@F.pandas_udf(T.StringType())
-def _unmirror(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else pieces.unmirror(t))
+def unmirror(text: Column) -> Column:
+    """Visually ordered right-to-left lines in reading order. A line is a row of segments, runs of Latin letters and digits and what stands
+    between them; the segments change places, and only those between the runs are turned."""
+    # fixed value: what belongs to a left-to-right run
+    run = "0-9A-Za-z._/\\-"
 
+    def line(t: Column) -> Column:
+        segments = F.regexp_extract_all(t, F.lit(f"([{run}]+|[^{run}]+)"), F.lit(1))
+        turned = F.transform(F.reverse(segments), lambda s: F.when(s.rlike(f"^[{run}]"), s).otherwise(F.reverse(s)))
+        return X.strip_ws(F.regexp_replace(F.array_join(turned, ""), " +", " "))
+    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
-def repair_rtl(chunks: DataFrame, mirrored_docs: DataFrame | None = None) -> DataFrame:
-    """Repaired rows only: chunks of the given documents, or every chunk that itself looks mirrored (P5).
 
-    The filter runs on the JVM, so Python sees just the rows that need repair."""
+def repair_rtl(chunks: DataFrame, mirrored_docs: DataFrame | None = None) -> DataFrame:
+    """Repaired rows only: chunks of the given documents, or every chunk that itself looks mirrored (P5)."""
     broken = (chunks.join(mirrored_docs.select("doc_id").distinct(), "doc_id", "left_semi") if mirrored_docs is not None
               else chunks.filter(looks_mirrored(F.col("text"))))
-    return broken.withColumn("fixed_text", _unmirror("text")).filter("not (text <=> fixed_text)")
+    return broken.withColumn("fixed_text", unmirror(F.col("text"))).filter("not (text <=> fixed_text)")
 
 
 def backfill_dates(docs: DataFrame) -> DataFrame:

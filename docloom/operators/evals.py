@@ -100,8 +100,8 @@ def golden_totals(report: DataFrame) -> DataFrame:
 
 
 def run_history(runs: DataFrame, n: int = 20) -> DataFrame:
-    """Latest n runs per tenant, at most 100."""
-    return top_n(runs, ["tenant_id"], [F.col("started_at").desc(), F.col("run_id")], min(n, 100), "rank")
+    """Latest n runs per tenant."""
+    return top_n(runs, ["tenant_id"], [F.col("started_at").desc(), F.col("run_id")], n, "rank")
 
 
 def upsert_goldens(existing: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:

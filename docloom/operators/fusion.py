@@ -56,9 +56,9 @@ def boost(scored: DataFrame, chunk_meta: DataFrame, as_of_year: int) -> DataFram
 
 
 def effective_k(questions: DataFrame, k: int = 5) -> DataFrame:
-    """Per-question k (F8): ranges of three or more years widen it to span + 2, at most 15."""
+    """Per-question k (F8): ranges of three or more years widen it to span + 2, at most to 15; a caller's larger k stays."""
     span = F.col("year_to") - F.col("year_from") + 1
-    return questions.withColumn("k", F.when(span >= 3, F.least(F.greatest(F.lit(k), span + 2), F.lit(S.MAX_RANGE_K)))
+    return questions.withColumn("k", F.when(span >= 3, F.greatest(F.lit(k), F.least(span + 2, F.lit(S.MAX_RANGE_K))))
                                 .otherwise(F.lit(k)))
 
 
@@ -69,9 +69,10 @@ def candidates(scored: DataFrame, ks: DataFrame, k_bound: int) -> DataFrame:
     return cut.join(ks, "question_id").filter(F.col("fused_rank") <= F.greatest(4 * F.col("k"), F.lit(12)))
 
 
-def rerank_text() -> Column:
+def rerank_text(title_chars: int | None = None) -> Column:
     """Chunk text behind a bracketed hint: type or title, date, section, non-adopted status."""
-    title = X.blank_to_null(F.regexp_replace("filename", "\\.[^.]*\\z", "").substr(1, 40))
+    stem = F.regexp_replace("filename", "\\.[^.]*\\z", "")
+    title = X.blank_to_null(stem if title_chars is None else stem.substr(1, title_chars))
 
     def numbered(word: str, col: str) -> Column:
         return F.concat_ws(" ", F.lit(word), X.blank_to_null(F.col(col)))

@@ -214,11 +214,11 @@ def validate_links(matches: DataFrame, offered: DataFrame, chunks: DataFrame, do
 
 
 def gap_report(chunks: DataFrame, docs: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Escalations without any resolution row, newest document first."""
+    """Escalations without any resolution row (G8), whole texts. A reader sorts by doc_date."""
     d = docs.select("doc_id", "filename", "forum", F.col("effective_date").alias("doc_date"))
-    return (chunks.filter("decision_type = 'escalation'").select("chunk_id", "doc_id", "section_path", F.col("text").substr(1, 500).alias("text"))
+    return (chunks.filter("decision_type = 'escalation'").select("chunk_id", "doc_id", "section_path", "text")
             .join(resolutions.select(F.col("escalation_chunk_id").alias("chunk_id")), "chunk_id", "left_anti")
-            .join(d, "doc_id").orderBy(F.col("doc_date").desc_nulls_last(), "chunk_id"))
+            .join(d, "doc_id"))
 
 
 # --- reconciliation --------------------------------------------------------------------------------------------------------
@@ -328,16 +328,18 @@ def flag_report(flags: DataFrame, docs: DataFrame, chunks: DataFrame, status: st
 
 
 def resolution_report(resolutions: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Escalation-decision links for review, pending first, then newest."""
+    """Escalation-decision links for review with whole texts (G15). Links without a terminal chunk join on a key of their own."""
+    none = F.concat(F.lit("none:"), F.col("resolution_id").cast("string"))
+    resolutions = resolutions.withColumn("_terminal", F.col("terminal_chunk_id")).withColumn("terminal_chunk_id", F.coalesce(F.col("terminal_chunk_id").cast("string"), none))
     def doc(name: str) -> DataFrame:
         cols = [F.col("doc_id").alias(f"{name}_doc_id"), F.col("filename").alias(f"{name}_filename")]
         return docs.select(*cols, *([F.col("forum").alias("terminal_forum")] if name == "terminal" else []))
 
     def chunk(name: str) -> DataFrame:
-        cols = [F.col("chunk_id").alias(f"{name}_chunk_id"), F.col("text").substr(1, 500).alias(f"{name}_text")]
+        cols = [F.col("chunk_id").alias(f"{name}_chunk_id"), F.col("text").alias(f"{name}_text")]
         return chunks.select(*cols, *([F.col("section_path").alias("escalation_section")] if name == "escalation" else []))
     return (resolutions.join(doc("escalation"), "escalation_doc_id", "left").join(doc("terminal"), "terminal_doc_id", "left")
             .join(chunk("escalation"), "escalation_chunk_id", "left").join(chunk("terminal"), "terminal_chunk_id", "left")
             .withColumn("escalation_filename", F.coalesce("escalation_filename", F.lit("?")))
             .withColumn("terminal_filename", F.coalesce("terminal_filename", F.lit("?")))
-            .orderBy(F.col("needs_review").desc(), F.col("created_at").desc(), "resolution_id"))
+            .withColumn("terminal_chunk_id", F.col("_terminal")).drop("_terminal"))

@@ -172,23 +172,22 @@ def _unknown(rows: DataFrame, col: str, lexicon: DataFrame) -> DataFrame:
             .drop("known"))
 
 
-def mine_gaps(chunks: DataFrame, queries: DataFrame, lexicon: DataFrame, since: Column, top: int = S.MAX_PROPOSALS,
+def mine_gaps(chunks: DataFrame, queries: DataFrame, lexicon: DataFrame, since: Column, top: int | None = None,
               doc_min: int = S.DOC_FREQ_MIN, query_max: int = S.QUERY_FREQ_MAX, query_min: int = S.QUERY_FREQ_MIN,
               doc_max: int = S.DOC_FREQ_MAX) -> DataFrame:
-    """Vocabulary gaps (X7, X8): the top terms of each signal per tenant.
-
-    'doc_frequent': in many chunks, in few questions. 'query_frequent': asked often, in no chunk. The cut to ``top``
-    comes before known terms are dropped, as each signal's list is ranked over all terms."""
-    def freq(df: DataFrame, col: str, name: str) -> DataFrame:
-        terms = df.select("tenant_id", F.explode(X.mining_tokens(F.col(col))).alias("candidate"))
-        return terms.groupBy("tenant_id", "candidate").agg(F.count("*").alias(name))
-    d = freq(chunks, "text", "doc_freq")
-    q = freq(queries.filter(F.col("created_at") >= since), "question", "query_freq")
-    both = d.join(q, ["tenant_id", "candidate"], "full").fillna(0, ["doc_freq", "query_freq"])
+    """Vocabulary gaps (X7, X8): the unknown terms of each signal per tenant, all or the ``top`` ones (e.g. 15), ranked before known terms leave.
+
+    'doc_frequent': in many chunks, in few questions. 'query_frequent': asked often, in no chunk. Both vocabularies are counted in one
+    aggregation."""
+    def terms(df: DataFrame, col: str, of_docs: int) -> DataFrame:
+        return df.select("tenant_id", F.explode(X.mining_tokens(F.col(col))).alias("candidate"), F.lit(of_docs).alias("_d"))
+    every = terms(chunks, "text", 1).unionByName(terms(queries.filter(F.col("created_at") >= since), "question", 0))
+    both = every.groupBy("tenant_id", "candidate").agg(F.sum("_d").alias("doc_freq"), F.sum(1 - F.col("_d")).alias("query_freq"))
     said = both.filter((F.col("doc_freq") >= doc_min) & (F.col("query_freq") <= query_max)).withColumn("signal", F.lit("doc_frequent"))
     asked = both.filter((F.col("query_freq") >= query_min) & (F.col("doc_freq") <= doc_max)).withColumn("signal", F.lit("query_frequent"))
     ranked = said.withColumn("_n", F.col("doc_freq")).unionByName(asked.withColumn("_n", F.col("query_freq")))
-    cut = top_n(ranked, ["tenant_id", "signal"], [F.col("_n").desc(), F.col("candidate")], top, "rank").drop("_n")
+    cut = ranked if top is None else top_n(ranked, ["tenant_id", "signal"], [F.col("_n").desc(), F.col("candidate")], top, "rank")
+    cut = cut.drop("_n")
     return _unknown(cut, "candidate", lexicon)
 
 

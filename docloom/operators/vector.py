@@ -19,6 +19,7 @@ Embedder = Callable[[list[str]], "list[list[float]] | np.ndarray"]
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 128 << 20
+TILE_BYTES = 16 << 20
 _OUT = "question_id {q}, item_id {v}, bucket int, dist double"
 
 
@@ -108,6 +109,13 @@ class _Block:
         self.owner = pdf["owner"].to_numpy()
         self.matrix = _unit(pdf["embedding"].tolist())
 
+    def _tiles(self, rows: np.ndarray, items_t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(question, distances to the items), computed in matrices of at most TILE_BYTES."""
+        step = max(1, TILE_BYTES // (8 * max(1, items_t.shape[1])))
+        for start in range(0, len(rows), step):
+            part = rows[start:start + step]
+            yield from zip(part, np.round(1.0 - self.matrix[part] @ items_t, 9))
+
     def search(self, items: pd.DataFrame, k: int, best: dict, carry: list[str]) -> None:
         """Merge the k nearest items per (question, bucket) into ``best``."""
         for bucket, part in items.groupby("bucket", sort=False):
@@ -116,8 +124,8 @@ class _Block:
                 continue
             vid, owner = part["item_id"].to_numpy(), part["owner"].to_numpy()
             extra = [part[c].to_numpy() for c in carry]
-            dist = np.round(1.0 - self.matrix[rows] @ _unit(part["embedding"].tolist()).T, 9)
-            for r, d in zip(rows, dist):
+            items_t = _unit(part["embedding"].tolist()).T
+            for r, d in self._tiles(rows, items_t):
                 mine = self.owner[r]
                 if mine is not None and mine == mine:
                     d = np.where(owner == mine, np.nan, d)
@@ -209,11 +217,15 @@ def _by_blocks(q: DataFrame, v: DataFrame, k: int, schema: str, row_bytes: int,
                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
                 .drop("_na", "_nb"))
 
-    left = place(q, "_a", "_na", "_b", "_nb", "question_id").groupBy("scope", "_a", "_b")
-    right = place(v, "_b", "_nb", "_a", "_na", "item_id").groupBy("scope", "_a", "_b")
+    # both sides may come from one table: every column gets a new name on its side before they meet
+    left, right = place(q, "_a", "_na", "_b", "_nb", "question_id"), place(v, "_b", "_nb", "_a", "_na", "item_id")
+    q_cols, v_cols = left.columns, right.columns
+    left = left.toDF(*[f"q_{c}" for c in q_cols]).groupBy("q_scope", "q__a", "q__b")
+    right = right.toDF(*[f"v_{c}" for c in v_cols]).groupBy("v_scope", "v__a", "v__b")
 
     def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         best: dict = {}
+        qs, vs = qs.set_axis(q_cols, axis=1), vs.set_axis(v_cols, axis=1)
         if len(qs) and len(vs):
             block = _Block(qs)
             for start in range(0, len(vs), 4096):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import dedup, documents, lexical, vector
+from docloom.session import store_table
 
 
 @dataclass
@@ -29,14 +30,18 @@ def ingest_batch(new_docs: DataFrame, stored: DataFrame, flags: DataFrame, profi
     gated = documents.gate(unique, force)
     passed = dedup.with_text_hash(gated.filter("reject_reason is null").drop("reject_reason")).withColumn(
         "chars_extracted", F.length("text")).withColumn("embedding_model", F.lit(model))
+    # documents, chunks, postings and rejects all need these: hashed, cut and embedded once
+    passed = store_table(passed, "passed")
     pieces = documents.tag_decisions(documents.chunk_documents(passed.select("tenant_id", "doc_id", "filename", "text"), profile))
+    pieces = store_table(vector.embed(documents.with_embedding_input(pieces), "embedding_input", embedder).drop("embedding_input"), "pieces")
     counts = pieces.groupBy("doc_id").agg(F.count("*").alias("chunks_created"))
     counted = passed.drop("text").join(counts, "doc_id", "left")
     empty = counted.filter("chunks_created is null").select("tenant_id", "doc_id", F.lit("no_chunks").alias("reject_reason"))
     docs = counted.filter("chunks_created is not null")
-    chunks = vector.embed(documents.with_embedding_input(pieces), "embedding_input", embedder).drop("embedding_input", "filename")
+    chunks = pieces.drop("filename")
     rejects = (copies.unionByName(gated.filter("reject_reason is not null").select("tenant_id", "doc_id", "reject_reason")).unionByName(empty))
     cols = ["tenant_id", "doc_id", "text_sha256", "ingested_at"]
-    everything = stored.select(*cols).unionByName(docs.select(*cols))
+    hashes = docs.select("text_sha256").distinct()
+    everything = stored.select(*cols).join(hashes, "text_sha256", "left_semi").select(*cols).unionByName(docs.select(*cols))
     new_flags = (dedup.text_duplicate_flags(everything, flags).join(docs.select(F.col("doc_id").alias("new_doc_id")), "new_doc_id", "left_semi"))
     return Ingested(docs, chunks, lexical.build_postings(chunks), rejects, new_flags)

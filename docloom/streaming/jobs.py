@@ -12,9 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom import settings as S
 from docloom.operators.answers import FeedbackResult, apply_feedback
-from docloom.operators.documents import turn_segment
 from docloom.operators.lexicon import failed, succeeded
-from docloom.operators.scale import with_next
 from docloom.sources.corpus import shape_files
 
 
@@ -33,95 +31,98 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, sink: Callabl
             .trigger(availableNow=True).start())
 
 
-def first_attempts(attempts: DataFrame, delay: str = "1 day", ts: str = "created_at") -> DataFrame:
-    """First response per (tenant, key) (T2); keys over 128 characters and rows without key pass no dedup and are dropped,
-    as only keyed attempts are recorded. State is released after ``delay``."""
-    keyed = attempts.filter(F.col("key").isNotNull() & (F.col("key") != "") & (F.length("key") <= S.IDEMPOTENCY_KEY_CHARS))
-    return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["tenant_id", "key"])
+def first_attempts(attempts: DataFrame, delay: str = "1 day", ts: str = "created_at", order: tuple[str, ...] = ()) -> DataFrame:
+    """First attempt per (tenant, key) (T2). A key is stripped and cut to its first 128 characters; attempts without one pass unchanged, as
+    there is nothing to recognise them by. Within a micro-batch the earliest (ts, *order) wins, across batches the first to arrive. State is
+    released once the watermark is ``delay`` past the attempt."""
+    key = F.substring(F.btrim("key", F.lit(" \t\n\r\x0b\x0c")), 1, S.IDEMPOTENCY_KEY_CHARS)
+    timed = attempts.withColumn("_key", F.when(key != "", key)).withWatermark(ts, delay)
+    keyed = timed.filter("_key is not null").withColumn("key", F.col("_key")).drop("_key")
+    names, wait = keyed.columns, int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for rows in batches:
+            if not state.exists:
+                rows = rows if best is None else pd.concat([best, rows])
+                best = rows.sort_values([ts, *order], kind="stable").head(1)
+        if best is not None and not state.exists:
+            state.update((True,))
+            state.setTimeoutTimestamp(max(int(best[ts].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
+            yield best[names]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    found = keyed.groupBy("tenant_id", "key").applyInPandasWithState(first, schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.unionByName(timed.filter("_key is null").drop("_key"))
 
 
 def weekly_activity_stream(queries: DataFrame, delay: str = "2 days", tz: str = S.LOCAL_TIME_ZONE, ts: str = "created_at") -> DataFrame:
-    """Questions, askers (approximate) and refusals per local Sunday week (T3). Rows later than ``delay`` are dropped."""
+    """Questions, askers and refusals per local Sunday week (T3), each week once, when the watermark has passed it. Askers are exact: a first
+    aggregation keeps a row per week and asker, a second one counts them. Rows later than ``delay`` are dropped."""
     local = queries.filter("golden_id is null").withColumn("_local", F.from_utc_timestamp(ts, tz) if tz != "UTC" else F.col(ts))
-    return (local.withWatermark("_local", delay)
-            .groupBy("tenant_id", F.window("_local", "7 days", "7 days", "3 days"))
-            .agg(F.count("*").alias("questions"), F.count_if(F.col("confidence") == "refused").alias("refused"),
-                 F.approx_count_distinct("user_id").alias("active_users"))
+    by_user = (local.withWatermark("_local", delay)
+               .groupBy("tenant_id", "user_id", F.window("_local", "7 days", "7 days", "3 days").alias("_week"))
+               .agg(F.count("*").alias("_n"), F.count_if(F.col("confidence") == "refused").alias("_refused")))
+    # the window of a window is the same window; naming its time lets the second aggregation use the first one's watermark
+    return (by_user.groupBy("tenant_id", F.window(F.window_time("_week"), "7 days", "7 days", "3 days"))
+            .agg(F.sum("_n").alias("questions"), F.sum("_refused").alias("refused"), F.count("user_id").alias("active_users"))
             .select("tenant_id", F.col("window.start").cast("date").alias("week_start"), "questions", "refused", "active_users"))
 
 
-def term_usage_stream(events: DataFrame, delay: str = "1 day", ts: str = "created_at") -> DataFrame:
-    """Rolling 30-day match counts per entry, refreshed daily (T4)."""
-    return (events.withWatermark(ts, delay).groupBy("tenant_id", "lexicon_id", F.window(ts, "30 days", "1 day"))
-            .agg(F.count("*").alias("match_count_30d"), F.max(ts).alias("last_matched_at"))
-            .select("tenant_id", "lexicon_id", F.col("window.end").alias("as_of"), "match_count_30d", "last_matched_at"))
+def daily_usage_stream(events: DataFrame, delay: str = "1 day", ts: str = "created_at") -> DataFrame:
+    """Match counts per entry and day (T4), each day once: one row of state per entry and open day."""
+    return (events.withWatermark(ts, delay).groupBy("tenant_id", "lexicon_id", F.window(ts, "1 day"))
+            .agg(F.count("*").alias("n"), F.max(ts).alias("last_matched_at"))
+            .select("tenant_id", "lexicon_id", F.col("window.start").alias("day"), "n", "last_matched_at"))
+
+
+def rolling_usage(daily: DataFrame, days: int = 30) -> DataFrame:
+    """Rolling counts over ``days`` days from the table of daily counts (T4): a row per entry and day after a match, as of the day's start."""
+    spread = daily.withColumn("as_of", F.explode(F.expr(f"transform(sequence(1, {days}), i -> day + make_dt_interval(i))")))
+    return spread.groupBy("tenant_id", "lexicon_id", "as_of").agg(F.sum("n").alias("match_count_30d"), F.max("last_matched_at").alias("last_matched_at"))
 
 
 _PAIR = "tenant_id string, conversation_id string, from_query_id string, to_query_id string"
 _LAST = "query_id string, failed boolean"
 
 
-def refinement_pairs_stream(queries: DataFrame, idle: str = "2 days", ts: str = "created_at") -> DataFrame:
-    """Failed-then-succeeded neighbours per thread (T5). State is one turn per thread, dropped after ``idle`` of event time;
-    turns are paired in (turn, time) order within a batch and across batches as they arrive."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    rows = (queries.filter("conversation_id is not null").withWatermark(ts, idle)
+def refinement_pairs_stream(queries: DataFrame, ts: str = "created_at") -> DataFrame:
+    """Failed-then-succeeded neighbours per thread (T5). State is one turn per thread, kept until the thread goes on; turns are paired in
+    (turn, time) order within a batch and across batches as they arrive."""
+    rows = (queries.filter("conversation_id is not null")
             .select(F.col("tenant_id").cast("string").alias("tenant_id"), F.col("conversation_id").cast("string").alias("conversation_id"),
                     F.col("query_id").cast("string").alias("query_id"), F.coalesce("turn_index", F.lit(2_147_483_647)).alias("turn"),
                     F.col(ts).alias("at"), F.coalesce(failed(), F.lit(False)).alias("failed"),
                     F.coalesce(succeeded(), F.lit(False)).alias("succeeded")))
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns = sorted(row for b in batches for row in zip(b["turn"], b["at"], b["query_id"], b["failed"], b["succeeded"]))
+        turns = sorted(row for b in batches for row in zip(b["turn"], b["at"], b["query_id"].map(_by_number), b["failed"], b["succeeded"]))
         before = state.get if state.exists else None
-        out, latest = [], turns[0][1]
-        for _, at, query_id, failed_, succeeded_ in turns:
+        out = []
+        for _, _, (_, query_id), failed_, succeeded_ in turns:
             if before is not None and before[1] and succeeded_:
                 out.append((key[0], key[1], before[0], query_id))
             before = (query_id, bool(failed_))
-            latest = max(latest, at)
         state.update(before)
-        state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"])
 
-    return rows.groupBy("tenant_id", "conversation_id").applyInPandasWithState(
-        pair, _PAIR, _LAST, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("tenant_id", "conversation_id").applyInPandasWithState(pair, _PAIR, _LAST, "append", GroupStateTimeout.NoTimeout)
 
 
-def refinement_pairs_by_batch(queries: DataFrame, root: str, ts: str = "created_at", idle_days: int = 2) -> StreamingQuery:
-    """The same pairs in bulk (T5): every micro-batch is windowed on the JVM together with the last turn kept per thread.
+def _by_number(query_id: str) -> tuple[int, str]:
+    """Numeric ids in the order of their numbers, others after them by text."""
+    return (int(query_id) if query_id.isdigit() else 1 << 63, query_id)
 
-    Writes ``root/pairs/batch=N`` and ``root/last/batch=N``; batch N reads the turns kept by batch N - 1, so repeating a
-    batch after a failure writes the same folders again. Threads silent for ``idle_days`` are let go."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["tenant_id", "conversation_id", "query_id", "turn_index", "confidence", "feedback", ts]
-        turns = batch.filter("conversation_id is not null").select(*cols, F.lit(1).alias("_new"))
-        kept_path = f"{root}/last/batch={batch_id - 1}"
-        if batch_id > 0:
-            turns = spark.read.schema(turns.schema).parquet(kept_path).unionByName(turns)
-        ordered = turns.withColumn("_turn", F.coalesce("turn_index", F.lit(2_147_483_647)))
-        nxt = with_next(ordered, ["conversation_id"], ["_new", "_turn", ts, "query_id"], F.concat_ws("/", "_new", F.lpad(turn_segment("turn_index", ts).cast("string"), 20, "0")),
-                        ["query_id", "confidence", "feedback"])
-        pairs = nxt.filter(F.col("next").isNotNull() & F.coalesce(failed(), F.lit(False)) & F.coalesce(succeeded("next."), F.lit(False)))
-        pairs.select("tenant_id", "conversation_id", F.col("query_id").alias("from_query_id"), F.col("next.query_id").alias("to_query_id")).write.mode(
-            "overwrite").parquet(f"{root}/pairs/batch={batch_id}")
-        last = (ordered.groupBy("conversation_id").agg(F.max_by(F.struct(*[c for c in cols if c != "conversation_id"]), F.struct("_new", "_turn", ts, "query_id")).alias("_l"))
-                .select("conversation_id", "_l.*").select(*cols, F.lit(0).alias("_new")))
-        newest = last.agg(F.max(ts)).first()[0]
-        live = last.filter(F.col(ts) >= F.lit(newest) - F.make_dt_interval(F.lit(idle_days))) if newest is not None else last
-        live.write.mode("overwrite").parquet(kept_path.replace(f"batch={batch_id - 1}", f"batch={batch_id}"))
-    return queries.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-
-
-def feedback_stream(events: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]],
+
+def feedback_stream(events: DataFrame, load: Callable[[int], tuple[DataFrame, DataFrame]],
                     save: Callable[[FeedbackResult, int], None], checkpoint: str) -> StreamingQuery:
-    """Apply feedback events as they arrive (T6): ``load`` gives (queries, answers), ``save`` stores the new state."""
+    """Apply feedback events as they arrive (T6): ``load(batch id)`` gives the (queries, answers) that the batch before stored, ``save`` stores
+    the new state under its batch id, so a repeated batch starts from the same state again."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        queries, answers = load()
+        queries, answers = load(batch_id)
         save(apply_feedback(queries, answers, batch), batch_id)
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

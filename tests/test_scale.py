@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import settings as S
 from docloom.functions import pieces
-from docloom.operators import fusion, vector
+from docloom.operators import fusion, governance, vector
 from docloom.operators.scale import attach_groups, top_n, with_last_before, with_next
 
 
@@ -117,3 +117,16 @@ def test_results_do_not_depend_on_partitions(spark):
     q = v.withColumn("question_id", F.col("chunk_id"))
     runs = [sorted(map(tuple, vector.vector_search(q.repartition(n), v.repartition(n)).collect())) for n in (1, 7)]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("name", ["neighbor_pairs", "chain_candidates", "reconcile_pairs"])
+def test_block_route_of_self_searches(spark, monkeypatch, name):
+    """Questions and items from one table meet in blocks and give the rows of the broadcast route."""
+    import __spark_entry__ as entry_module
+    query, folder = entry_module.queries()[name], "/root/testdata/sf0.001"
+    want = sorted(map(tuple, query(spark, folder).collect()), key=repr)
+    plain = vector.nearest
+    blocks = lambda *a, **k: plain(*a, **{**k, "broadcast_bytes": 0, "block_bytes": 64 << 10})
+    monkeypatch.setattr(vector, "nearest", blocks)
+    monkeypatch.setattr(governance, "nearest", blocks)
+    assert sorted(map(tuple, query(spark, folder).collect()), key=repr) == want

@@ -86,7 +86,7 @@ _CHAIN = """fr AS (SELECT *, CASE forum WHEN 'sub_committee' THEN 0 WHEN 'commit
 op AS (SELECT v.chunk_id, v.doc_id, v.embedding, r FROM v JOIN fr USING (doc_id) WHERE decision_type = 'escalation' AND superseded_by_id IS NULL AND r IS NOT NULL AND section_path IS NULL),
 cn AS (SELECT fr.doc_id, count(*) AS n FROM fr JOIN op ON op.r < fr.r GROUP BY 1),
 mc AS (SELECT doc_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v), mm AS (SELECT doc_id, i, avg(x) AS x FROM mc GROUP BY 1, 2), mn AS (SELECT doc_id, list(x ORDER BY i) AS m FROM mm GROUP BY 1),
-ea AS (SELECT doc_id, chunk_id FROM (SELECT fr.doc_id, op.chunk_id, row_number() OVER (PARTITION BY fr.doc_id ORDER BY CASE WHEN n > 30 THEN round(1 - list_cosine_similarity(mn.m, op.embedding), 9) ELSE 0 END, op.chunk_id) AS rn
+ea AS (SELECT doc_id, chunk_id FROM (SELECT fr.doc_id, op.chunk_id, row_number() OVER (PARTITION BY fr.doc_id ORDER BY round(1 - list_cosine_similarity(mn.m, op.embedding), 9), op.chunk_id) AS rn
   FROM fr JOIN op ON op.r < fr.r JOIN cn ON cn.doc_id = fr.doc_id JOIN mn ON mn.doc_id = fr.doc_id WHERE fr.r > 0) WHERE rn <= 30),
 tc AS (SELECT doc_id, chunk_id, position, CASE WHEN decision_type = 'terminal' THEN 0 ELSE 1 END AS cl FROM v WHERE doc_id IN (SELECT doc_id FROM ea)),
 ta AS (SELECT doc_id, chunk_id FROM (SELECT *, min(cl) OVER (PARTITION BY doc_id) AS best FROM tc) WHERE cl = best),
@@ -128,7 +128,7 @@ def gap_report(s, d):
 
 
 @query("operative_chunks", "c", """k AS (SELECT doc_id, chunk_id, position, CASE WHEN decision_type = 'terminal' THEN 0 WHEN section_path IS NOT NULL THEN 1 ELSE 2 END AS cl FROM c),
-b AS (SELECT *, min(cl) OVER (PARTITION BY doc_id) AS best FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn FROM b WHERE cl = best) SELECT doc_id, chunk_id FROM r WHERE rn <= 12""")
+b AS (SELECT *, min(cl) OVER (PARTITION BY doc_id) AS best FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn FROM b WHERE cl = best) SELECT doc_id, chunk_id FROM r""")
 def operative_chunks(s, d):
     return G.operative_chunks(B.chunks(s, d)).select("doc_id", "chunk_id")
 
@@ -149,7 +149,7 @@ def _recon(s, d):
     return G.reconcile_pairs(docs, docs, chunks, seen, max_distance=0.8)
 
 
-@query("reconcile_pairs", "v vd", _PAIRS + " SELECT nd AS new_doc_id, nc AS new_chunk_id, ec AS existing_chunk_id, ed AS existing_doc_id, pair_index FROM pp WHERE pair_index < 15")
+@query("reconcile_pairs", "v vd", _PAIRS + " SELECT nd AS new_doc_id, nc AS new_chunk_id, ec AS existing_chunk_id, ed AS existing_doc_id, pair_index FROM pp")
 def reconcile_pairs(s, d):
     return _recon(s, d).select("new_doc_id", "new_chunk_id", "existing_chunk_id", "existing_doc_id", "pair_index")
 
@@ -157,7 +157,7 @@ def reconcile_pairs(s, d):
 @query("flags_from_verdicts", "v vd", _PAIRS + """, vt AS (SELECT doc_id AS nd, unnest(range(0, 6)) AS pair_index, ['contradicts', 'consistent', ' duplicates ', 'supersedes'][1 + label % 4] AS kind, 0.3 + (quality + toxic) / 4.0 AS confidence
   FROM (SELECT doc_id, quality, toxic, doc_id AS label FROM labels))
 SELECT pp.nd AS new_doc_id, pp.nc AS new_chunk_id, pp.ec AS existing_chunk_id, trim(kind) AS kind, 'pending' AS status FROM pp JOIN vt USING (nd, pair_index)
-WHERE pair_index < 15 AND trim(kind) <> 'consistent' AND confidence >= 0.5""")
+WHERE trim(kind) <> 'consistent' AND confidence >= 0.5""")
 def flags_from_verdicts(s, d):
     v = B.raw(s, d, "labels").selectExpr("doc_id AS new_doc_id", "explode(sequence(0, 5)) AS pair_index",
                                          "array('contradicts', 'consistent', ' duplicates ', 'supersedes')[cast(doc_id % 4 as int)] AS kind", "cast(0.3 + (quality + toxic) / 4 as double) AS confidence")

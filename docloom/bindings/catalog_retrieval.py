@@ -68,10 +68,10 @@ def mean_vectors(s, d):
 
 @query("neighbor_pairs", "v", _SIM + """, n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, chunk_id) AS rn FROM sim WHERE doc_id <> q_doc),
 p AS (SELECT *, row_number() OVER (PARTITION BY q_doc ORDER BY q_pos, question_id, dist, chunk_id) - 1 AS pair_index FROM n WHERE rn <= 3 AND dist <= 0.75)
-SELECT question_id AS new_chunk_id, chunk_id AS existing_chunk_id, doc_id AS existing_doc_id, q_doc AS new_doc_id, dist, pair_index FROM p WHERE pair_index < 10""")
+SELECT question_id AS new_chunk_id, chunk_id AS existing_chunk_id, doc_id AS existing_doc_id, q_doc AS new_doc_id, dist, pair_index FROM p""")
 def neighbor_pairs(s, d):
     v = B.vectors(s, d)
-    return V.neighbor_pairs(v, v, max_distance=0.75, per_doc=10)
+    return V.neighbor_pairs(v, v, max_distance=0.75)
 
 
 @query("stale_embeddings", "d", "SELECT doc_id, embedding_model FROM d WHERE embedding_model IS DISTINCT FROM 'hashed-words'")

@@ -264,6 +264,8 @@ def expand_surface_forms(lexicon: DataFrame) -> DataFrame:
                           F.posexplode(surface_forms(F.col("term"))).alias("ord", "surface_form"))
 
 
+# fixed values from here to the end: the sentences and labels of the notes
+
 def source_header(rank: Column) -> Column:
     """Numbered header of one source: file / section / forum / status / date / decision type."""
     def tag(label: str, c: str) -> Column:
@@ -297,10 +299,10 @@ def resolution_note() -> Column:
 
 
 def assemble_context(hits: DataFrame, history: DataFrame | None = None, amendments: DataFrame | None = None,
-                     resolutions: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+                     resolutions: DataFrame | None = None, lexicon: DataFrame | None = None, turns: int | None = None) -> DataFrame:
     """Context blocks per question (P12): rows (question_id, block, ord, body), to be read in (block, ord) order.
 
-    Rows rather than one string per question, because notes have no upper bound. Blocks: 1 history (last 8 turns),
+    Rows rather than one string per question, because notes have no upper bound. Blocks: 1 history (all or the last ``turns``),
     2 lexicon, 3 amendment, 4 resolution, 5 source. hits carry rank and document columns; history(question_id, ord, role,
     body); amendments / resolutions are G1 / G2 rows; lexicon(question_id, term, answerer_expansion, expansion)."""
     def block(df: DataFrame, no: int, ord_col: Column, body: Column) -> DataFrame:
@@ -309,7 +311,7 @@ def assemble_context(hits: DataFrame, history: DataFrame | None = None, amendmen
     parts = [block(hits, 5, F.lpad(F.col("rank").cast("string"), 6, "0"),
                    F.concat(source_header(F.col("rank")), F.lit("\n"), F.col("text")))]
     if history is not None:
-        last = top_n(history, ["question_id"], [F.col("ord").desc()], 8)
+        last = history if turns is None else top_n(history, ["question_id"], [F.col("ord").desc()], turns)
         who = F.when(F.col("role") == "user", "משתמש").otherwise("מערכת")
         parts.append(block(last, 1, F.lpad(F.col("ord").cast("string"), 12, "0"),
                            F.concat(who, F.lit(": "), X.strip_ws(F.col("body")))))

@@ -91,13 +91,15 @@ def resolution_chain(hits: DataFrame, resolutions: DataFrame, chunks: DataFrame,
          .join(hits.select("question_id", F.col("chunk_id").alias("escalation_chunk_id"),
                            F.col("filename").alias("escalation_filename"), F.col("section_path").alias("escalation_section")),
                "escalation_chunk_id"))
-    exact = chunks.select(F.col("chunk_id").alias("terminal_chunk_id"), F.col("chunk_id").alias("_exact"),
+    # resolutions without a terminal chunk join on a key of their own instead of meeting on NULL in one task
+    r = r.withColumn("_t", F.coalesce(F.col("terminal_chunk_id").cast("string"), F.concat(F.lit("none:"), F.col("resolution_id").cast("string"))))
+    exact = chunks.select(F.col("chunk_id").cast("string").alias("_t"), F.col("chunk_id").alias("_exact"),
                           F.col("doc_id").alias("_exact_doc"))
     first = (chunks.groupBy(F.col("doc_id").alias("terminal_doc_id"))
              .agg(F.min_by("chunk_id", F.struct("position", "chunk_id")).alias("_first")))
     d = docs.select(F.col("doc_id").alias("binding_doc_id"), F.col("filename").alias("terminal_filename"),
                     F.col("forum").alias("terminal_forum"), F.col("effective_date").alias("terminal_date"))
-    return (r.join(exact, "terminal_chunk_id", "left").join(first, "terminal_doc_id", "left")
+    return (r.join(exact, "_t", "left").drop("_t").join(first, "terminal_doc_id", "left")
             .withColumn("binding_chunk_id", F.coalesce("_exact", "_first"))
             .withColumn("binding_doc_id", F.coalesce("_exact_doc", F.when(F.col("_first").isNotNull(), F.col("terminal_doc_id"))))
             .filter("binding_chunk_id is not null").join(d, "binding_doc_id").drop("_exact", "_exact_doc", "_first"))
@@ -125,19 +127,25 @@ def open_escalations(chunks: DataFrame, docs: DataFrame, resolutions: DataFrame)
             .join(resolutions.select(F.col("escalation_chunk_id").alias("chunk_id")), "chunk_id", "left_anti"))
 
 
-def _leading_class(chunks: DataFrame, klass: Column, n: int) -> DataFrame:
-    """First n chunks per document among its best class: rows of the best class sort first, so a top-n holds them all."""
+def _leading_class(chunks: DataFrame, klass: Column, n: int | None) -> DataFrame:
+    """Chunks of each document's best class, all or the first n: rows of the best class sort first, so a top-n holds them all."""
+    if n is None:
+        classed = chunks.withColumn("_class", klass)
+        best = classed.groupBy("doc_id").agg(F.min("_class").alias("_best"))
+        return classed.join(best, "doc_id").filter("_class = _best").drop("_class", "_best")
     ranked = top_n(chunks.withColumn("_class", klass), ["doc_id"], [F.col("_class"), F.col("position"), F.col("chunk_id")], n, "_r")
     best = ranked.filter("_r = 1").select("doc_id", F.col("_class").alias("_best"))
     return ranked.join(best, "doc_id").filter("_class = _best").drop("_class", "_best", "_r")
 
 
-def chain_candidates(new_docs: DataFrame, docs: DataFrame, chunks: DataFrame, resolutions: DataFrame, **routes: int) -> DataFrame:
+def chain_candidates(new_docs: DataFrame, docs: DataFrame, chunks: DataFrame, resolutions: DataFrame, n_open: int = S.MAX_OPEN_ESCALATIONS,
+                     n_terminals: int = S.TERMINALS_PER_ESCALATION, max_own: int | None = None, max_own_terminals: int | None = None,
+                     **routes: int) -> DataFrame:
     """What a matcher is offered per new document (G6): (doc_id, direction, role, chunk_id, for_escalation).
 
-    Direction A: up to 30 open escalations of lower forums (nearest to the document's mean vector when there are more)
-    against its terminal-tagged chunks, else its leading ones, at most 20. Direction B: up to 12 own open escalations,
-    each with the 4 nearest chunks of higher forums."""
+    Direction A: the ``n_open`` open escalations of lower forums nearest to the document's mean vector (the first by id where it has no
+    vector) against its terminal-tagged chunks, else its leading ones. Direction B: own open escalations, each with the ``n_terminals``
+    nearest chunks of higher forums. ``max_own`` and ``max_own_terminals`` cut a document's own lists, e.g. 12 and 20."""
     chained = (new_docs.select("tenant_id", "doc_id", forum_rank(F.col("forum")).alias("forum_rank")).filter("forum_rank >= 0"))
     open_esc = open_escalations(chunks, docs, resolutions)
     doc_chunks = chunks.join(chained.select("doc_id", F.col("forum_rank").alias("doc_rank")), "doc_id")
@@ -145,35 +153,32 @@ def chain_candidates(new_docs: DataFrame, docs: DataFrame, chunks: DataFrame, re
     above = open_esc.select("tenant_id", "chunk_id", "embedding", "forum_rank")
     by_rank = above.withColumn("for_rank", F.explode(F.sequence(F.col("forum_rank") + 1, F.lit(3)))) \
         .filter("forum_rank < 3")
-    totals = by_rank.groupBy("tenant_id", "for_rank").agg(F.count("*").alias("n_open"))
     short = top_n(by_rank.select("tenant_id", "for_rank", "chunk_id"), ["tenant_id", "for_rank"], [F.col("chunk_id")],
-                  S.MAX_OPEN_ESCALATIONS)
+                  n_open)
     means = mean_vectors(doc_chunks.select("doc_id", "embedding"))
-    upper = (chained.filter("forum_rank > 0").join(totals, [chained.tenant_id == totals.tenant_id,
-                                                           chained.forum_rank == totals.for_rank])
-             .select(chained.tenant_id, "doc_id", "forum_rank", "n_open")
+    upper = (chained.filter("forum_rank > 0")
              .join(doc_chunks.select("doc_id").distinct(), "doc_id", "left_semi").join(means, "doc_id", "left"))
-    crowded = (F.col("n_open") > S.MAX_OPEN_ESCALATIONS) & F.col("embedding").isNotNull()
-    # a tenant's short list is at most 30 rows per rank
-    few = (upper.filter(~crowded).select("doc_id", "tenant_id", F.col("forum_rank").alias("for_rank"))
+    # a tenant's short list is at most n_open rows per rank, and only documents without any vector meet it
+    few = (upper.filter("embedding is null").select("doc_id", "tenant_id", F.col("forum_rank").alias("for_rank"))
            .join(short, ["tenant_id", "for_rank"]).select("doc_id", "chunk_id"))
-    near = nearest(upper.filter(crowded).withColumn("question_id", F.col("doc_id")), above, S.MAX_OPEN_ESCALATIONS,
+    near = nearest(upper.filter("embedding is not null").withColumn("question_id", F.col("doc_id")), above, n_open,
                    bucket=F.col("forum_rank"), low=F.lit(0), high=F.col("forum_rank") - 1, **routes)
-    many = top_n(near, ["question_id"], [F.col("dist"), F.col("chunk_id")], S.MAX_OPEN_ESCALATIONS).select(
+    many = top_n(near, ["question_id"], [F.col("dist"), F.col("chunk_id")], n_open).select(
         F.col("question_id").alias("doc_id"), "chunk_id")
     esc_a = few.unionByName(many)
     term_a = _leading_class(doc_chunks.join(esc_a.select("doc_id").distinct(), "doc_id", "left_semi"),
-                            (~F.col("decision_type").eqNullSafe("terminal")).cast("int"), S.MAX_DOC_TERMINALS)
+                            (~F.col("decision_type").eqNullSafe("terminal")).cast("int"), max_own_terminals)
 
     own = (doc_chunks.filter("decision_type = 'escalation' and doc_rank < 3")
            .join(resolutions.select(F.col("escalation_chunk_id").alias("chunk_id")), "chunk_id", "left_anti"))
-    own = top_n(own, ["doc_id"], [F.col("position"), F.col("chunk_id")], S.MAX_DOC_ESCALATIONS)
+    if max_own is not None:
+        own = top_n(own, ["doc_id"], [F.col("position"), F.col("chunk_id")], max_own)
     ranks = docs.filter("superseded_by_id is null").select("doc_id", forum_rank(F.col("forum")).alias("forum_rank"))
     higher = chunks.join(ranks.filter("forum_rank > 0"), "doc_id")
-    hits = nearest(own.withColumn("question_id", F.col("chunk_id")), higher, S.TERMINALS_PER_ESCALATION,
+    hits = nearest(own.withColumn("question_id", F.col("chunk_id")), higher, n_terminals,
                    bucket=F.col("forum_rank"), low=F.col("doc_rank") + 1, high=F.lit(3),
                    question_owner="doc_id", item_owner="doc_id", **routes)
-    hits = top_n(hits, ["question_id"], [F.col("dist"), F.col("chunk_id")], S.TERMINALS_PER_ESCALATION)
+    hits = top_n(hits, ["question_id"], [F.col("dist"), F.col("chunk_id")], n_terminals)
     term_b = hits.join(own.select(F.col("chunk_id").alias("question_id"), F.col("doc_id")), "question_id")
 
     def rows(df: DataFrame, direction: str, role: str, esc: Column) -> DataFrame:
@@ -223,8 +228,8 @@ def gap_report(chunks: DataFrame, docs: DataFrame, resolutions: DataFrame) -> Da
 
 # --- reconciliation --------------------------------------------------------------------------------------------------------
 
-def operative_chunks(chunks: DataFrame, n: int = S.MAX_OPERATIVE_CHUNKS) -> DataFrame:
-    """Chunks worth checking per document (G9): terminal decisions, else sections, else all; first n by position."""
+def operative_chunks(chunks: DataFrame, n: int | None = None) -> DataFrame:
+    """Chunks worth checking per document (G9): terminal decisions, else sections, else all; the first n by position where n is given."""
     klass = (F.when(F.col("decision_type") == "terminal", 0)
              .when(F.coalesce("section_path", F.lit("")) != "", 1).otherwise(2))
     # a terminal chunk that also has a section belongs to class 0 only when the document has terminals, which it then has

@@ -299,7 +299,7 @@ def mean_vectors(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def neighbor_pairs(new_chunks: DataFrame, existing: DataFrame, per_chunk: int = S.NEIGHBORS_PER_CHUNK,
-                   max_distance: float = S.MAX_NEIGHBOR_DISTANCE, per_doc: int = S.MAX_PAIRS_PER_DOC,
+                   max_distance: float = S.MAX_NEIGHBOR_DISTANCE, per_doc: int | None = None,
                    **routes: int) -> DataFrame:
     """Close chunks of other documents (V5): (new_doc_id, new_chunk_id, existing_chunk_id, existing_doc_id, dist, pair_index)."""
     q = new_chunks.withColumn("question_id", F.col("chunk_id"))
@@ -310,5 +310,8 @@ def neighbor_pairs(new_chunks: DataFrame, existing: DataFrame, per_chunk: int =
              .join(new_chunks.select(F.col("chunk_id").alias("new_chunk_id"), F.col("doc_id").alias("new_doc_id"), "position"),
                    "new_chunk_id"))
     order = [F.col("position"), F.col("new_chunk_id"), F.col("dist"), F.col("existing_chunk_id")]
-    ranked = top_n(pairs, ["new_doc_id"], order, per_doc, "_r")
+    if per_doc is None:  # all pairs, numbered within their document
+        ranked = pairs.withColumn("_r", F.row_number().over(_w(["new_doc_id"], order)))
+    else:
+        ranked = top_n(pairs, ["new_doc_id"], order, per_doc, "_r")
     return ranked.withColumn("pair_index", F.col("_r") - 1).drop("_r", "position")

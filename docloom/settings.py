@@ -72,13 +72,9 @@ MAX_RANGE_K = 15
 AUTO_APPLY_CONFIDENCE = 0.75
 MIN_LINK_CONFIDENCE = 0.5
 MAX_OPEN_ESCALATIONS = 30
-MAX_DOC_ESCALATIONS = 12
-MAX_DOC_TERMINALS = 20
 TERMINALS_PER_ESCALATION = 4
 RECONCILED_TYPES = ["bylaw", "sub_bylaw", "decision", "minutes"]
-MAX_OPERATIVE_CHUNKS = 12
 NEIGHBORS_PER_CHUNK = 3
-MAX_PAIRS_PER_DOC = 15
 MAX_NEIGHBOR_DISTANCE = 0.45
 FLAG_KINDS = ["contradicts", "supersedes", "duplicates"]
 VERSION_KINDS = ["duplicates", "supersedes"]

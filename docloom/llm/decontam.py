@@ -22,6 +22,9 @@ from docloom.session import store_table
 
 DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
 COSINE, MASS = 0.5, 0.4
+#: Words that stand in more than this share of all passages, and in more than SEEN of them, weigh nothing in the search; rarer ones weigh by how
+#: much rarer they are.
+COMMON, SEEN = 0.01, 20
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Items of fewer words count only where they stand word for word.
 SHORT = 8
@@ -87,8 +90,9 @@ def _frequencies(n_terms: int):
     return count
 
 
-def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Term rows of the leading right singular vectors of the passage matrix, by a randomised range finder: two sums over all passages."""
+def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """(term rows of the leading right singular vectors, singular values) of the passage matrix, by a randomised range finder: two sums over
+    all passages."""
     terms_only, size = numbered.select("terms"), min(len(weight), dims + OVERSAMPLE)
     start = np.random.default_rng(11).standard_normal((len(weight), size)).astype(np.float32)
 
@@ -121,7 +125,8 @@ def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> n
             total += y.T @ y
 
     values, turn = np.linalg.eigh(sum_over(terms_only, inner, (basis.shape[1],) * 2))
-    return (basis @ turn[:, np.argsort(-values)[:dims]]).astype(np.float32)
+    first = np.argsort(-values)[:dims]
+    return (basis @ turn[:, first]).astype(np.float32), np.sqrt(np.maximum(values[first], 0))
 
 
 def heaviest_common(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> float:
@@ -149,10 +154,11 @@ def _searcher(shared):
                 at = np.flatnonzero(weight[terms] > 0)
                 mass = np.concatenate([[0.0], np.cumsum(weight[terms[at]])])
                 sums, found = None, {}
-                for width, items, vectors, least in scales:
+                for width, items, vectors, whole in scales:
                     start = np.arange(0, max(1, len(terms) - width // 2), width // 4)
                     a, b = np.searchsorted(at, start), np.searchsorted(at, start + width)
-                    heavy = np.flatnonzero(mass[b] - mass[a] >= least)
+                    held = mass[b] - mass[a]
+                    heavy = np.flatnonzero(held >= MASS * whole.min())
                     if not len(heavy):
                         continue
                     if sums is None:
@@ -160,9 +166,16 @@ def _searcher(shared):
                     for k in range(0, len(heavy), 512):
                         part = heavy[k : k + 512]
                         near = _unit((sums[b[part]] - sums[a[part]]).astype(np.float32)) @ vectors.T
-                        for w, i in np.argwhere(near >= COSINE):
-                            s, (item_id, sequence, answer) = int(start[part[w]]), items[i]
-                            region = terms[max(0, s - width // 4) : s + width + width // 4]
+                        last, region, inside = -1, None, None
+                        for w, i in np.argwhere((near >= COSINE) & (held[part][:, None] >= MASS * whole)):
+                            item_id, sequence, answer, distinct = items[i]
+                            if w != last:
+                                s, last = int(start[part[w]]), w
+                                region = terms[max(0, s - width // 4) : s + width + width // 4]
+                                inside = set(region.tolist())
+                            both = distinct & inside
+                            if weight[list(both)].sum() < SHARE_WITH_ANSWER * weight[list(distinct)].sum() / 2:
+                                continue
                             verdict = _verdict(sequence, answer, region, weight)
                             if verdict and (item_id not in found or verdict[0] > found[item_id][1]):
                                 found[item_id] = (float(near[w, i]), *verdict)
@@ -174,16 +187,21 @@ def _searcher(shared):
 
 
 def _verdict(sequence: np.ndarray, answer: np.ndarray, region: np.ndarray, weight: np.ndarray) -> tuple[float, float] | None:
-    """(share of the item, share of the answer) in weight of the common subsequence, None where they don't make a leak."""
+    """(share of the item's words, share of the answer's words) in the common subsequence, None where they don't make a leak. The share must hold
+    for the rare words, by weight, as well as for all words."""
     whole = weight[sequence].sum()
     if weight[sequence[np.isin(sequence, region)]].sum() < SHARE_WITH_ANSWER * whole:
         return None
     if len(sequence) < SHORT:
         spots = np.flatnonzero(region[: max(0, len(region) - len(sequence) + 1)] == sequence[0])
         return (1.0, 1.0) if any((region[p : p + len(sequence)] == sequence).all() for p in spots) else None
-    share = heaviest_common(sequence, region, weight) / whole
-    answered = heaviest_common(answer, region, weight) / max(weight[answer].sum(), 1e-9)
-    return (share, answered) if share >= SHARE or share >= SHARE_WITH_ANSWER and answered >= ANSWER else None
+    rare = heaviest_common(sequence, region, weight) / whole
+    if rare < SHARE_WITH_ANSWER:
+        return None
+    every = np.ones_like(weight)
+    share = heaviest_common(sequence, region, every) / len(sequence)
+    answered = heaviest_common(answer, region, every) / len(answer)
+    return (share, answered) if min(share, rare) >= SHARE or min(share, rare) >= SHARE_WITH_ANSWER and answered >= ANSWER else None
 
 
 def _answer(text: bytes, sequence: list[bytes]) -> list[bytes]:
@@ -195,8 +213,8 @@ def _answer(text: bytes, sequence: list[bytes]) -> list[bytes]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, item_id, cosine, lcs_share, answer_share): each item that a row's whole text holds, at its best window.
 
-    ``row_key`` is ``xxhash64(doc_id, text)``, to find rows without an id again. A leak holds 60 % of the item's weight in the item's order, or 45 %
-    and 80 % of its answer; items under eight words must stand word for word. Null or wordless items and texts leak nothing. Items with equal
+    ``row_key`` is ``xxhash64(doc_id, text)``, to find rows without an id again. A leak holds 60 % of the item's words in the item's order, or 45 %
+    and 80 % of its answer, and the same share of its rare words; items under eight words must stand word for word. Null or wordless items and texts leak nothing. Items with equal
     texts are all reported, repeated rows each; other columns are ignored; empty tables give an empty result. Items are taken in blocks.
     """
     slim = docs.select(F.xxhash64("doc_id", raw_text()).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
@@ -219,16 +237,19 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     seen = np.zeros(len(vocabulary) + 1)
     for row in numbered.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         seen[row["term"]] = row["n"]
-    weight = np.log((2 + seen[0]) / (1 + np.minimum(seen, seen[0])))
+    weight = np.maximum(0, np.log(max(COMMON * seen[0], SEEN) / (1 + np.minimum(seen, seen[0]))))
     weight[0] = 0
-    basis = latent_basis(numbered, weight)
-    side = (basis * weight[:, None]).astype(np.float32)
+    basis, sigma = latent_basis(numbered, weight)
+    # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
+    side = (basis * weight[:, None] / np.maximum(sigma, 1e-6 * max(sigma.max(initial=0), 1e-9))).astype(np.float32)
     scales: dict[int, list] = {}
     for item_id, text, words in worded:
         sequence = np.array([vocabulary[w] for w in words], np.int32)
         answer = np.array([vocabulary[w] for w in _answer(text, words)], np.int32)
-        scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer))
-    table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, _ in found])), MASS * min(weight[s].sum() for _, s, _ in found))
+        if not weight[sequence].sum():
+            continue  # nothing sets it apart from any passage
+        scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer, frozenset(sequence.tolist())))
+    table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, _, _ in found])), np.array([weight[s].sum() for _, s, _, _ in found]))
              for width, found in sorted(scales.items())]
     shared = session.sparkContext.broadcast({"weight": weight, "side": side, "scales": table})
     kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double"

@@ -241,7 +241,8 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     weight[0] = 0
     basis, sigma = latent_basis(numbered, weight)
     # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
-    side = (basis * weight[:, None] / np.maximum(sigma, 1e-6 * max(sigma.max(initial=0), 1e-9))).astype(np.float32)
+    kept = sigma > 0.01 * sigma.max(initial=0)  # directions that the passages hardly have would only add noise
+    side = (basis * weight[:, None] * np.where(kept, 1 / np.where(kept, sigma, 1), 0)).astype(np.float32)
     scales: dict[int, list] = {}
     for item_id, text, words in worded:
         sequence = np.array([vocabulary[w] for w in words], np.int32)

@@ -83,9 +83,10 @@ def _frequencies(n_terms: int):
         for batch in batches:
             terms, passage = _passages(batch)
             if len(terms):
-                pairs = np.unique(passage * (n_terms + 1) + terms)
+                known = terms > 0
+                pairs = np.unique(passage[known] * (n_terms + 1) + terms[known])
                 seen += np.bincount(pairs % (n_terms + 1), minlength=n_terms + 1)
-                seen[0] += passage[-1] + 1 - (pairs % (n_terms + 1) == 0).sum()  # slot 0 counts passages
+                seen[0] += passage[-1] + 1  # slot 0 counts passages
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms + 1), pa.int32()), pa.array(seen)], ["term", "n"])
     return count
 
@@ -147,6 +148,7 @@ def _searcher(shared):
         one_blas_thread()
         model = shared.value
         weight, side, scales = model["weight"], model["side"], model["scales"]
+        worth = weight.tolist().__getitem__
         for batch in batches:
             rows = []
             for row_key, doc_id, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -168,13 +170,12 @@ def _searcher(shared):
                         near = _unit((sums[b[part]] - sums[a[part]]).astype(np.float32)) @ vectors.T
                         last, region, inside = -1, None, None
                         for w, i in np.argwhere((near >= COSINE) & (held[part][:, None] >= MASS * whole)):
-                            item_id, sequence, answer, distinct = items[i]
+                            item_id, sequence, answer, distinct, total = items[i]
                             if w != last:
                                 s, last = int(start[part[w]]), w
                                 region = terms[max(0, s - width // 4) : s + width + width // 4]
                                 inside = set(region.tolist())
-                            both = distinct & inside
-                            if weight[list(both)].sum() < SHARE_WITH_ANSWER * weight[list(distinct)].sum() / 2:
+                            if sum(map(worth, distinct & inside)) < SHARE_WITH_ANSWER * total / 2:
                                 continue
                             verdict = _verdict(sequence, answer, region, weight)
                             if verdict and (item_id not in found or verdict[0] > found[item_id][1]):
@@ -249,8 +250,8 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
         answer = np.array([vocabulary[w] for w in _answer(text, words)], np.int32)
         if not weight[sequence].sum():
             continue  # nothing sets it apart from any passage
-        scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer, frozenset(sequence.tolist())))
-    table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, _, _ in found])), np.array([weight[s].sum() for _, s, _, _ in found]))
+        scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer, distinct := frozenset(sequence.tolist()), float(weight[list(distinct)].sum())))
+    table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, *_ in found])), np.array([weight[s].sum() for _, s, *_ in found]))
              for width, found in sorted(scales.items())]
     shared = session.sparkContext.broadcast({"weight": weight, "side": side, "scales": table})
     kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double"

@@ -137,8 +137,7 @@ def test_files_round_trip(spark, tmp_path):
 TURNS = "tenant_id string, conversation_id string, query_id string, turn_index int, confidence string, feedback string, created_at timestamp"
 
 
-@pytest.mark.parametrize("bulk", [False, True])
-def test_streamed_pairs_equal_batch(spark, tmp_path, bulk):
+def test_streamed_pairs_equal_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [("t", f"c{i % 7}", f"{i:04d}", i, rng.choice(["confident", "refused", "uncertain"]), rng.choice([None, None, "negative"]), T0 + dt.timedelta(minutes=i)) for i in range(200)]
     whole = spark.createDataFrame(rows, TURNS)
@@ -147,11 +146,8 @@ def test_streamed_pairs_equal_batch(spark, tmp_path, bulk):
         spark.createDataFrame(part, TURNS).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(src)
     root = str(tmp_path / "out")
-    if bulk:
-        T.refinement_pairs_by_batch(stream, root).awaitTermination()
-        got = spark.read.parquet(f"{root}/pairs")
-    else:
-        T.refinement_pairs_stream(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start(f"{root}/o").awaitTermination()
-        got = spark.read.parquet(f"{root}/o")
+    writer = T.refinement_pairs_stream(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/cp")
+    writer.trigger(availableNow=True).start(f"{root}/o").awaitTermination()
+    got = spark.read.parquet(f"{root}/o")
     pairs = lambda df: sorted((r.from_query_id, r.to_query_id) for r in df.collect())
     assert pairs(got) == pairs(V.refinement_pairs(whole, F.lit(T0)))

@@ -22,9 +22,6 @@ from docloom.session import store_table
 
 DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
 COSINE, MASS = 0.5, 0.4
-#: Words that stand in more than this share of all passages, and in more than SEEN of them, weigh nothing in the search; rarer ones weigh by how
-#: much rarer they are.
-COMMON, SEEN = 0.01, 20
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Items of fewer words count only where they stand word for word.
 SHORT = 8
@@ -238,7 +235,7 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     seen = np.zeros(len(vocabulary) + 1)
     for row in numbered.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         seen[row["term"]] = row["n"]
-    weight = np.maximum(0, np.log(max(COMMON * seen[0], SEEN) / (1 + np.minimum(seen, seen[0]))))
+    weight = np.log((2 + seen[0]) / (1 + np.minimum(seen, seen[0])))  # over 0 for every word, however often an item is copied
     weight[0] = 0
     basis, sigma = latent_basis(numbered, weight)
     # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
@@ -248,8 +245,6 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     for item_id, text, words in worded:
         sequence = np.array([vocabulary[w] for w in words], np.int32)
         answer = np.array([vocabulary[w] for w in _answer(text, words)], np.int32)
-        if not weight[sequence].sum():
-            continue  # nothing sets it apart from any passage
         scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer, distinct := frozenset(sequence.tolist()), float(weight[list(distinct)].sum())))
     table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, *_ in found])), np.array([weight[s].sum() for _, s, *_ in found]))
              for width, found in sorted(scales.items())]

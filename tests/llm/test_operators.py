@@ -242,6 +242,22 @@ def test_leaks(spark, docs, empty):
     assert decontam.find_leaks(docs, some.limit(0)).count() == 0
 
 
+def test_leak_of_a_third_of_all_rows(spark):
+    """An item that very many rows hold, one of words that all rows hold, and one that few hold."""
+    rng = random.Random(12)
+    filler, common = [f"f{k}" for k in range(2000)], [f"c{k}" for k in range(12)]
+    items = [(1, " ".join(f"hot{k}" for k in range(24))), (2, " ".join(common)), (3, " ".join(f"rare{k}" for k in range(20)))]
+    asked = []
+    for k in range(240):
+        noise = [rng.choice(filler) for _ in range(50)]
+        mixed = rng.sample(common, 12) if k % 9 != 1 else common
+        asked.append((k, " ".join(noise + [w for c in mixed for w in ([c] if k % 9 == 1 else [c, *rng.choices(filler, k=6)])] + ([items[0][1]] if k % 3 == 0 else []))))
+    asked.append((900, f"{asked[2][1]} {items[2][1]}"))
+    got = decontam.find_leaks(spark.createDataFrame(asked, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(k, 1) for k in range(0, 240, 3)} | {(k, 2) for k in range(1, 240, 9)} | {(900, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_heaviest_common():
     rng, weight = np.random.default_rng(2), np.array([0.0, 1.0, 2.5, 0.5, 3.0])
 

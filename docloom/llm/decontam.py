@@ -1,9 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are stretches of words, terms the words of the benchmark (words that no item has can't make a passage like an item). Term weights count
-passages of all documents, and a randomised SVD over all of them, computed as sums of small blocks, gives the latent space. Windows of every
-document are compared with the items by cosine; candidates are verified by the heaviest common subsequence of words with the item, and with its
-answer, the last sentence. So rewordings, dropped words and changed punctuation are found as well as copies.
+passages of all documents, and a randomised SVD over all of them, computed as sums of small blocks, gives the latent space. Every region of every document that
+holds enough of an item's rarest words to hold the least share of its weight is compared with the item by the heaviest common subsequence of
+words, and with its answer, the last sentence; this bound drops nothing that would be a leak. Items under eight words are looked up word for word.
+So rewordings, dropped words and changed punctuation are found as well as copies. The latent space gives the reported cosine of an item and its
+window; it decides nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from docloom.llm.common import one_blas_thread, raw_text, sum_over
 from docloom.session import store_table
 
 DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
-COSINE, MASS = 0.5, 0.4
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Items of fewer words count only where they stand word for word.
 SHORT = 8
+#: Share of an item's weight, from its rarest word on, whose words are looked up; the search is exact for any share over 1 - SHARE_WITH_ANSWER.
+SOUGHT = 0.8
+#: Quarters of a window in the region that is compared with an item; terms searched at a time.
+SPAN, CHUNK = 6, 200_000
 #: Items compared at a time; their vectors and words are what is broadcast (about 1 KB an item).
 ITEMS = 20_000
 MEMO = 400_000
@@ -140,59 +145,129 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-9)
 
 
+def _posted(postings: tuple, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, entry) for each place whose term heads posting entries."""
+    first = postings[0]
+    counts = first[terms + 1] - first[terms]
+    at = np.flatnonzero(counts)
+    counts = counts[at]
+    entry = np.repeat(first[terms[at]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return np.repeat(at, counts), entry
+
+
 def _searcher(shared):
+    def chunks(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first row, all terms, ends of the rows) of stretches of rows with about CHUNK terms."""
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()
+        k = 0
+        while k < len(ends) - 1:
+            to = max(k + 1, int(np.searchsorted(ends, ends[k] + CHUNK, "right")) - 1)
+            yield k, values[ends[k] : ends[to]], ends[k : to + 1] - ends[k]
+            k = to
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         model = shared.value
-        weight, side, scales = model["weight"], model["side"], model["scales"]
-        worth = weight.tolist().__getitem__
+        weight, side, items = model["weight"], model["side"], model["items"]
+
+        def cosine(i: int, window: np.ndarray) -> float:
+            return float(_unit(side[window].sum(0)) @ items[i]["vector"])
+
+        def verbatim(terms: np.ndarray, ends: np.ndarray, found: dict) -> None:
+            """Items under SHORT words, each looked up by its rarest word."""
+            place, entry = _posted(model["short"], terms)
+            item, start = model["short"][1][entry], place - model["short"][2][entry]
+            row = np.searchsorted(ends, place, "right") - 1
+            size = model["sizes"][item]
+            ok = (start >= ends[row]) & (start + size <= ends[row + 1])
+            item, start, row, size = item[ok], start[ok], row[ok], size[ok]
+            for k in range(SHORT - 1):
+                inside = k < size
+                ok = ~inside
+                ok[inside] = terms[start[inside] + k] == model["letters"][item[inside], k]
+                item, start, row, size = item[ok], start[ok], row[ok], size[ok]
+            _, once = np.unique(row * len(items) + item, return_index=True)
+            for k in once.tolist():
+                i = int(item[k])
+                found.setdefault(int(row[k]), {})[i] = (cosine(i, terms[start[k] : start[k] + size[k]]), 1.0, 1.0)
+
+        def worded(width: int, postings: tuple, terms: np.ndarray, ends: np.ndarray, found: dict) -> None:
+            """Items whose windows have this width. A region are SPAN stretches of a quarter of it."""
+            quarter = width // 4
+            place, entry = _posted(postings, terms)
+            if not len(place):
+                return
+            row = np.searchsorted(ends, place, "right") - 1
+            gap = np.diff(ends) // quarter + 1 + SPAN  # regions of two rows never meet
+            base = np.cumsum(gap) - gap
+            total = int(gap.sum())
+            key = postings[1][entry] * total + base[row] + (place - ends[row]) // quarter
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mass = np.concatenate([[0.0], np.cumsum(weight[terms[place[order]]])])
+            sums, key, row = mass[np.append(first, len(key))], key[first], row[order][first]
+            item = key // total
+            heavy = sums[np.searchsorted(key, key + SPAN)] - sums[:-1] >= model["needs"][item]
+            done: set = set()
+            for i, r, block in zip(item[heavy].tolist(), row[heavy].tolist(), (key % total - base[row])[heavy].tolist(), strict=True):
+                text, this = terms[ends[r] : ends[r + 1]], items[i]
+                sequence, answer = this["sequence"], this["answer"]
+                inside = set(text[max(0, block - SPAN + 1) * quarter : (block + SPAN) * quarter].tolist())
+                met = [t in inside for t in sequence.tolist()]
+                if sum(met) < SHARE_WITH_ANSWER * len(met) or this["worth"][met].sum() < SHARE_WITH_ANSWER * this["worth"].sum() - 1e-9:
+                    continue
+                best = found.setdefault(r, {})
+                for s in range(block, block - SPAN, -1):
+                    if i in best and best[i][1:] == (1.0, 1.0):
+                        break
+                    if (i, r, s) in done:
+                        continue
+                    done.add((i, r, s))
+                    verdict = _verdict(sequence, answer, text[max(0, s * quarter) : (s + SPAN) * quarter], weight)
+                    if verdict and (i not in best or verdict > best[i][1:]):
+                        best[i] = (cosine(i, text[max(0, (s + 1) * quarter) : (s + SPAN - 1) * quarter]), *verdict)
+
         for batch in batches:
             rows = []
-            for row_key, doc_id, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                terms = terms.values.to_numpy()
-                at = np.flatnonzero(weight[terms] > 0)
-                mass = np.concatenate([[0.0], np.cumsum(weight[terms[at]])])
-                sums, found = None, {}
-                for width, items, vectors, whole in scales:
-                    start = np.arange(0, max(1, len(terms) - width // 2), width // 4)
-                    a, b = np.searchsorted(at, start), np.searchsorted(at, start + width)
-                    held = mass[b] - mass[a]
-                    heavy = np.flatnonzero(held >= MASS * whole.min())
-                    if not len(heavy):
-                        continue
-                    if sums is None:
-                        sums = np.concatenate([np.zeros((1, side.shape[1])), np.cumsum(side[terms[at]], axis=0, dtype=np.float64)])
-                    for k in range(0, len(heavy), 512):
-                        part = heavy[k : k + 512]
-                        near = _unit((sums[b[part]] - sums[a[part]]).astype(np.float32)) @ vectors.T
-                        last, region, inside = -1, None, None
-                        for w, i in np.argwhere((near >= COSINE) & (held[part][:, None] >= MASS * whole)):
-                            item_id, sequence, answer, distinct, total = items[i]
-                            if w != last:
-                                s, last = int(start[part[w]]), w
-                                region = terms[max(0, s - width // 4) : s + width + width // 4]
-                                inside = set(region.tolist())
-                            if sum(map(worth, distinct & inside)) < SHARE_WITH_ANSWER * total / 2:
-                                continue
-                            verdict = _verdict(sequence, answer, region, weight)
-                            if verdict and (item_id not in found or verdict[0] > found[item_id][1]):
-                                found[item_id] = (float(near[w, i]), *verdict)
-                rows += [(row_key, doc_id, item_id, *v) for item_id, v in sorted(found.items())]
+            for at, terms, ends in chunks(batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)):
+                found: dict[int, dict] = {}
+                verbatim(terms, ends, found)
+                for width, postings in model["scales"]:
+                    worded(width, postings, terms, ends, found)
+                for r in sorted(found):
+                    names = (batch.column(0)[at + r].as_py(), batch.column(1)[at + r].as_py())
+                    rows += [(*names, items[i]["id"], *v) for i, v in sorted(found[r].items())]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
                                              ["row_key", "doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
     return search
 
 
+def _posting_lists(entries: list[tuple[int, int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (term, item, offset), as first entry of each term, items and offsets."""
+    table = np.array(sorted(entries), np.int64).reshape(-1, 3)
+    return np.searchsorted(table[:, 0], np.arange(size + 1)), table[:, 1], table[:, 2]
+
+
+def _sought(sequence: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """(rarest terms of an item, weight of them that a leak must hold at least). A leak holds SHARE_WITH_ANSWER of the whole weight, of which at
+    most the other terms can come from elsewhere."""
+    terms, counts = np.unique(sequence, return_counts=True)
+    order = np.lexsort((terms, -weight[terms]))
+    held = np.cumsum((weight[terms] * counts)[order])
+    k = int(np.searchsorted(held, SOUGHT * held[-1])) + 1
+    chosen = order[:k]
+    return terms[chosen], float(held[min(k, len(held)) - 1] - (1 - SHARE_WITH_ANSWER) * held[-1]) * (1 - 1e-9)
+
+
 def _verdict(sequence: np.ndarray, answer: np.ndarray, region: np.ndarray, weight: np.ndarray) -> tuple[float, float] | None:
     """(share of the item's words, share of the answer's words) in the common subsequence, None where they don't make a leak. The share must hold
     for the rare words, by weight, as well as for all words."""
     whole = weight[sequence].sum()
     if weight[sequence[np.isin(sequence, region)]].sum() < SHARE_WITH_ANSWER * whole:
         return None
-    if len(sequence) < SHORT:
-        spots = np.flatnonzero(region[: max(0, len(region) - len(sequence) + 1)] == sequence[0])
-        return (1.0, 1.0) if any((region[p : p + len(sequence)] == sequence).all() for p in spots) else None
     rare = heaviest_common(sequence, region, weight) / whole
     if rare < SHARE_WITH_ANSWER:
         return None
@@ -241,13 +316,23 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
     kept = sigma > 0.01 * sigma.max(initial=0)  # directions that the passages hardly have would only add noise
     side = (basis * weight[:, None] * np.where(kept, 1 / np.where(kept, sigma, 1), 0)).astype(np.float32)
-    scales: dict[int, list] = {}
-    for item_id, text, words in worded:
+    held, short, scales = [], [], {}
+    for i, (item_id, text, words) in enumerate(worded):
         sequence = np.array([vocabulary[w] for w in words], np.int32)
         answer = np.array([vocabulary[w] for w in _answer(text, words)], np.int32)
-        scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).append((item_id, sequence, answer, distinct := frozenset(sequence.tolist()), float(weight[list(distinct)].sum())))
-    table = [(width, found, _unit(np.stack([side[s].sum(0) for _, s, *_ in found])), np.array([weight[s].sum() for _, s, *_ in found]))
-             for width, found in sorted(scales.items())]
-    shared = session.sparkContext.broadcast({"weight": weight, "side": side, "scales": table})
+        terms, need = _sought(sequence, weight)
+        held.append({"id": item_id, "sequence": sequence, "answer": answer, "worth": weight[sequence], "vector": _unit(side[sequence].sum(0)), "need": need})
+        if len(words) < SHORT:
+            rarest = int(np.argmax(weight[sequence]))
+            short.append((int(sequence[rarest]), i, rarest))
+        else:
+            scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).extend((t, i, 0) for t in terms.tolist())
+    letters = np.zeros((len(held), SHORT - 1), np.int32)
+    for i, item in enumerate(held):
+        letters[i, : len(item["sequence"])] = item["sequence"][: SHORT - 1]
+    shared = session.sparkContext.broadcast({
+        "weight": weight, "side": side, "items": held, "letters": letters, "needs": np.array([x["need"] for x in held]),
+        "sizes": np.array([len(x["sequence"]) for x in held], np.int64), "short": _posting_lists(short, len(weight)),
+        "scales": [(width, _posting_lists(entries, len(weight))) for width, entries in sorted(scales.items())]})
     kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     return numbered.mapInArrow(_searcher(shared), kind)

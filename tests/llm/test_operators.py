@@ -258,6 +258,39 @@ def test_leak_of_a_third_of_all_rows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_leaks_against_brute_force(spark):
+    """Short items and items of which 60 % are left, among other words of the benchmark: all that a plain search over all windows finds."""
+    rng = random.Random(13)
+    pool = [f"b{k}" for k in range(400)]
+    items = [(k, [rng.choice(pool) for _ in range(n)]) for k, n in enumerate([33, 33, 20, 20, 12, 9, 6, 4, 40, 64, 17, 8])]
+    items += [(100 + k, pool[k * 20 : k * 20 + 20]) for k in range(20)]  # every word of the pool is one of the benchmark
+    asked = []
+    for k in range(160):
+        w = items[k % 12][1]
+        gone = () if len(w) < 8 or k % 3 == 0 else rng.sample(range(len(w)), int(0.38 * len(w)))
+        inner = [rng.choice(pool) if p in gone else x for p, x in enumerate(w)]
+        asked.append((k, rng.choices(pool, k=rng.randrange(60)) + (inner if k % 8 else []) + rng.choices(pool, k=rng.randrange(60))))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for p, y in enumerate(b):
+                row[p + 1] = old[p] + 1 if x == y else max(old[p + 1], row[p])
+        return row[-1]
+
+    def holds(w, doc):
+        spans = [doc[p : p + len(w)] for p in range(max(1, len(doc) - len(w) + 1))]
+        return w in spans if len(w) < 8 else any(len(set(w) & set(x)) >= 0.6 * len(w) and common(w, x) >= 0.6 * len(w) for x in spans)
+    brute = {(k, i) for k, doc in asked for i, w in items if holds(w, doc)}
+    assert {k % 12 for k, i in brute if i == k % 12} == set(range(12))
+    got = decontam.find_leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in asked], "doc_id long, text string"),
+                              spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert len(brute & got) >= 0.9 * len(brute) and len(got - brute) <= 0.1 * len(brute)
+    assert {x for x in brute if len(dict(items)[x[1]]) < 8} <= got
+
+
 def test_heaviest_common():
     rng, weight = np.random.default_rng(2), np.array([0.0, 1.0, 2.5, 0.5, 3.0])
 

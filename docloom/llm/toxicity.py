@@ -7,6 +7,7 @@ keeps the one of least cost; other words have one reading. The restored words ar
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -174,10 +175,10 @@ def _evidence(cost: np.ndarray, wanted: frozenset | None):
                 words = decoder.restore(text.as_py()).split()
                 if not words:
                     continue
-                cluster = max(words, key=lambda w: (len(w), w))  # near copies share their longest word, so they count about once
+                cluster = hashlib.sha256(" ".join(words).encode()).digest()  # copies of one text count once, other texts each
                 found = features(Counter(s for w in words for s in stems(w)))
                 rows += [(f, cluster) for f in found if wanted is None or f in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["feature", "cluster"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.string()), (1, pa.binary()))], ["feature", "cluster"])
     return collect
 
 
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
     shares = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def counted(label: int, wanted: frozenset | None) -> DataFrame:
-        rows = known.filter(F.col("label") == label).select("text").mapInArrow(_evidence(cost, wanted), "feature string, cluster string")
+        rows = known.filter(F.col("label") == label).select("text").mapInArrow(_evidence(cost, wanted), "feature string, cluster binary")
         return rows.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
     toxic = {r["feature"]: r["n"] for r in counted(1, None).filter(F.col("n") >= MIN_SEEN).collect()}

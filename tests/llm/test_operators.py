@@ -221,6 +221,18 @@ def test_toxicity_scores(spark, docs, labels, empty):
     assert toxicity.scored(empty, nothing).count() == 0
 
 
+def test_toxic_texts_with_one_footer(spark):
+    """Texts that share their longest token are still texts of their own; copies of one text count once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(30)) for _ in range(300)]
+    texts = [t + (" you badword" if k % 4 == 0 else "") + " licenselicenselicensefooter" for k, t in enumerate(texts)]
+    texts += ["one rareword " + texts[1]] * 40
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 4 == 0 or k >= 300)) for k in range(340)], "doc_id long, toxic int")
+    evidence = toxicity.fit(table, marks)["evidence"]
+    assert "1=badword" in evidence and "1=rareword" not in evidence
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------------------
 
 def test_leaks(spark, docs, empty):

@@ -154,7 +154,7 @@ def _prefixes(counts):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                nodes, comps, sizes, keys = [], [], [], []
+                nodes, comps, sizes, keys, places = [], [], [], [], []
                 for node, comp, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     s = held.values.to_numpy()
                     n = len(s)
@@ -164,26 +164,49 @@ def _prefixes(counts):
                     nodes += [node] * k
                     comps += [comp] * k
                     sizes += [n] * k
+                    places += range(k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes, pa.int64()), pa.array(comps, pa.int64()),
-                                                  pa.array(sizes, pa.int64())], ["shingle", "node", "component", "size"])
+                                                  pa.array(sizes, pa.int64()), pa.array(places, pa.int64())], ["shingle", "node", "component", "size", "place"])
     return prefix
 
 
 def _remaining(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components among ``open_nodes`` that can reach the similarity."""
+    """Links (a, b) among ``open_nodes`` that join all of their components that any link joins. In each shingle one set of every component meets
+    one of the smallest component's first. Only components that this leaves apart meet set by set, and sets of one component never do."""
     session = sets.sparkSession
     held = store_table(sets.join(open_nodes, "node").select("node", "component", "shingles"), "open-sets")
     counts = np.zeros(SLOTS, np.int32)
     found = held.select("shingles").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 31) - 1)
-    rows = held.mapInArrow(_prefixes(session.sparkContext.broadcast(counts)), "shingle long, node long, component long, size long")
+    rows = held.mapInArrow(_prefixes(session.sparkContext.broadcast(counts)), "shingle long, node long, component long, size long, place long")
     rows = store_table(rows, "prefixes")
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.join(mixed.filter("low <> high").select("shingle"), "shingle")
-    a = rows.select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"))
-    b = rows.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
-    near = (SHARE_DEN * F.least("sa", "sb") >= SHARE_NUM * F.greatest("sa", "sb"))
-    return a.join(b, "shingle").filter((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+    heads = store_table(rows.groupBy("shingle", "component").agg(F.min("node").alias("node")), "heads")
+    leaders = heads.groupBy("shingle").agg(F.min(F.struct("component", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = _attach(heads, store_table(leaders, "leaders"), ["shingle"], "n", "inner").filter(F.col("component") != F.col("first.component"))
+    pairs = met.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
+    links = store_table(_verified(store_table(pairs, "pairs"), sets), "links")
+    if not links.isEmpty():
+        named = [held.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        merged = components(links.join(named[0], "a").join(named[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        merged = store_table(merged.join(sizes, "component"), "merged")
+        rows = _attach(rows, merged, ["component"], "n", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined", "n")
+        rows = store_table(rows, "prefixes")
+    parts = rows.groupBy("shingle", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    mixed = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    parts = store_table(parts.join(mixed, "shingle"), "parts")
+    x = parts.select("shingle", F.col("component").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    y = parts.select("shingle", F.col("component").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    fit = (SHARE_DEN * F.col("ha") >= SHARE_NUM * F.col("lb")) & (SHARE_DEN * F.col("hb") >= SHARE_NUM * F.col("la"))
+    both = x.join(y, "shingle").filter((F.col("ca") < F.col("cb")) & fit).select("shingle", "ca", "cb")
+    a = rows.select("shingle", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+    b = rows.select("shingle", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"))
+    near = SHARE_DEN * F.least("sa", "sb") >= SHARE_NUM * F.greatest("sa", "sb")
+    # holds at the first shingle that two alike sets share: all that they share stands from there on
+    enough = (SHARE_DEN + SHARE_NUM) * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= SHARE_NUM * (F.col("sa") + F.col("sb"))
+    rest = both.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"]).filter(near & enough).select("a", "b").distinct()
+    return links.unionByName(_verified(store_table(rest, "pairs"), sets))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -220,8 +243,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     mixed = store_table(mixed.filter("low <> high").select("band", "n"), "mixed")
     if not mixed.isEmpty():
         open_nodes = store_table(_attach(placed, mixed, ["band"], "n", "inner").select("node", "component").distinct(), "open")
-        rest = store_table(_remaining(open_nodes, sets), "pairs")
-        more = store_table(_verified(rest, sets), "links")
+        more = store_table(_remaining(open_nodes, sets), "links")
         if not more.isEmpty():  # the stars found so far and the new links between them
             joined = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
             found = store_table(components(joined), "components")

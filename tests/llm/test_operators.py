@@ -143,6 +143,25 @@ def test_near_components_chain_and_shared_passage(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(items)
 
 
+def test_remaining_links_of_large_components(spark, monkeypatch):
+    """Two large components of one template meet through one set each, not set by set."""
+    rng = random.Random(9)
+    template, seen, verified = [rng.randrange(1 << 60) for _ in range(100)], [], minhash._verified
+    sets = [(k, template[:97] + [rng.randrange(1 << 60) for _ in range(3)]) for k in range(120)]
+    sets.append((500, template[:40] + [rng.randrange(1 << 60) for _ in range(60)]))  # like no other
+    table = spark.createDataFrame(sets, "node long, shingles array<long>")
+    opened = spark.createDataFrame([(k, 0 if k < 60 else 60 if k < 120 else k) for k, _ in sets], "node long, component long")
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return verified(pairs, sets)
+    monkeypatch.setattr(minhash, "_verified", counted)
+    links = minhash._remaining(opened, table)
+    found = [(r["a"], r["b"]) for r in links.collect()]
+    assert any((a < 60) != (b < 60) for a, b in found) and all(500 not in x for x in found)
+    assert max([*seen, len(found)]) < 500
+
+
 def test_sketch_agreement_follows_similarity():
     rng = np.random.default_rng(1)
     for size, shared in [(40, 30), (300, 200), (2000, 1900), (7, 6)]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,3 +126,53 @@ def op2_decontaminate(spark, sf_dir):
 def op5_attention_lm(spark, sf_dir):
     from docloom.llm.attention_lm import score
     return score(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The text of the periodic-run query: for a tenth of the ids the words from a drawn place on repeat with a drawn period."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    tail = words[a : a + p]
+    return words[:a] + (tail * (-(-(n - a) // p)))[: n - a]
+
+
+@query("op13_periodic_runs", r"""
+    WITH t AS (
+      SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0,
+             xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)) AS h
+      FROM documents),
+    u AS (SELECT *, len(w0) AS n, CASE WHEN len(w0) > 0 AND h % 10 = 0 THEN (h // 10) % len(w0) END AS a, h // 10 AS g FROM t),
+    d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(0, n),
+                   lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM u),
+    six AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 6), ' ') AS f
+            FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= 12)),
+    again AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.f = y.f AND x.i < y.i),
+    island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM again),
+    stretch AS (SELECT doc_id, min(i) AS start, count(*) + 5 + q AS length, q FROM island GROUP BY doc_id, q, island
+                HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT s.doc_id, string_agg(s.word, ' ' ORDER BY s.i) AS collapsed
+             FROM (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM d) s ANTI JOIN gone USING (doc_id, i) GROUP BY s.doc_id),
+    per AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                   arg_max(struct_pack(s := start, l := length, p := period), struct_pack(l := length, s := -start, p := -period)) AS best
+            FROM run GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, (1000 * best.l) // best.p AS exponent_milli,
+           sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op13_periodic_runs(spark, sf_dir):
+    from docloom.llm.periodic_runs import periodic_runs
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeated_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    best = found.withColumn("best", F.when(F.size("runs") > 0, ranked))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"),
+                       period.alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

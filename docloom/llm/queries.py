@@ -176,3 +176,26 @@ def op13_periodic_runs(spark, sf_dir):
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"),
                        period.alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op11_norm_buckets", r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    s AS (SELECT count(*)::BIGINT AS big_n, sum(len(terms))::BIGINT AS l FROM t WHERE len(terms) > 0),
+    c AS (SELECT doc_id, term, max(n)::BIGINT AS n, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY ALL),
+    d AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY term, big_n),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    p AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // l))))::BIGINT AS score
+          FROM i JOIN d USING (term) JOIN c USING (term), s GROUP BY item_id, doc_id)
+    SELECT item_id, rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM p WHERE score > 0) WHERE rank <= 10""")
+def op11_norm_buckets(spark, sf_dir):
+    from docloom.llm.norm_buckets import rank_documents
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spot_signatures")
+def op12_spot_signatures(spark, sf_dir):
+    from docloom.llm.spot_signatures import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))

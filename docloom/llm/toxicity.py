@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ _SIGN_COST, _DROP_COST, _REPEAT_COST, _KEEP_COST = 1.0, 1.5, 0.7, 8.0
 _EDGE = " \t\n\x0b\x0c\r.,;:?\"'“”„«»…()[]{}<>#%&*_-–/\\=~^`"
 _ODD = re.compile(r"[^\W\d_][^\w\s'’]+[^\W\d_]|[\d@$!|+€£¡(<][^\W\d_]|[^\W\d_][\d@$!|+€£¡(<]|(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\x20\S){2,}(?!\S)")
-_TAIL = re.compile(r"(\W)\1{2,}$|[!|+]+$")
 
 
 def symbol(char: str) -> int:
@@ -73,6 +73,15 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
+def _without_tail(word: str) -> str:
+    """The word without marks of emphasis at its end: any of !|+, or one other sign three times or more."""
+    cut = word.rstrip("!|+")
+    if cut != word or not word or word[-1].isalnum() or word[-1] == "_":
+        return cut
+    cut = word.rstrip(word[-1])
+    return cut if len(word) - len(cut) > 2 else word
+
+
 class Decoder:
     """Readings of disguised words under the character model."""
 
@@ -80,30 +89,33 @@ class Decoder:
         self.cost = cost.tolist()
 
     def lattice(self, word: str) -> list[list[tuple[int, str, float]]]:
-        """For each position the arcs (next position, letters, channel cost)."""
-        arcs = []
-        for k, c in enumerate(word):
-            run = 1
-            while k + run < len(word) and word[k + run] == c:
-                run += 1
-            here = []
+        """For each position the arcs (next position, letters, channel cost). A run of one sign that is longer than three has arcs from its start
+        to its end only: one letter, two, or none of a sign that is no letter, and digits that are kept."""
+        arcs: list[list[tuple[int, str, float]]] = [[] for _ in word]
+        start = 0
+        for c, signs in groupby(word):
+            size = sum(1 for _ in signs)
+            end = start + size
             letters = c if c.isalpha() else _SIGNS.get(c, "")
-            for x in letters:
-                price = 0.0 if x == c else _SIGN_COST
-                here.append((k + 1, x, price))
-                if run > 1:
-                    here.append((k + run, x, price + _REPEAT_COST))
-                if run > 2:
-                    here.append((k + run, x + x, price + _REPEAT_COST))
-            if not c.isalpha():
-                here.append((k + run, "", _DROP_COST))
-                if c.isdigit():
-                    here.append((k + 1, c, _KEEP_COST))
-            arcs.append(here)
+            for k in range(start, end if size <= 3 else start + 1):
+                here, run = arcs[k], end - k
+                for x in letters:
+                    price = 0.0 if x == c else _SIGN_COST
+                    if size <= 3:
+                        here.append((k + 1, x, price))
+                    if run > 1:
+                        here.append((end, x, price + _REPEAT_COST))
+                    if run > 2:
+                        here.append((end, x + x, price + _REPEAT_COST))
+                if not c.isalpha():
+                    here.append((end, "", _DROP_COST))
+                    if c.isdigit():
+                        here.append((k + 1, c, _KEEP_COST) if size <= 3 else (end, c * size, _KEEP_COST * size))
+            start = end
         return arcs
 
     def decode(self, word: str) -> tuple[str, float]:
-        """(reading of least cost, its cost). A run of one letter is kept, halved to two or made one; ties go to the first in order."""
+        """(reading of least cost, its cost). A run of one letter is kept, made two or one, and never kept beyond three; ties go to the first in order."""
         best: list[dict] = [{} for _ in range(len(word) + 1)]
         best[0][0, 0] = (0.0, None, "")
         cost = self.cost
@@ -132,7 +144,7 @@ class Decoder:
     def word(self, token: str) -> str:
         """The restored form of a blank-free token of lower case, '' if no letter is left."""
         inner = token.strip(_EDGE)
-        inner = _TAIL.sub("", inner).strip(_EDGE) or inner
+        inner = _without_tail(inner).strip(_EDGE) or inner
         if inner.isalpha() and not _ODD.search(inner):
             return inner
         if not any(map(str.isalpha, inner)):

@@ -36,6 +36,8 @@ _BRACKETED = re.compile(r"\x20?(?:\[\x20?(at|dot)\x20?\]|\(\x20?(at|dot)\x20?\)|
 _WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++(?:\x20dot\x20[A-Za-z0-9_%+-]++)*+)(\x20at\x20|@)"
                      r"([A-Za-z0-9-]++(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]++)++)", re.I)
 
+_AT_HOST = re.compile(r"\x20at\x20[a-z0-9-]+\.[a-z0-9-]")
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -140,15 +142,15 @@ def rewritten(text: str) -> Traced:
     low = traced.text.lower()
     if "dot" in low or "at" in low:
         traced.rewrite([(m.start(), m.end(), "@" if (m[1] or m[2] or m[3] or m[4]).lower() == "at" else ".") for m in _BRACKETED.finditer(traced.text)])
-    if " dot " in traced.text.lower():
+    low = traced.text.lower()
+    if " dot " in low or " at " in low and _AT_HOST.search(low):
         edits = []
         for m in _WORDED.finditer(traced.text):
             at = [(m.start(2), m.end(2), "@")] if m[2] != "@" else []
             dots = [(m.start() + d.start(), m.start() + d.end(), ".") for d in re.finditer(r"\x20dot\x20", m[0], re.I)]
-            if dots:
-                edits += sorted(at + dots)
+            edits += sorted(at + dots)
         traced.rewrite(edits)
-    if sum(w in low for w in _DIGITS) >= 2 or any(w in low for w in _REPEATS):
+    if any(w in low for w in _DIGITS):
         traced.rewrite([(m.start(), m.end(), _spelled(m[0])) for m in _SPELLED.finditer(traced.text)])
     return traced
 

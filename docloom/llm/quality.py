@@ -93,7 +93,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, rest: int = 0, rows: int = SAMPLE) -> dict:
-    """Weights, projection and labelled vectors; labels only from rows outside the held-out fold."""
+    """Weights, projection and labelled vectors; labels only from rows outside the held-out fold, at most ``rows`` ids, of each the text with the
+    smallest hash where several rows share it."""
     idf = weights(docs)
     drawn = labelled_sample(labels, column, modulus, rest, rows)
 
@@ -102,9 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: in
             found = vectors(batch.column(0).to_pylist(), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], ["vector", "label"])
 
-    slim = docs.select("doc_id", raw_text().alias("raw"))
-    known = slim.join(F.broadcast(drawn), "doc_id").select("raw", "label").mapInArrow(encode, "vector binary, label int").collect()
-    known = sorted((bytes(r["vector"]), r["label"]) for r in known)[: 2 * rows]  # a repeated id may bring more rows than labels
+    slim = docs.select("doc_id", raw_text().alias("raw")).join(F.broadcast(drawn), "doc_id")
+    once = slim.groupBy("doc_id", "label").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw"))  # one text of an id that repeats
+    known = once.select("raw", "label").mapInArrow(encode, "vector binary, label int").collect()  # at most ``rows``
+    known = sorted((bytes(r["vector"]), r["label"]) for r in known)
     if not known:
         return {"idf": idf, "basis": np.zeros((TERMS, 1), np.float32), "points": np.zeros((0, 1), np.float32), "labels": np.zeros(0)}
     matrix = np.stack([np.frombuffer(v, np.float16) for v, _ in known]).astype(np.float32)

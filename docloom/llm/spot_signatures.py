@@ -2,7 +2,7 @@
 
 Anchors are the common words of the corpus: those that make up at least one in ANCHOR of all its words, so fewer than ANCHOR words in any number of
 languages. Every anchor and the CHAIN content words that follow it make a signature; the fingerprint of a text is the set of its signatures. Texts
-that have fewer than FEW also take the chain that starts at each of their words, so that headlines and texts without anchors have fingerprints too.
+with fewer than FEW chains also take the chain that starts at each of their words, so that headlines and texts without anchors have fingerprints too.
 
 Fingerprints are partitioned by set length, in classes of powers of two. The likeness of two is their Jaccard similarity, under FLOOR reported as 0:
 sets whose classes or sizes alone keep it under FLOOR are not intersected.
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +68,44 @@ def common_words(docs: DataFrame, share: int = ANCHOR) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.filter(F.col("n") * share >= total).collect()]
 
 
-class Signer:
-    """Signature sets of texts; remembers the words it has met."""
+class _Codes(dict):
+    """For each token met 63 bits of its word's hash, and a last bit that says whether the word is an anchor."""
 
     def __init__(self, anchors: frozenset[bytes]):
-        self.anchors, self.seen = anchors, {}
+        super().__init__()
+        self.anchors = anchors
 
-    def _code(self, token: bytes) -> int:
-        """63 bits of the word's hash, and a last bit that says whether it is an anchor."""
-        if len(self.seen) >= MEMO:
-            self.seen.clear()
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
         word = word_of(token)
-        code = self.seen[token] = xxhash.xxh3_64_intdigest(word) & ~1 | (word in self.anchors)
+        self[token] = code = xxhash.xxh3_64_intdigest(word) & ~1 | (word in self.anchors)
         return code
 
-    def signatures(self, text: bytes) -> np.ndarray:
+
+class Signer:
+    """Signature sets of texts; remembers the words it has met."""
+
+    def __init__(self, anchors: frozenset[bytes]):
+        self.seen = _Codes(anchors)
+
+    def codes(self, tokens: list[bytes]) -> np.ndarray:
+        seen = self.seen
+        return np.array([seen[t] for t in tokens], np.uint64)
+
+    def joined(self, head: bytes, of_head: np.ndarray, tail: bytes, of_tail: np.ndarray) -> np.ndarray:
+        """Codes of ``head + tail``, which begin two texts with known codes: only words at the cuts are looked up."""
+        one, two = head.split(), tail.split()
+        if not one or not two:
+            return self.codes((head + tail).split())
+        whole = (head[-1:] + tail[:1]).split()
+        seam = [one[-1] + two[0]] if len(whole) == 1 and len(whole[0]) == 2 else [one[-1], two[0]]
+        if len(two) == 1:
+            return np.concatenate([of_head[: len(one) - 1], self.codes(seam)])
+        return np.concatenate([of_head[: len(one) - 1], self.codes(seam), of_tail[1 : len(two) - 1], self.codes(two[-1:])])
+
+    def signatures(self, codes: np.ndarray) -> np.ndarray:
         """Sorted distinct 48-bit hashes."""
-        get, new = self.seen.get, self._code
-        codes = np.array([get(t) or new(t) for t in text.split()], np.uint64)
         if not len(codes):
             return codes
         anchor = (codes & np.uint64(1)) == 1
@@ -96,7 +115,7 @@ class Signer:
         first, found = first[whole], codes[anchor][whole]
         for k in range(CHAIN):
             found = mix64(found * np.uint64(0x9E3779B97F4A7C15) + content[first + k])
-        if len(found) < FEW:
+        if len(first) < FEW or len(np.unique(first)) < FEW:
             chain = codes
             for k in range(1, CHAIN + 1):
                 after = np.concatenate([codes[k:], np.zeros(min(k, len(codes)), np.uint64)])
@@ -126,24 +145,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return found if found >= FLOOR else 0.0
 
 
-def edited(text: str, following: str) -> str:
-    """The text with its last third replaced by as many characters from the beginning of the following one, or all it has."""
-    cut = len(text) // 3
-    return text[: len(text) - cut] + following[:cut]
-
-
 def _stream(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(shared.value)
         columns: list[list] = [[] for _ in range(9)]
 
         def add(row: tuple, following: tuple) -> None:
-            doc_id, text, own = row
-            new = edited(text, following[1])
-            raw = new.encode()
-            changed = signer.signatures(raw)
-            values = (doc_id, len(text), hashlib.sha256(raw).hexdigest(), written(own), written(changed), likeness(own, changed),
-                      likeness(own, following[2]), len(own), length_class(len(own)))
+            doc_id, text, codes, own = row
+            cut = len(text) // 3  # the last third gives way to as many characters of the next text, or all it has
+            head, tail = text[: len(text) - cut].encode(), following[1][:cut].encode()
+            changed = signer.signatures(signer.joined(head, codes, tail, following[2]))
+            values = (doc_id, len(text), hashlib.sha256(head + tail).hexdigest(), written(own), written(changed), likeness(own, changed),
+                      likeness(own, following[3]), len(own), length_class(len(own)))
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
 
@@ -162,7 +175,8 @@ def _stream(shared):
                 elif waiting is None:
                     continue  # rows behind the first of the next range
                 raw = text.as_py()
-                row = (doc_id, raw, signer.signatures(raw.encode()))
+                codes = signer.codes(raw.encode().split())
+                row = (doc_id, raw, codes, signer.signatures(codes))
                 if waiting is not None:
                     add(waiting, row)
                 waiting = None if border else row
@@ -185,13 +199,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of their texts. Null texts are empty; an empty text has an empty fingerprint, and two of them are alike. Equal texts have equal fingerprints.
     The only row of a table follows itself. Other columns are ignored; an empty table gives an empty result.
     """
+    from pyspark.ml.feature import Bucketizer  # here, so that tasks don't load it
+
     session = docs.sparkSession
     anchors = session.sparkContext.broadcast(frozenset(common_words(docs)))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     ranges = min(MOST_RANGES, RANGES * int(session.conf.get("spark.sql.shuffle.partitions")))
     only = docs.select(ids.alias("id"))
     cuts = only.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100_000)).first()[0] or []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    splits = [-math.inf, *sorted({float(c) for c in cuts or [0]}), math.inf]
     cut = Bucketizer(splits=splits, inputCol="at", outputCol="place")
 
     def placed(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are stretches of words, terms the words of the benchmark (words that no item has can't make a passage like an item). Term weights count
-passages of all documents, and a randomised SVD over all of them, computed as sums of small blocks, gives the latent space. Every region of every document that
-holds enough of an item's rarest words to hold the least share of its weight is compared with the item by the heaviest common subsequence of
-words, and with its answer, the last sentence; this bound drops nothing that would be a leak. Items under eight words are looked up word for word.
-So rewordings, dropped words and changed punctuation are found as well as copies. The latent space gives the reported cosine of an item and its
-window; it decides nothing.
+passages of all documents, and a randomised SVD over all of them, computed as sums of small blocks, gives the latent space. Windows of an item's own
+length, at every eighth word of every document, are compared with it by cosine there; those from COSINE on are candidates, and the regions around them
+are compared with the item by the heaviest common subsequence of words, and with its answer, the last sentence.
+
+What the cosine leaves is caught by an exact net: every region that holds enough of an item's rarest words to hold the least share of its weight
+is compared as well, so nothing that would be a leak is dropped. ``by_cosine`` says which leaks the cosine found by itself. Items under eight words
+are looked up word for word. So rewordings, dropped words and changed punctuation are found as well as copies.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from docloom.session import store_table
 
 DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
+#: Cosine of a candidate window, and words of the blocks that windows are made of.
+COSINE, STEP = 0.45, 8
 #: Items of fewer words count only where they stand word for word.
 SHORT = 8
 #: Share of an item's weight, from its rarest word on, whose words are looked up; the search is exact for any share over 1 - SHARE_WITH_ANSWER.
 SOUGHT = 0.8
-#: Quarters of a window in the region that is compared with an item; terms searched at a time.
-SPAN, CHUNK = 6, 200_000
-#: Items compared at a time; their vectors and words are what is broadcast (about 1 KB an item).
-ITEMS = 20_000
-MEMO = 400_000
+#: Quarters of a window in the region that is compared with an item.
+SPAN = 6
+#: Terms that are worked on at a time, in sums and in the search, and cells of a block of cosines. They bound what a task holds.
+STRETCH, CELLS = 20_000, 1_000_000
+#: Bytes of benchmark text searched with one reading of the documents; what is broadcast is a small multiple of it.
+ITEM_BYTES = 16 << 20
+MEMO, VERDICTS = 400_000, 20_000
 
 _EDGE = b" \t\n\x0b\x0c\r.,;:?!\"'()[]{}<>#%&*_-$|/\\=~^`"
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
@@ -43,22 +49,28 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for t in text.lower().split() if (w := t.strip(_EDGE))]
 
 
-def _numberer(vocabulary: dict[bytes, int]):
+class _Numbers(dict):
+    """The number of each token met, 0 for words that no item has, -1 for tokens without a word."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        word = token.strip(_EDGE)
+        self[token] = k = self.vocabulary.get(word, 0) if word else -1
+        return k
+
+
+def _numberer(vocabulary):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = _Numbers(vocabulary.value)
         for batch in batches:
             parts, ends = [np.zeros(0, np.int32)], [0]
             for text in batch.column(2):
-                ids = []
-                for token in text.as_py().lower().split():
-                    k = memo.get(token)
-                    if k is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        word = token.strip(_EDGE)
-                        k = memo[token] = vocabulary.get(word, 0) if word else -1
-                    ids.append(k)
-                found = np.array(ids, np.int32)
+                found = np.array([memo[t] for t in text.as_py().lower().split()], np.int32)
                 parts.append(found[found >= 0])
                 ends.append(ends[-1] + len(parts[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
@@ -66,53 +78,64 @@ def _numberer(vocabulary: dict[bytes, int]):
     return number
 
 
-def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a batch of documents and the running number of the passage that each stands in."""
-    lists = batch.column(0)
+def _stretches(lists: pa.ListArray, limit: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first row, all terms, ends of the rows) of stretches of whole rows with about ``limit`` terms; a longer row stands alone."""
     ends = lists.offsets.to_numpy().astype(np.int64)
-    terms = lists.values.to_numpy()[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    sizes = np.diff(ends)
-    within = np.arange(len(terms)) - np.repeat(ends[:-1], sizes)
-    per_doc = -(-sizes // PASSAGE)
-    first = np.cumsum(per_doc) - per_doc
-    return terms, np.repeat(first, sizes) + within // PASSAGE
+    values = lists.values.to_numpy()
+    k = 0
+    while k < len(ends) - 1:
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] + limit, "right")) - 1)
+        yield k, values[ends[k] : ends[to]], ends[k : to + 1] - ends[k]
+        k = to
+
+
+def _passages(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms, about STRETCH at a time whatever the length of a row, and the running number of the passage that each stands in."""
+    whole = STRETCH // PASSAGE * PASSAGE
+    for _, terms, ends in _stretches(lists):
+        if len(ends) == 2:
+            for at in range(0, len(terms), whole):
+                part = terms[at : at + whole]
+                yield part, np.arange(len(part)) // PASSAGE
+            continue
+        sizes = np.diff(ends)
+        within = np.arange(len(terms)) - np.repeat(ends[:-1], sizes)
+        per_doc = -(-sizes // PASSAGE)
+        yield terms, np.repeat(np.cumsum(per_doc) - per_doc, sizes) + within // PASSAGE
 
 
 def _frequencies(n_terms: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n_terms + 1, np.int64)
         for batch in batches:
-            terms, passage = _passages(batch)
-            if len(terms):
-                known = terms > 0
-                pairs = np.unique(passage[known] * (n_terms + 1) + terms[known])
-                seen += np.bincount(pairs % (n_terms + 1), minlength=n_terms + 1)
-                seen[0] += passage[-1] + 1  # slot 0 counts passages
+            for terms, passage in _passages(batch.column(0)):
+                if len(terms):
+                    known = terms > 0
+                    pairs = np.unique(passage[known] * (n_terms + 1) + terms[known])
+                    seen += np.bincount(pairs % (n_terms + 1), minlength=n_terms + 1)
+                    seen[0] += passage[-1] + 1  # slot 0 counts passages
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms + 1), pa.int32()), pa.array(seen)], ["term", "n"])
     return count
 
 
 def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
     """(term rows of the leading right singular vectors, singular values) of the passage matrix, by a randomised range finder: two sums over
-    all passages."""
+    all passages. A task holds STRETCH rows of the width of the space at a time, besides its sum."""
     terms_only, size = numbered.select("terms"), min(len(weight), dims + OVERSAMPLE)
     start = np.random.default_rng(11).standard_normal((len(weight), size)).astype(np.float32)
 
     def rows(batch: pa.RecordBatch, side: np.ndarray):
-        terms, passage = _passages(batch)
-        keep = weight[terms] > 0
-        terms, passage = terms[keep], passage[keep]
-        if not len(terms):
-            return None
-        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        return terms, first, np.add.reduceat(side[terms], first, axis=0)
+        for terms, passage in _passages(batch.column(0)):
+            keep = weight[terms] > 0
+            terms, passage = terms[keep], passage[keep]
+            if len(terms):
+                first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+                yield terms, first, np.add.reduceat(side[terms], first, axis=0)
 
     scaled = (start * weight[:, None]).astype(np.float32)
 
     def spread(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        if found := rows(batch, scaled):
-            terms, first, y = found
+        for terms, first, y in rows(batch, scaled):
             order = np.argsort(terms, kind="stable")
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))[order]
             starts = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]]))
@@ -123,8 +146,7 @@ def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> t
     projected = (basis * weight[:, None]).astype(np.float32)
 
     def inner(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        if found := rows(batch, projected):
-            y = found[2].astype(np.float64)
+        for _, _, y in rows(batch, projected):
             total += y.T @ y
 
     values, turn = np.linalg.eigh(sum_over(terms_only, inner, (basis.shape[1],) * 2))
@@ -155,25 +177,76 @@ def _posted(postings: tuple, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(at, counts), entry
 
 
-def _searcher(shared):
-    def chunks(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the first row, all terms, ends of the rows) of stretches of rows with about CHUNK terms."""
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy()
-        k = 0
-        while k < len(ends) - 1:
-            to = max(k + 1, int(np.searchsorted(ends, ends[k] + CHUNK, "right")) - 1)
-            yield k, values[ends[k] : ends[to]], ends[k : to + 1] - ends[k]
-            k = to
+def _cosine_windows(side: np.ndarray, classes: list, terms: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, first word, item) of the windows of each item's own length whose cosine with it reaches COSINE."""
+    sizes = -(-np.diff(ends) // STEP)
+    last = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    word = (np.arange(last[-1]) - np.repeat(last - sizes, sizes)) * STEP
+    total = np.zeros((len(word) + 1, side.shape[1]))
+    at = ends[row] + word
+    for low in range(0, len(word), STRETCH // STEP):
+        high = min(len(word), low + STRETCH // STEP)
+        to = at[high] if high < len(word) else len(terms)
+        total[low + 1 : high + 1] = np.add.reduceat(side[terms[at[low] : to]], at[low:high] - at[low], axis=0)
+    np.cumsum(total, axis=0, out=total)
+    for width, numbers, vectors in classes:
+        step = max(1, CELLS // len(numbers))
+        for low in range(0, len(word), step):
+            begin = np.arange(low, min(len(word), low + step))
+            window = (total[np.minimum(begin + width, last[row[begin]])] - total[begin]).astype(np.float32)
+            norm = np.linalg.norm(window, axis=1)
+            hit, which = np.nonzero(window @ vectors.T >= COSINE * np.maximum(norm, 1e-6)[:, None])
+            yield from zip(row[begin[hit]].tolist(), word[begin[hit]].tolist(), numbers[which].tolist(), strict=True)
+
 
+def _searcher(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         model = shared.value
         weight, side, items = model["weight"], model["side"], model["items"]
+        memo: dict[tuple[int, bytes], tuple | None] = {}
 
         def cosine(i: int, window: np.ndarray) -> float:
             return float(_unit(side[window].sum(0)) @ items[i]["vector"])
 
+        def verdict(i: int, region: np.ndarray) -> tuple[float, float] | None:
+            key = (i, region.tobytes())  # copies are compared once
+            if key not in memo:
+                if len(memo) >= VERDICTS:
+                    memo.clear()
+                memo[key] = _verdict(items[i]["sequence"], items[i]["answer"], region, weight)
+            return memo[key]
+
+        def hopeless(i: int, words: np.ndarray) -> bool:
+            """Whether these words can't hold the least share of the item, in any order."""
+            this, inside = items[i], set(words.tolist())
+            met = [t in inside for t in this["terms"]]
+            return sum(met) < SHARE_WITH_ANSWER * len(met) or this["worth"][met].sum() < this["least"]
+
+        def compare(i: int, r: int, spots, text: np.ndarray, found: dict, done: set, by_cosine: bool) -> None:
+            quarter = items[i]["quarter"]
+            for s in spots:
+                best = found.get(r, {}).get(i)
+                if best and best[1:3] == (1.0, 1.0):
+                    return
+                if (i, r, s) in done:
+                    continue
+                done.add((i, r, s))
+                seen = verdict(i, text[max(0, s * quarter) : (s + SPAN) * quarter])
+                if seen and (not best or seen > best[1:3]):
+                    mine = by_cosine or bool(best and best[3])
+                    found.setdefault(r, {})[i] = (cosine(i, text[max(0, (s + 1) * quarter) : (s + SPAN - 1) * quarter]), *seen, mine)
+
+        def near(terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
+            """Windows that are near an item in the latent space, each with the regions that hold it."""
+            for r, word, i in _cosine_windows(side, model["classes"], terms, ends):
+                text, this = terms[ends[r] : ends[r + 1]], items[i]
+                quarter, length = this["quarter"], len(this["sequence"])
+                low, high = -(-(word + length) // quarter) - SPAN, word // quarter
+                if not hopeless(i, text[max(0, low * quarter) : (high + SPAN) * quarter]):
+                    compare(i, r, range(high, low - 1, -1), text, found, done, True)
+
         def verbatim(terms: np.ndarray, ends: np.ndarray, found: dict) -> None:
             """Items under SHORT words, each looked up by its rarest word."""
             place, entry = _posted(model["short"], terms)
@@ -190,10 +263,10 @@ def _searcher(shared):
             _, once = np.unique(row * len(items) + item, return_index=True)
             for k in once.tolist():
                 i = int(item[k])
-                found.setdefault(int(row[k]), {})[i] = (cosine(i, terms[start[k] : start[k] + size[k]]), 1.0, 1.0)
+                found.setdefault(int(row[k]), {})[i] = (cosine(i, terms[start[k] : start[k] + size[k]]), 1.0, 1.0, False)
 
-        def worded(width: int, postings: tuple, terms: np.ndarray, ends: np.ndarray, found: dict) -> None:
-            """Items whose windows have this width. A region are SPAN stretches of a quarter of it."""
+        def worded(width: int, postings: tuple, terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
+            """The net: items whose windows have this width, by their rarest words. A region are SPAN stretches of a quarter of it."""
             quarter = width // 4
             place, entry = _posted(postings, terms)
             if not len(place):
@@ -210,38 +283,44 @@ def _searcher(shared):
             sums, key, row = mass[np.append(first, len(key))], key[first], row[order][first]
             item = key // total
             heavy = sums[np.searchsorted(key, key + SPAN)] - sums[:-1] >= model["needs"][item]
-            done: set = set()
             for i, r, block in zip(item[heavy].tolist(), row[heavy].tolist(), (key % total - base[row])[heavy].tolist(), strict=True):
-                text, this = terms[ends[r] : ends[r + 1]], items[i]
-                sequence, answer = this["sequence"], this["answer"]
-                inside = set(text[max(0, block - SPAN + 1) * quarter : (block + SPAN) * quarter].tolist())
-                met = [t in inside for t in sequence.tolist()]
-                if sum(met) < SHARE_WITH_ANSWER * len(met) or this["worth"][met].sum() < SHARE_WITH_ANSWER * this["worth"].sum() - 1e-9:
-                    continue
-                best = found.setdefault(r, {})
-                for s in range(block, block - SPAN, -1):
-                    if i in best and best[i][1:] == (1.0, 1.0):
-                        break
-                    if (i, r, s) in done:
-                        continue
-                    done.add((i, r, s))
-                    verdict = _verdict(sequence, answer, text[max(0, s * quarter) : (s + SPAN) * quarter], weight)
-                    if verdict and (i not in best or verdict > best[i][1:]):
-                        best[i] = (cosine(i, text[max(0, (s + 1) * quarter) : (s + SPAN - 1) * quarter]), *verdict)
+                text = terms[ends[r] : ends[r + 1]]
+                if not hopeless(i, text[max(0, block - SPAN + 1) * quarter : (block + SPAN) * quarter]):
+                    compare(i, r, range(block, block - SPAN, -1), text, found, done, False)
 
-        for batch in batches:
-            rows = []
-            for at, terms, ends in chunks(batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)):
-                found: dict[int, dict] = {}
+        def searched(terms: np.ndarray, ends: np.ndarray) -> dict[int, dict]:
+            found: dict[int, dict] = {}
+            done: set = set()
+            if len(terms):
                 verbatim(terms, ends, found)
+                near(terms, ends, found, done)
                 for width, postings in model["scales"]:
-                    worded(width, postings, terms, ends, found)
+                    worded(width, postings, terms, ends, found, done)
+            return found
+
+        widest = max([PASSAGE, *(w for w, _ in model["scales"])])
+        step = -(-STRETCH // widest) * widest
+
+        def in_pieces(terms: np.ndarray) -> dict[int, dict]:
+            """One long row, in pieces that overlap by more than any region and start on the grid of all regions."""
+            best: dict[int, tuple] = {}
+            for low in range(0, len(terms), step):
+                part = terms[low : low + step + 2 * widest]
+                for i, v in searched(part, np.array([0, len(part)])).get(0, {}).items():
+                    if i not in best or v[1:3] > best[i][1:3]:
+                        best[i] = v
+            return {0: best} if best else {}
+
+        for batch in batches:
+            rows = []
+            for at, terms, ends in _stretches(batch.column(2)):
+                found = in_pieces(terms) if len(terms) > step + 2 * widest and len(ends) == 2 else searched(terms, ends)
                 for r in sorted(found):
                     names = (batch.column(0)[at + r].as_py(), batch.column(1)[at + r].as_py())
                     rows += [(*names, items[i]["id"], *v) for i, v in sorted(found[r].items())]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-                                             ["row_key", "doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+                                             ["row_key", "doc_id", "item_id", "cosine", "lcs_share", "answer_share", "by_cosine"])
     return search
 
 
@@ -284,15 +363,17 @@ def _answer(text: bytes, sequence: list[bytes]) -> list[bytes]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row_key, doc_id, item_id, cosine, lcs_share, answer_share): each item that a row's whole text holds, at its best window.
+    """(row_key, doc_id, item_id, cosine, lcs_share, answer_share, by_cosine): each item that a row's whole text holds, at its best window.
 
     ``row_key`` is ``xxhash64(doc_id, text)``, to find rows without an id again. A leak holds 60 % of the item's words in the item's order, or 45 %
-    and 80 % of its answer, and the same share of its rare words; items under eight words must stand word for word. Null or wordless items and texts leak nothing. Items with equal
-    texts are all reported, repeated rows each; other columns are ignored; empty tables give an empty result. Items are taken in blocks.
+    and 80 % of its answer, and the same share of its rare words; items under eight words must stand word for word. ``by_cosine`` is false where only
+    the net or the word-for-word search found it. Null or wordless items and texts leak nothing. Items with equal texts are all reported, repeated rows
+    and rows that share an id each; a window that ties with an earlier one doesn't replace it. Texts of any length are read whole, a stretch at a
+    time in the sums. Other columns are ignored; empty tables give an empty result. Items are taken in blocks of ITEM_BYTES.
     """
     slim = docs.select(F.xxhash64("doc_id", raw_text()).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), raw_text().alias("raw"))
-    blocks = max(1, math.ceil(items.count() / ITEMS))
+    blocks = max(1, math.ceil((items.agg(F.sum(F.length("raw"))).first()[0] or 0) / ITEM_BYTES))
     found = [_leaks_of_block(slim, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)) for k in range(blocks)]
     out = found[0]
     for more in found[1:]:
@@ -300,12 +381,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _width_in_blocks(length: int) -> int:
+    """Blocks of STEP words in a window for an item of ``length`` words; four widths for each doubling, so that items share them."""
+    width = -(-length // STEP)
+    coarse = 1 << max(0, width.bit_length() - 3)
+    return -(-width // coarse) * coarse
+
+
 def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     session = slim.sparkSession
     texts = sorted({(r["item_id"], bytes(r["raw"])) for r in items.collect()})
     worded = [(i, t, w) for i, t in texts if (w := words_of(t))]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, _, words in worded for w in words}), 1)}
-    numbered = slim.mapInArrow(_numberer(vocabulary), "row_key long, doc_id long, terms array<int>")
+    numbered = slim.mapInArrow(_numberer(session.sparkContext.broadcast(vocabulary)), "row_key long, doc_id long, terms array<int>")
     numbered = store_table(numbered, "terms")
     seen = np.zeros(len(vocabulary) + 1)
     for row in numbered.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
@@ -316,23 +404,27 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
     # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
     kept = sigma > 0.01 * sigma.max(initial=0)  # directions that the passages hardly have would only add noise
     side = (basis * weight[:, None] * np.where(kept, 1 / np.where(kept, sigma, 1), 0)).astype(np.float32)
-    held, short, scales = [], [], {}
+    held, short, scales, classes = [], [], {}, {}
     for i, (item_id, text, words) in enumerate(worded):
         sequence = np.array([vocabulary[w] for w in words], np.int32)
         answer = np.array([vocabulary[w] for w in _answer(text, words)], np.int32)
         terms, need = _sought(sequence, weight)
-        held.append({"id": item_id, "sequence": sequence, "answer": answer, "worth": weight[sequence], "vector": _unit(side[sequence].sum(0)), "need": need})
+        width = max(PASSAGE, 1 << (len(words) - 1).bit_length())
+        held.append({"id": item_id, "sequence": sequence, "answer": answer, "terms": sequence.tolist(), "worth": weight[sequence],
+                     "least": SHARE_WITH_ANSWER * weight[sequence].sum() - 1e-9, "quarter": width // 4, "vector": _unit(side[sequence].sum(0)), "need": need})
         if len(words) < SHORT:
             rarest = int(np.argmax(weight[sequence]))
             short.append((int(sequence[rarest]), i, rarest))
         else:
-            scales.setdefault(max(PASSAGE, 1 << (len(words) - 1).bit_length()), []).extend((t, i, 0) for t in terms.tolist())
+            scales.setdefault(width, []).extend((t, i, 0) for t in terms.tolist())
+            classes.setdefault(_width_in_blocks(len(words)), []).append(i)
     letters = np.zeros((len(held), SHORT - 1), np.int32)
     for i, item in enumerate(held):
         letters[i, : len(item["sequence"])] = item["sequence"][: SHORT - 1]
     shared = session.sparkContext.broadcast({
         "weight": weight, "side": side, "items": held, "letters": letters, "needs": np.array([x["need"] for x in held]),
+        "classes": [(w, np.array(k), np.stack([held[i]["vector"] for i in k])) for w, k in sorted(classes.items())],
         "sizes": np.array([len(x["sequence"]) for x in held], np.int64), "short": _posting_lists(short, len(weight)),
         "scales": [(width, _posting_lists(entries, len(weight))) for width, entries in sorted(scales.items())]})
-    kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
+    kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double, by_cosine boolean"
     return numbered.mapInArrow(_searcher(shared), kind)

@@ -6,8 +6,10 @@ filled. Coordinates of two sets agree with the probability of their similarity a
 ``ROWS`` coordinates miss a pair of similarity 0.75 with probability (1 - 0.75 ** ROWS) ** BANDS, under one in a million.
 
 Links: in each bucket all sets are verified against the bucket's smallest id, which settles groups of near copies in linear work. What is left
-are sets that share a bucket with another component. For them, a prefix join over their rarest shingles finds every remaining link between
-components exactly: two sets of similarity 0.75 share one of their ``n - ceil(0.75 n) + 1`` first shingles in any common order.
+are buckets that hold sets of several components. Their sets meet inside tasks, in blocks of at most BLOCK sets of a bucket and by low bits of
+two sketches only: each component first takes its nearest other set, one verified pair a component; then the components still apart are listed
+with the sets that are near the other one, and these sets are verified against each other in blocks as well. No row is made for a pair of sets:
+rows grow with the sets in mixed buckets, and with the pairs of components that come within AGREE of each other and still are not linked.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from docloom.session import store_table
 BANDS, ROWS, SHINGLE = 72, 6, 5
 SIZE = BANDS * ROWS
 SHARE_NUM, SHARE_DEN = 75, 100
-SLOTS = 1 << 20  # counters that order shingles by frequency: 4 MB whatever the input
+#: Sets are compared by four bits of each coordinate of two sketches, which agree with probability s + (1 - s) / 16. A pair is taken up if this
+#: many of SIZE and of 2 * SIZE agree, each five deviations under what a similarity of 0.75 gives: under one such pair in a million is missed.
+AGREE = (287, 600)
+#: Sets of one bucket, and of one component in a pair of components, that meet in one block.
+BLOCK, SIDE = 256, 128
 #: Rows of one leader that meet one copy of its set.
 SPREAD = 256
 
@@ -139,74 +145,184 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+def _faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Low bits of two sketches of each of a table of sets."""
+    low = np.uint64(15)
     for batch in batches:
-        values = batch.column(0).flatten().to_numpy().view(np.uint64)
-        total += np.bincount((values % np.uint64(SLOTS)).astype(np.intp), minlength=SLOTS)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["slot", "n"])
-
-
-def _prefixes(counts):
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = counts.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                nodes, comps, sizes, keys, places = [], [], [], [], []
-                for node, comp, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    s = held.values.to_numpy()
-                    n = len(s)
-                    k = n - -(-SHARE_NUM * n // SHARE_DEN) + 1
-                    first = s[np.lexsort((s, weight[(s.view(np.uint64) % np.uint64(SLOTS)).astype(np.intp)]))[:k]]
-                    keys.append(first)
-                    nodes += [node] * k
-                    comps += [comp] * k
-                    sizes += [n] * k
-                    places += range(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes, pa.int64()), pa.array(comps, pa.int64()),
-                                                  pa.array(sizes, pa.int64()), pa.array(places, pa.int64())], ["shingle", "node", "component", "size", "place"])
-    return prefix
-
-
-def _remaining(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among ``open_nodes`` that join all of their components that any link joins. In each shingle one set of every component meets
-    one of the smallest component's first. Only components that this leaves apart meet set by set, and sets of one component never do."""
-    session = sets.sparkSession
-    held = store_table(sets.join(open_nodes, "node").select("node", "component", "shingles"), "open-sets")
-    counts = np.zeros(SLOTS, np.int32)
-    found = held.select("shingles").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 31) - 1)
-    rows = held.mapInArrow(_prefixes(session.sparkContext.broadcast(counts)), "shingle long, node long, component long, size long, place long")
-    rows = store_table(rows, "prefixes")
-    heads = store_table(rows.groupBy("shingle", "component").agg(F.min("node").alias("node")), "heads")
-    leaders = heads.groupBy("shingle").agg(F.min(F.struct("component", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = _attach(heads, store_table(leaders, "leaders"), ["shingle"], "n", "inner").filter(F.col("component") != F.col("first.component"))
-    pairs = met.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        found = []
+        for held in batch.column(1):
+            s = held.values.to_numpy().view(np.uint64)
+            found.append(((sketch(s) & low) | ((sketch(mix64(s)) & low) << np.uint64(4))).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["node", "size", "face"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows with equal values in the first ``keys`` columns, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if held and (key[low] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = key[low]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first sets, second sets, agreement) of a block: places of its sets of different components, near enough in size and sketch."""
+    low, high, part, comp, size = (table.column(k).to_numpy() for k in (1, 2, 3, 5, 6))
+    face = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, SIZE)
+    left, right = face & 15, face >> 4
+    across = low[0] != high[0]
+    one, two = (np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])) if across else (np.arange(len(comp)),) * 2
+    if not across:  # sets of the commonest component only meet the others
+        values, counts = np.unique(comp, return_counts=True)
+        one = np.flatnonzero(comp != values[np.argmax(counts)])
+    for at in range(0, len(one), 32):
+        x = one[at : at + 32]
+        fit = (comp[x][:, None] != comp[two][None]) & (SHARE_DEN * np.minimum(size[x][:, None], size[two][None]) >= SHARE_NUM * np.maximum(size[x][:, None], size[two][None]))
+        columns = np.flatnonzero(fit.any(0))
+        if len(columns):
+            y = two[columns]
+            agree = (left[x][:, None] == left[y][None]).sum(2, dtype=np.int32)
+            i, j = np.nonzero(fit[:, columns] & (agree >= AGREE[0]))
+            total = agree[i, j] + (right[x[i]] == right[y[j]]).sum(1)
+            good = total >= AGREE[1]
+            yield x[i[good]], y[j[good]], total[good]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each component of a block the pair with another one's set that agrees most; ties go to the smallest ids."""
+    for table in _groups(batches, 3):
+        node, comp = table.column(4).to_numpy(), table.column(5).to_numpy()
+        best: dict[int, tuple] = {}
+        for x, y, agree in _near(table):
+            for a, b in ((x, y), (y, x)):
+                order = np.lexsort((node[b], node[a], -agree, comp[a]))
+                c = comp[a][order]
+                order = order[np.concatenate([[True], c[1:] != c[:-1]])] if len(order) else order
+                for k in order.tolist():
+                    found = (-int(agree[k]), int(node[a[k]]), int(node[b[k]]))
+                    if found < best.get(int(comp[a[k]]), (0,)):
+                        best[int(comp[a[k]])] = found
+        rows = [(c, -f[0], f[1], f[2]) for c, f in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["component", "agree", "a", "b"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ca, cb, node, first): the sets of two components, ``ca`` the smaller, that are near one of the other."""
+    for table in _groups(batches, 3):
+        node, comp = table.column(4).to_numpy(), table.column(5).to_numpy()
+        rows = [np.zeros((0, 4), np.int64)]
+        for x, y, _ in _near(table):
+            for a, b in ((x, y), (y, x)):
+                rows.append(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), node[a], comp[a] < comp[b]], 1))
+            rows = [np.unique(np.concatenate(rows), axis=0)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[0][:, k]) for k in range(3)), pa.array(rows[0][:, 3] == 1)], ["ca", "cb", "node", "first"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One link of each block of sets of two components, the one with the smallest ids, if there is any."""
+    for table in _groups(batches, 4):
+        first = table.column(5).to_numpy(zero_copy_only=False)
+        node = table.column(4).to_numpy()
+        sets = [s.values.to_numpy() for s in table.column(6)]
+        one, two = np.flatnonzero(first), np.flatnonzero(~first)
+        link = None
+        if len(one) and len(two):
+            values = np.concatenate([sets[k] for k in two])
+            owner = np.repeat(np.arange(len(two)), [len(sets[k]) for k in two])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            sizes = np.array([len(sets[k]) for k in two])
+            for a in one[np.argsort(node[one])].tolist():
+                low, high = np.searchsorted(values, sets[a]), np.searchsorted(values, sets[a], "right")
+                count = high - low
+                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                common = np.bincount(owner[at], minlength=len(two))
+                good = np.flatnonzero(SHARE_DEN * common >= SHARE_NUM * (len(sets[a]) + sizes - common))
+                if len(good):
+                    link = (int(node[a]), int(node[two[good]].min()))
+                    break
+        rows = [link] if link else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["a", "b"])
+
+
+def _blocks(placed: DataFrame, mixed: DataFrame, faces: DataFrame) -> DataFrame:
+    """(band, low, high, part, node, component, size, face): the sets of mixed buckets, dealt to blocks of about BLOCK sets. A bucket of more sets is
+    cut in parts by a hash, and each part goes to a block with every part."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = _attach(placed, mixed, ["band"], "n", "inner").withColumn("parts", parts)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("node", "component", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
+    rows = rows.join(faces, "node").select("band", "low", "high", "part", "node", "component", "size", "face")
+    return rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Join with the sets of the nodes. A node in many rows gets as many copies of its set as it has SPREAD rows."""
+    degrees = store_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_rows")), "degrees")
+    hot = hot_rows(degrees, "n_rows").select("node", F.ceil(F.col("n_rows") / SPREAD).cast("int").alias("n_copies"))
+    dealt = rows.join(F.broadcast(hot), "node", "left")
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("ca", "cb"), F.coalesce("n_copies", F.lit(1))).cast("int")).drop("n_copies")
+    copies = sets.join(F.broadcast(hot), "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("n_copies", F.lit(1)) - 1)))
+    return dealt.join(copies.select("node", "copy", "shingles"), ["node", "copy"]).drop("copy")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links between nodes of the components found."""
+    stars = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return store_table(components(stars.unionByName(links)), "components")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The buckets that hold several components, with their sizes."""
+    spans = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    return store_table(spans.filter("low <> high").select("band", "n"), "mixed")
+
+
+def _complete(found: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """``found`` after every link between components that share a bucket."""
+    def place(found: DataFrame) -> DataFrame:
+        placed = shared.select("band", "node").join(found, "node", "left")
+        return store_table(placed.select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
+
+    placed = place(found)
+    mixed = _mixed(placed)
+    if mixed.isEmpty():
+        return found
+    opened = _attach(placed, mixed, ["band"], "n", "inner").select("node").distinct()
+    faces = store_table(sets.join(opened, "node", "left_semi").mapInArrow(_faces, "node long, size long, face binary"), "faces")
+    nearest = _blocks(placed, mixed, faces).mapInArrow(_nearest, "component long, agree long, a long, b long")
+    nearest = nearest.groupBy("component").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("agree"), "a", "b")).alias("pair"))
+    pairs = nearest.select(F.least("pair.a", "pair.b").alias("a"), F.greatest("pair.a", "pair.b").alias("b")).distinct()
     links = store_table(_verified(store_table(pairs, "pairs"), sets), "links")
     if not links.isEmpty():
-        named = [held.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        merged = components(links.join(named[0], "a").join(named[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
-        sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        merged = store_table(merged.join(sizes, "component"), "merged")
-        rows = _attach(rows, merged, ["component"], "n", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined", "n")
-        rows = store_table(rows, "prefixes")
-    parts = rows.groupBy("shingle", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    mixed = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    parts = store_table(parts.join(mixed, "shingle"), "parts")
-    x = parts.select("shingle", F.col("component").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    y = parts.select("shingle", F.col("component").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    fit = (SHARE_DEN * F.col("ha") >= SHARE_NUM * F.col("lb")) & (SHARE_DEN * F.col("hb") >= SHARE_NUM * F.col("la"))
-    both = x.join(y, "shingle").filter((F.col("ca") < F.col("cb")) & fit).select("shingle", "ca", "cb")
-    a = rows.select("shingle", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"))
-    b = rows.select("shingle", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"))
-    near = SHARE_DEN * F.least("sa", "sb") >= SHARE_NUM * F.greatest("sa", "sb")
-    # holds at the first shingle that two alike sets share: all that they share stands from there on
-    enough = (SHARE_DEN + SHARE_NUM) * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= SHARE_NUM * (F.col("sa") + F.col("sb"))
-    rest = both.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"]).filter(near & enough).select("a", "b").distinct()
-    return links.unionByName(_verified(store_table(rest, "pairs"), sets))
+        found = _joined(found, links)
+        placed = place(found)
+        mixed = _mixed(placed)
+        if mixed.isEmpty():
+            return found
+    sides = store_table(_blocks(placed, mixed, faces).mapInArrow(_sides, "ca long, cb long, node long, first boolean").distinct(), "sides")
+    counts = sides.groupBy("ca", "cb").agg(*(F.ceil(F.sum(F.when(F.col("first") == x, 1)) / SIDE).cast("int").alias(n) for x, n in ((True, "firsts"), (False, "seconds"))))
+    dealt = _with_sets(sides.join(counts, ["ca", "cb"]), sets)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("firsts")).otherwise(F.col("seconds"))).cast("int")
+    across = F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("seconds")).otherwise(F.col("firsts")) - 1))
+    dealt = dealt.withColumn("own", own).withColumn("across", across)
+    dealt = dealt.select("ca", "cb", F.when(F.col("first"), F.col("own")).otherwise(F.col("across")).alias("i"),
+                         F.when(F.col("first"), F.col("across")).otherwise(F.col("own")).alias("j"), "node", "first", "shingles")
+    dealt = dealt.repartition("ca", "cb", "i", "j").sortWithinPartitions("ca", "cb", "i", "j")
+    links = store_table(dealt.mapInArrow(_linked, "a long, b long"), "links")
+    return found if links.isEmpty() else _joined(found, links)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -236,17 +352,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     pairs = shared.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = store_table(_verified(store_table(pairs, "pairs"), sets), "links")
     found = store_table(components(links), "components")
-
-    placed = shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    placed = store_table(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = store_table(mixed.filter("low <> high").select("band", "n"), "mixed")
-    if not mixed.isEmpty():
-        open_nodes = store_table(_attach(placed, mixed, ["band"], "n", "inner").select("node", "component").distinct(), "open")
-        more = store_table(_remaining(open_nodes, sets), "links")
-        if not more.isEmpty():  # the stars found so far and the new links between them
-            joined = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
-            found = store_table(components(joined), "components")
+    found = _complete(found, shared, sets)
 
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     named = store_table(found.withColumnRenamed("node", "rep").join(sizes, "rep"), "named")

@@ -150,16 +150,62 @@ def test_remaining_links_of_large_components(spark, monkeypatch):
     sets = [(k, template[:97] + [rng.randrange(1 << 60) for _ in range(3)]) for k in range(120)]
     sets.append((500, template[:40] + [rng.randrange(1 << 60) for _ in range(60)]))  # like no other
     table = spark.createDataFrame(sets, "node long, shingles array<long>")
-    opened = spark.createDataFrame([(k, 0 if k < 60 else 60 if k < 120 else k) for k, _ in sets], "node long, component long")
+    found = spark.createDataFrame([(k, 0 if k < 60 else 60) for k in range(120)], "node long, component long")
+    shared = spark.createDataFrame([(band, k) for k, _ in sets for band in (1, 2)], "band long, node long")
 
     def counted(pairs, sets):
         seen.append(pairs.count())
         return verified(pairs, sets)
     monkeypatch.setattr(minhash, "_verified", counted)
-    links = minhash._remaining(opened, table)
-    found = [(r["a"], r["b"]) for r in links.collect()]
-    assert any((a < 60) != (b < 60) for a, b in found) and all(500 not in x for x in found)
-    assert max([*seen, len(found)]) < 500
+    got = {r["node"]: r["component"] for r in minhash._complete(found, shared, table).collect()}
+    assert {got[k] for k in range(120)} == {0} and got.get(500, 500) == 500
+    assert max(seen) < 5
+
+
+@pytest.mark.parametrize("block,side", [(256, 128), (16, 8)])
+def test_components_apart_are_compared_in_blocks(spark, monkeypatch, block, side):
+    """Clusters of near copies that are nearly alike: some join through a single pair, the others stay apart."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SIDE", side)
+    rng = random.Random(10)
+    new = lambda n: [rng.randrange(1 << 60) for _ in range(n)]
+    base, sets, found = new(200), {}, {}
+    for c in range(6):  # clusters share 170 of 200: similarity 0.74
+        own = base[:170] + new(30)
+        for k in range(40):
+            sets[100 * c + k] = own[:198] + new(2)
+            found[100 * c + k] = 100 * c
+    sets[305] = sets[105][:175] + new(25)  # of cluster 3, alike to one set of cluster 1 only: 175 of 225
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+    root = {k: found[k] for k in sets}
+    for _ in range(8):
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            for k, c in list(root.items()):
+                if c in (root[a], root[b]):
+                    root[k] = low
+    table = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    shared = spark.createDataFrame([(7, k) for k in sets], "band long, node long")
+    got = minhash._complete(spark.createDataFrame(list(found.items()), "node long, component long"), shared, table).collect()
+    assert {r["node"]: r["component"] for r in got} == root
+    assert len(set(root.values())) < 6
+
+
+def test_one_template_with_many_unlike_texts(spark, monkeypatch):
+    """2 000 texts of which three quarters are one template are 0.6 alike: they stay apart, and few of their pairs are ever looked at."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, made, stored = new(79), {}, minhash.store_table
+
+    def counted(frame, name):
+        out = stored(frame, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(minhash, "store_table", counted)
+    items = [(k, " ".join(template + new(25))) for k in range(2000)]
+    got = minhash.near_components(spark.createDataFrame(items, "doc_id long, text string").repartition(6)).collect()
+    assert all(r["kept"] for r in got) and len(got) == 2000
+    assert made["sides"] < 4000 and made["pairs"] <= 72 * 2000
 
 
 def test_sketch_agreement_follows_similarity():

@@ -2,8 +2,9 @@
 
 Passages are stretches of words, terms the words of the benchmark (words that no item has can't make a passage like an item). Term weights count
 passages of all documents, and a randomised SVD over all of them, computed as sums of small blocks, gives the latent space. Windows of an item's own
-length, at every eighth word of every document, are compared with it by cosine there; those from COSINE on are candidates, and the regions around them
-are compared with the item by the heaviest common subsequence of words, and with its answer, the last sentence.
+length, at every eighth word of every document, are compared with it by cosine there; those from COSINE on are candidates. Where the rare words around
+a candidate can add up to a leak at all, the regions that hold it are compared with the item by the heaviest common subsequence of words, and with
+its answer, the last sentence.
 
 What the cosine leaves is caught by an exact net: every region that holds enough of an item's rarest words to hold the least share of its weight
 is compared as well, so nothing that would be a leak is dropped. ``by_cosine`` says which leaks the cosine found by itself. Items under eight words
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from docloom.llm.common import one_blas_thread, raw_text, sum_over
 from docloom.session import store_table
 
-DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
+DIMS, OVERSAMPLE, PASSAGE = 64, 8, 32
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
-#: Cosine of a candidate window, and words of the blocks that windows are made of.
-COSINE, STEP = 0.45, 8
+#: Weights in the latent space are inverse document frequencies to this power, so that it follows rare words and not the language of a text.
+POWER = 3
+#: Cosine of a candidate window, share of the item's length that its projection on the item has, and words of the blocks that windows are made of.
+COSINE, PROJECTION, STEP = 0.45, 0.4, 8
 #: Items of fewer words count only where they stand word for word.
 SHORT = 8
 #: Share of an item's weight, from its rarest word on, whose words are looked up; the search is exact for any share over 1 - SHARE_WITH_ANSWER.
@@ -70,7 +73,8 @@ def _numberer(vocabulary):
         for batch in batches:
             parts, ends = [np.zeros(0, np.int32)], [0]
             for text in batch.column(2):
-                found = np.array([memo[t] for t in text.as_py().lower().split()], np.int32)
+                words = text.as_py().lower().split()
+                found = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
                 parts.append(found[found >= 0])
                 ends.append(ends[-1] + len(parts[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
@@ -177,27 +181,50 @@ def _posted(postings: tuple, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(at, counts), entry
 
 
-def _cosine_windows(side: np.ndarray, classes: list, terms: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _cosine_windows(side: np.ndarray, classes: list, terms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, item) of the windows of each item's own length whose cosine with it reaches COSINE."""
     sizes = -(-np.diff(ends) // STEP)
     last = np.cumsum(sizes)
     row = np.repeat(np.arange(len(sizes)), sizes)
     word = (np.arange(last[-1]) - np.repeat(last - sizes, sizes)) * STEP
-    total = np.zeros((len(word) + 1, side.shape[1]))
+    total = np.zeros((len(word) + 1, side.shape[1]), np.float32)
     at = ends[row] + word
-    for low in range(0, len(word), STRETCH // STEP):
-        high = min(len(word), low + STRETCH // STEP)
-        to = at[high] if high < len(word) else len(terms)
-        total[low + 1 : high + 1] = np.add.reduceat(side[terms[at[low] : to]], at[low:high] - at[low], axis=0)
+    np.add.reduceat(side[terms], at, axis=0, out=total[1:])
     np.cumsum(total, axis=0, out=total)
-    for width, numbers, vectors in classes:
+    found = []
+    for width, numbers, vectors, floors in classes:
         step = max(1, CELLS // len(numbers))
         for low in range(0, len(word), step):
             begin = np.arange(low, min(len(word), low + step))
-            window = (total[np.minimum(begin + width, last[row[begin]])] - total[begin]).astype(np.float32)
-            norm = np.linalg.norm(window, axis=1)
-            hit, which = np.nonzero(window @ vectors.T >= COSINE * np.maximum(norm, 1e-6)[:, None])
-            yield from zip(row[begin[hit]].tolist(), word[begin[hit]].tolist(), numbers[which].tolist(), strict=True)
+            window = total[np.minimum(begin + width, last[row[begin]])] - total[begin]
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            dot = window @ vectors.T
+            hit, which = np.nonzero((dot >= COSINE * norm[:, None]) & (dot >= floors[None]))
+            found.append((begin[hit], numbers[which]))
+    begin, item = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+    return row[begin], word[begin], item
+
+
+class _Mass:
+    """Weight of the rarest words of items with one width of window, in the quarters of a stretch of rows where they stand."""
+
+    def __init__(self, width: int, postings: tuple, weight: np.ndarray, terms: np.ndarray, ends: np.ndarray):
+        self.quarter = width // 4
+        place, entry = _posted(postings, terms)
+        row = np.searchsorted(ends, place, "right") - 1
+        gap = np.diff(ends) // self.quarter + 1 + 2 * SPAN  # regions of two rows never meet
+        self.base, self.total = np.cumsum(gap) - gap + SPAN, int(gap.sum())
+        key = postings[1][entry] * self.total + self.base[row] + (place - ends[row]) // self.quarter
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.held = np.concatenate([[0.0], np.cumsum(weight[terms[place[order]]])])[np.append(first, len(key))]
+        self.key, self.row = key[first], row[order][first]
+
+    def of(self, item: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Weight held by the regions that start at these quarters."""
+        key = item * self.total + self.base[row] + start
+        return self.held[np.searchsorted(self.key, key + SPAN)] - self.held[np.searchsorted(self.key, key)]
 
 
 def _searcher(shared):
@@ -238,14 +265,21 @@ def _searcher(shared):
                     mine = by_cosine or bool(best and best[3])
                     found.setdefault(r, {})[i] = (cosine(i, text[max(0, (s + 1) * quarter) : (s + SPAN - 1) * quarter]), *seen, mine)
 
-        def near(terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
+        def near(masses: list[_Mass], terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
             """Windows that are near an item in the latent space, each with the regions that hold it."""
-            for r, word, i in _cosine_windows(side, model["classes"], terms, ends):
-                text, this = terms[ends[r] : ends[r + 1]], items[i]
-                quarter, length = this["quarter"], len(this["sequence"])
-                low, high = -(-(word + length) // quarter) - SPAN, word // quarter
-                if not hopeless(i, text[max(0, low * quarter) : (high + SPAN) * quarter]):
-                    compare(i, r, range(high, low - 1, -1), text, found, done, True)
+            row, word, item = _cosine_windows(side, model["classes"], terms, ends)
+            for mass in masses:
+                mine = np.flatnonzero(model["quarters"][item] == mass.quarter)
+                r, i, high = row[mine], item[mine], word[mine] // mass.quarter
+                low = -(-(word[mine] + model["sizes"][i]) // mass.quarter) - SPAN
+                spots = [np.zeros((0, 3), np.int64)]
+                for back in range(SPAN):
+                    ok = high - back >= low
+                    r, i, high, low = r[ok], i[ok], high[ok], low[ok]
+                    heavy = mass.of(i, r, high - back) >= model["needs"][i]
+                    spots.append(np.stack([r, i, high - back], 1)[heavy])
+                for r, i, s in np.unique(np.concatenate(spots), axis=0)[::-1].tolist():
+                    compare(i, r, (s,), terms[ends[r] : ends[r + 1]], found, done, True)
 
         def verbatim(terms: np.ndarray, ends: np.ndarray, found: dict) -> None:
             """Items under SHORT words, each looked up by its rarest word."""
@@ -265,27 +299,14 @@ def _searcher(shared):
                 i = int(item[k])
                 found.setdefault(int(row[k]), {})[i] = (cosine(i, terms[start[k] : start[k] + size[k]]), 1.0, 1.0, False)
 
-        def worded(width: int, postings: tuple, terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
+        def worded(mass: _Mass, terms: np.ndarray, ends: np.ndarray, found: dict, done: set) -> None:
             """The net: items whose windows have this width, by their rarest words. A region are SPAN stretches of a quarter of it."""
-            quarter = width // 4
-            place, entry = _posted(postings, terms)
-            if not len(place):
-                return
-            row = np.searchsorted(ends, place, "right") - 1
-            gap = np.diff(ends) // quarter + 1 + SPAN  # regions of two rows never meet
-            base = np.cumsum(gap) - gap
-            total = int(gap.sum())
-            key = postings[1][entry] * total + base[row] + (place - ends[row]) // quarter
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            mass = np.concatenate([[0.0], np.cumsum(weight[terms[place[order]]])])
-            sums, key, row = mass[np.append(first, len(key))], key[first], row[order][first]
-            item = key // total
-            heavy = sums[np.searchsorted(key, key + SPAN)] - sums[:-1] >= model["needs"][item]
-            for i, r, block in zip(item[heavy].tolist(), row[heavy].tolist(), (key % total - base[row])[heavy].tolist(), strict=True):
+            item = mass.key // mass.total
+            start = mass.key % mass.total - mass.base[mass.row]
+            heavy = mass.held[np.searchsorted(mass.key, mass.key + SPAN)] - mass.held[:-1] >= model["needs"][item]
+            for i, r, block in zip(item[heavy].tolist(), mass.row[heavy].tolist(), start[heavy].tolist(), strict=True):
                 text = terms[ends[r] : ends[r + 1]]
-                if not hopeless(i, text[max(0, block - SPAN + 1) * quarter : (block + SPAN) * quarter]):
+                if not hopeless(i, text[max(0, block - SPAN + 1) * mass.quarter : (block + SPAN) * mass.quarter]):
                     compare(i, r, range(block, block - SPAN, -1), text, found, done, False)
 
         def searched(terms: np.ndarray, ends: np.ndarray) -> dict[int, dict]:
@@ -293,9 +314,10 @@ def _searcher(shared):
             done: set = set()
             if len(terms):
                 verbatim(terms, ends, found)
-                near(terms, ends, found, done)
-                for width, postings in model["scales"]:
-                    worded(width, postings, terms, ends, found, done)
+                masses = [_Mass(width, postings, weight, terms, ends) for width, postings in model["scales"]]
+                near(masses, terms, ends, found, done)
+                for mass in masses:
+                    worded(mass, terms, ends, found, done)
             return found
 
         widest = max([PASSAGE, *(w for w, _ in model["scales"])])
@@ -382,9 +404,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _width_in_blocks(length: int) -> int:
-    """Blocks of STEP words in a window for an item of ``length`` words; four widths for each doubling, so that items share them."""
+    """Blocks of STEP words in a window for an item of ``length`` words; two widths for each doubling, so that items share them."""
     width = -(-length // STEP)
-    coarse = 1 << max(0, width.bit_length() - 3)
+    coarse = 1 << max(0, width.bit_length() - 2)
     return -(-width // coarse) * coarse
 
 
@@ -400,10 +422,11 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
         seen[row["term"]] = row["n"]
     weight = np.log((2 + seen[0]) / (1 + np.minimum(seen, seen[0])))  # over 0 for every word, however often an item is copied
     weight[0] = 0
-    basis, sigma = latent_basis(numbered, weight)
+    latent = weight**POWER
+    basis, sigma = latent_basis(numbered, latent)
     # passages are folded in by V / sigma, so that the strong common directions don't drown what sets passages apart
     kept = sigma > 0.01 * sigma.max(initial=0)  # directions that the passages hardly have would only add noise
-    side = (basis * weight[:, None] * np.where(kept, 1 / np.where(kept, sigma, 1), 0)).astype(np.float32)
+    side = (basis * latent[:, None] * np.where(kept, 1 / np.where(kept, sigma, 1), 0)).astype(np.float32)
     held, short, scales, classes = [], [], {}, {}
     for i, (item_id, text, words) in enumerate(worded):
         sequence = np.array([vocabulary[w] for w in words], np.int32)
@@ -411,7 +434,8 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
         terms, need = _sought(sequence, weight)
         width = max(PASSAGE, 1 << (len(words) - 1).bit_length())
         held.append({"id": item_id, "sequence": sequence, "answer": answer, "terms": sequence.tolist(), "worth": weight[sequence],
-                     "least": SHARE_WITH_ANSWER * weight[sequence].sum() - 1e-9, "quarter": width // 4, "vector": _unit(side[sequence].sum(0)), "need": need})
+                     "least": SHARE_WITH_ANSWER * weight[sequence].sum() - 1e-9, "quarter": width // 4, "vector": _unit(side[sequence].sum(0)), "need": need,
+                     "floor": PROJECTION * float(np.linalg.norm(side[sequence].sum(0)))})
         if len(words) < SHORT:
             rarest = int(np.argmax(weight[sequence]))
             short.append((int(sequence[rarest]), i, rarest))
@@ -423,7 +447,8 @@ def _leaks_of_block(slim: DataFrame, items: DataFrame) -> DataFrame:
         letters[i, : len(item["sequence"])] = item["sequence"][: SHORT - 1]
     shared = session.sparkContext.broadcast({
         "weight": weight, "side": side, "items": held, "letters": letters, "needs": np.array([x["need"] for x in held]),
-        "classes": [(w, np.array(k), np.stack([held[i]["vector"] for i in k])) for w, k in sorted(classes.items())],
+        "classes": [(w, np.array(k), np.stack([held[i]["vector"] for i in k]), np.array([held[i]["floor"] for i in k], np.float32)) for w, k in sorted(classes.items())],
+        "quarters": np.array([x["quarter"] for x in held], np.int64),
         "sizes": np.array([len(x["sequence"]) for x in held], np.int64), "short": _posting_lists(short, len(weight)),
         "scales": [(width, _posting_lists(entries, len(weight))) for width, entries in sorted(scales.items())]})
     kind = "row_key long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double, by_cosine boolean"

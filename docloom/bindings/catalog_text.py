@@ -270,9 +270,16 @@ def match_terms_by_words(s, d):
 
 @query("annotations", "lx", r"""fm AS (SELECT lexicon_id, term, unnest(list_distinct(surface_forms)) AS form FROM lx WHERE status = 'active'),
 sg AS (SELECT doc_id, unnest(parts) AS w, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS parts FROM documents)),
-ps AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) - length(w) AS s FROM sg)
-SELECT doc_id AS text_id, s AS "start", s + length(w) AS "end", w AS span, 'known' AS kind, lexicon_id, term FROM ps JOIN fm ON w = form
-UNION ALL SELECT doc_id, length(text) + 2, length(text) + 16 + length(CAST(doc_id AS VARCHAR)), 'quoted phrase ' || doc_id, 'candidate', NULL, NULL FROM documents""")
+ps AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) - length(w) AS s FROM sg),
+kn AS (SELECT doc_id, s, s + length(w) AS e, w, lexicon_id, term FROM ps JOIN fm ON w = form),
+qs AS (SELECT doc_id, unnest(parts) AS w, unnest(range(1, len(parts) + 1)) AS p
+  FROM (SELECT doc_id, regexp_extract_all(text || ' "quoted phrase ' || doc_id || '"', '"[^"\n]{2,40}"|«[^»\n]{2,40}»|[^"«]+|["«]') AS parts FROM documents)),
+qp AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) - length(w) AS s FROM qs),
+cd AS (SELECT doc_id, s + 1 AS s, s + length(w) - 1 AS e, regexp_replace(w[2:-2], '^\s+|\s+$', '', 'g') AS span FROM qp WHERE w[1] IN ('"', '«') AND length(w) > 3),
+af AS (SELECT lower(trim(unnest(list_append(surface_forms, term)))) AS k FROM lx WHERE status = 'active')
+SELECT doc_id AS text_id, s AS "start", e AS "end", w AS span, 'known' AS kind, lexicon_id, term FROM kn
+UNION ALL SELECT doc_id, s, e, span, 'candidate', NULL, NULL FROM cd WHERE span <> '' AND lower(span) NOT IN (SELECT k FROM af)
+  AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.doc_id = cd.doc_id AND kn.s < cd.e AND kn.e > cd.s)""")
 def annotations(s, d):
     # every text ends in a quoted phrase that no entry knows
     quoted = _texts(s, d).withColumn("text", F.concat("text", F.lit(' "quoted phrase '), F.col("text_id").cast("string"), F.lit('"')))

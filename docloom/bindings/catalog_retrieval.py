@@ -8,6 +8,7 @@ from docloom.bindings import tables as B
 from docloom.bindings.catalog_text import _index_sql, _search_sql
 from docloom.bindings.registry import day, query
 from docloom.operators import answers as H
+from docloom.operators import cells as C
 from docloom.operators import documents as P
 from docloom.operators import fusion as R
 from docloom.operators import lexical as L
@@ -42,6 +43,13 @@ def vector_search_by_blocks(s, d):
     return V.vector_search(_vq(s, d), B.vectors(s, d), broadcast_bytes=0, block_bytes=32 << 10)
 
 
+@query("vector_search_by_cells", "v", _VECTOR)
+def vector_search_by_cells(s, d):
+    # the route over a stored clustering
+    members, cells = C.build_cells(B.vectors(s, d))
+    return V.vector_search(_vq(s, d), members, cells=cells)
+
+
 @query("title_seed", "v", """th AS (SELECT chunk_id AS question_id, unnest([doc_id, doc_id + 1]) AS doc_id, embedding AS qv FROM v),
 s AS (SELECT question_id, th.doc_id, v.chunk_id, round(1 - list_cosine_similarity(qv, v.embedding), 9) AS dist FROM th JOIN v ON v.doc_id = th.doc_id)
 SELECT question_id, doc_id, chunk_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY dist, chunk_id) AS rn FROM s) WHERE rn <= 3""")
@@ -74,6 +82,19 @@ def neighbor_pairs(s, d):
     return V.neighbor_pairs(v, v, max_distance=0.75)
 
 
+@query("chunk_neighbors_by_cells", "c ce", """l AS (SELECT chunk_id, doc_id, 'org' AS tenant_id, embedding FROM c JOIN ce USING (chunk_id)),
+h AS (SELECT * FROM l WHERE doc_id % 20 = 0),
+s AS (SELECT h.chunk_id AS question_id, l.chunk_id, round(1 - list_cosine_similarity(h.embedding, l.embedding), 9) AS dist FROM h JOIN l ON h.doc_id <> l.doc_id)
+SELECT question_id, chunk_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist, chunk_id)::INTEGER AS rank FROM s WHERE dist IS NOT NULL AND NOT isnan(dist)) WHERE rank <= 3""")
+def chunk_neighbors_by_cells(s, d):
+    # the three nearest chunks of other documents for the chunks of every twentieth document, against all
+    _, chunks, _ = _inputs(s, d)
+    members, cells = C.build_cells(chunks)
+    asked = chunks.filter("doc_id % 20 = 0").withColumn("question_id", F.col("chunk_id"))
+    near = V.nearest(asked, members, 3, question_owner="doc_id", item_owner="doc_id", cells=cells)
+    return near.select("question_id", "chunk_id", "dist", "rank")
+
+
 @query("stale_embeddings", "d", "SELECT doc_id, embedding_model FROM d WHERE embedding_model IS DISTINCT FROM 'hashed-words'")
 def stale_embeddings(s, d):
     return V.stale_embeddings(B.docs(s, d), "hashed-words").select("doc_id", "embedding_model")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import settings as S
+from docloom.operators import cells as C
 from docloom.operators.scale import literal_map, top_n
 
 Embedder = Callable[[list[str]], "list[list[float]] | np.ndarray"]
@@ -151,12 +152,14 @@ def nearest(questions: DataFrame, items: DataFrame, k: int, *, scope: str | None
             item_id: str = "chunk_id", bucket: Column | None = None, low: Column | None = None,
             high: Column | None = None, question_owner: str | None = None, item_owner: str | None = None,
             carry: tuple[str, ...] = (),
-            broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES, cells: C.Cells | None = None) -> DataFrame:
     """Exact k nearest items per (question, bucket) by cosine distance: question_id, <item_id>, bucket, dist, rank.
 
     A question sees items of its own scope, of buckets in [low, high], and not of its own owner. Zero vectors have no
-    direction and are left out. Two routes give equal rows:
+    direction and are left out. Three routes give equal rows:
 
+    * with ``cells``, the measured clustering of ``items`` (which then carry their ``cell``, see ``cells.build_cells``), questions visit cells in
+      rounds and meet only the members of cells that can still improve their k nearest;
     * questions that fit ``broadcast_bytes`` (checked on a bounded fetch) are broadcast as matrices; one scan of the items keeps k
       survivors per question and task;
     * otherwise questions and items are hashed into blocks and every block pair meets in one bounded cogroup task, so
@@ -176,11 +179,14 @@ def nearest(questions: DataFrame, items: DataFrame, k: int, *, scope: str | None
         (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.col(item_id).alias("item_id"),
         (bucket if bucket is not None else F.lit(0)).cast("int").alias("bucket"),
         (F.col(item_owner) if item_owner else F.lit(None)).cast("string").alias("owner"), "embedding",
-        *carry).filter("bucket is not null")
+        *carry, *(["cell"] if cells is not None else [])).filter("bucket is not null")
     q = q.filter("low is not null and high is not null and scope is not null")
 
     first = q.select(F.size("embedding").alias("dims")).head(1)
     row_bytes = 8 * (first[0]["dims"] if first else 1) + 64
+    if cells is not None:
+        partial = C.search(q, v, cells, k, lambda qs, vs: _by_blocks(qs, vs, k, schema, row_bytes, block_bytes, carry))
+        return top_n(partial, ["question_id", "bucket"], [F.col("dist"), F.col("item_id")], k, "rank").withColumnRenamed("item_id", item_id)
     fits = broadcast_bytes // row_bytes
     local = q.limit(fits + 1).toPandas() if fits else None
     if local is not None and len(local) <= fits:
@@ -246,7 +252,7 @@ def cap_expr(doc_type: Column, table: dict[str, int], default: int) -> Column:
     return literal_map(table, doc_type, default)
 
 
-def vector_search(questions: DataFrame, chunks: DataFrame, k: int = 5, k_max: int | None = None, **routes: int) -> DataFrame:
+def vector_search(questions: DataFrame, chunks: DataFrame, k: int = 5, k_max: int | None = None, **routes) -> DataFrame:
     """Vector lane (V1): nearest 8k chunks, at most 3/6 per document by type, first 4k: (question_id, chunk_id, doc_id,
     dist, rank). ``chunks`` carry doc_type and are already filtered for currency; an optional ``k`` column in
     ``questions`` overrides ``k``, bounded by ``k_max``."""
@@ -281,7 +287,7 @@ def seed_by_title(questions: DataFrame, title_hits: DataFrame, chunks: DataFrame
 
 
 def seed_by_year(questions: DataFrame, chunks: DataFrame, per_year: int = S.YEAR_CHUNKS_PER_YEAR,
-                 total: int = S.YEAR_CHUNKS_TOTAL, **routes: int) -> DataFrame:
+                 total: int = S.YEAR_CHUNKS_TOTAL, **routes) -> DataFrame:
     """Nearest chunks per year of the question's range (V3), filled in year order up to ``total``: (question_id, chunk_id,
     year, dist). questions carry year_from / year_to; chunks carry the document's date as ``doc_date``."""
     found = nearest(questions.filter("year_from is not null"), chunks, per_year, bucket=F.year("doc_date"),
@@ -300,7 +306,7 @@ def mean_vectors(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def neighbor_pairs(new_chunks: DataFrame, existing: DataFrame, per_chunk: int = S.NEIGHBORS_PER_CHUNK,
                    max_distance: float = S.MAX_NEIGHBOR_DISTANCE, per_doc: int | None = None,
-                   **routes: int) -> DataFrame:
+                   **routes) -> DataFrame:
     """Close chunks of other documents (V5): (new_doc_id, new_chunk_id, existing_chunk_id, existing_doc_id, dist, pair_index)."""
     q = new_chunks.withColumn("question_id", F.col("chunk_id"))
     near = nearest(q, existing, per_chunk, question_owner="doc_id", item_owner="doc_id", carry=("doc_id",), **routes).filter(

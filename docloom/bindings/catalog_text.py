@@ -8,6 +8,7 @@ from docloom.bindings import tables as B
 from docloom.bindings.registry import day, query, us
 from docloom.functions import text as X
 from docloom.operators import documents as P
+from docloom.operators import blocks as K
 from docloom.operators import lexical as L
 from docloom.operators import lexicon as V
 from docloom.session import store_table
@@ -242,6 +243,14 @@ def lexical_search_by_shuffle(s, d):
     return out.select("question_id", "chunk_id", "score", "rank")
 
 
+@query("lexical_search_by_blocks", "c ql", _index_sql("c", "chunk_id", "text") + ", qz AS (SELECT * FROM ql), " + _search_sql("chunk_id", 20)
+       + " SELECT question_id, chunk_id, score, rank FROM lex")
+def lexical_search_by_blocks(s, d):
+    # the route over stored blocks with upper bounds
+    c = B.chunks(s, d, "org")
+    return K.block_search(B.question_lines(s, d), K.build_index(c, L.build_postings(c)), 20)
+
+
 # --- X: lexicon ------------------------------------------------------------------------------------------------------------------
 
 def _texts(s, d):

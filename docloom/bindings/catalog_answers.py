@@ -13,7 +13,9 @@ from docloom.bindings.registry import day, query, us
 from docloom.operators import answers as H
 from docloom.operators import documents as P
 from docloom.operators.dedup import with_content_hash, with_text_hash
+from docloom.operators.hash_store import HashStore
 from docloom.plans.ingest import ingest_batch
+from docloom.sources.ledger import Ledger
 from docloom.session import ensure_checkpoint_dir
 from docloom.sources import corpus as C
 from docloom.streaming import jobs as T
@@ -226,6 +228,16 @@ def ingest_rejects(s, d):
     return _ingested(s, d).rejects.select("doc_id", "reject_reason")
 
 
+@query("ingest_rejects_by_filter", "d", _INGEST + " SELECT doc_id, reject_reason FROM y WHERE reject_reason IS NOT NULL")
+def ingest_rejects_by_filter(s, d):
+    # known copies come from a stored hash table through its Bloom filter
+    docs = B.docs(s, d).withColumn("tenant_id", F.lit("org"))
+    stored = docs.join(B.raw(s, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    new = docs.join(stored.select("doc_id"), "doc_id", "left_anti").select("tenant_id", "doc_id", "filename", "text", "pages", "extraction_partial", "ingested_at", "content_sha256")
+    store = HashStore.create(stored, _scratch(s, "hash-store"), stored.count())
+    return ingest_batch(new, with_text_hash(stored), B.flags(s, d), profile="lines", hashes=store).rejects.select("doc_id", "reject_reason")
+
+
 @query("ingest_chunks", "c", _INGEST + " SELECT c.chunk_id, c.text FROM c JOIN y USING (doc_id) WHERE reject_reason IS NULL")
 def ingest_chunks(s, d):
     return _ingested(s, d).chunks.select("chunk_id", "text")
@@ -262,23 +274,20 @@ def stream_ingest(s, d):
     n = passages.count()
     for k in (0, 1, 2, 0):
         passages.filter(F.col("item_id") % 3 == k).write.mode("append").partitionBy("item_id").text(f"{root}/in")
-    taken: list[int] = []
+    ledger = Ledger(s, f"{root}/corpus")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         named = batch.select(F.lit("org").alias("tenant_id"), F.sha2("path", 256).alias("doc_id"), "filename", "text", F.lit(None).cast("int").alias("pages"),
                              F.lit(False).alias("extraction_partial"), F.col("modified_at").alias("ingested_at"))
         named = with_content_hash(named)
-        if any(b < batch_id for b in taken):
-            stored = s.read.parquet(*[f"{root}/documents/batch={b}" for b in taken if b < batch_id])
-        else:
-            stored = named.withColumn("text_sha256", F.lit(None).cast("string")).limit(0)
+        stored = ledger.read("documents", "tenant_id string, doc_id string, content_sha256 string, text_sha256 string, ingested_at timestamp", batch_id)
         flags = named.select(F.col("doc_id").alias("new_doc_id"), F.col("doc_id").alias("existing_doc_id")).limit(0)
         result = ingest_batch(named, stored, flags, profile="lines")
-        result.documents.select("tenant_id", "doc_id", "content_sha256", "text_sha256", "ingested_at").write.mode("overwrite").parquet(f"{root}/documents/batch={batch_id}")
-        result.chunks.select("doc_id", "position", "text").write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
-        taken.append(batch_id)
+        ledger.write(result.documents.select("tenant_id", "doc_id", "content_sha256", "text_sha256", "ingested_at"), "documents", batch_id)
+        ledger.write(result.chunks.select("doc_id", "position", "text"), "chunks", batch_id)
+        ledger.commit(batch_id)
     T.ingest_stream(s, f"{root}/in", f"{root}/checkpoint", sink, max_files=n).awaitTermination()
-    return s.read.parquet(f"{root}/chunks").select("text")
+    return ledger.read("chunks", "text string")
 
 
 _KEY = """CASE user_id % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN ' ' WHEN 2 THEN concat('  ', user_id, '-', CAST(ts AS DATE), ' ')

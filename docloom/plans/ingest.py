@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import dedup, documents, lexical, vector
+from docloom.operators.hash_store import HashStore
 from docloom.session import store_table
 
 
@@ -21,11 +22,12 @@ class Ingested:
 
 
 def ingest_batch(new_docs: DataFrame, stored: DataFrame, flags: DataFrame, profile: str = "hebrew", force: bool = False,
-                 embedder: vector.Embedder | None = None, model: str = "hashed-words") -> Ingested:
+                 embedder: vector.Embedder | None = None, model: str = "hashed-words", hashes: HashStore | None = None) -> Ingested:
     """new_docs(tenant_id, doc_id, filename, text, pages, extraction_partial, ingested_at[, content_sha256]); stored are
-    the documents already in the corpus. A row leaves through ``rejects`` with a reason instead of an error."""
+    the documents already in the corpus. A row leaves through ``rejects`` with a reason instead of an error. With ``hashes``, the store of their
+    content hashes, known copies are found through its filter instead of a join with ``stored``; adding the batch to it is the caller's."""
     hashed = new_docs if "content_sha256" in new_docs.columns else dedup.with_content_hash(new_docs)
-    unique = dedup.dedup_content(hashed, stored)
+    unique = dedup.dedup_content(hashed, stored) if hashes is None else hashes.fresh(hashed)
     copies = hashed.join(unique.select("doc_id"), "doc_id", "left_anti").select("tenant_id", "doc_id", F.lit("duplicate").alias("reject_reason"))
     gated = documents.gate(unique, force)
     passed = dedup.with_text_hash(gated.filter("reject_reason is null").drop("reject_reason")).withColumn(

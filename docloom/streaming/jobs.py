@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docloom import settings as S
 from docloom.operators.answers import FeedbackResult, apply_feedback
@@ -86,31 +87,58 @@ def rolling_usage(daily: DataFrame, days: int = 30) -> DataFrame:
 
 
 _PAIR = "tenant_id string, conversation_id string, from_query_id string, to_query_id string"
-_LAST = "query_id string, failed boolean"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def refinement_pairs_stream(queries: DataFrame, ts: str = "created_at") -> DataFrame:
-    """Failed-then-succeeded neighbours per thread (T5). State is one turn per thread, kept until the thread goes on; turns are paired in
-    (turn, time) order within a batch and across batches as they arrive."""
-    rows = (queries.filter("conversation_id is not null")
+class _LastTurn(StatefulProcessor):
+    """The latest turn of a thread as value state, with a timer that drops it ``life`` milliseconds of event time after that turn."""
+
+    def __init__(self, life: int) -> None:
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "query_id string, failed boolean, expires bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs()  # Spark's own filter is one batch behind it
+        turns = sorted(row for b in rows for row in zip(b["turn"], b["at"], b["query_id"].map(_by_number), b["failed"], b["succeeded"])
+                       if row[1].timestamp() * 1000 >= late)
+        if not turns:
+            return
+        before, out = self.last.get(), []
+        query_id, was_failed, expires = before if before is not None else (None, False, 0)
+        if before is not None:
+            self.handle.deleteTimer(expires)
+        for _, at, (_, this), failed_, succeeded_ in turns:
+            when = int(at.timestamp() * 1000)
+            if was_failed and succeeded_ and when <= expires:  # a timer fires after the batch that passes it
+                out.append((key[0], key[1], query_id, this))
+            query_id, was_failed, expires = this, bool(failed_), max(expires, when + self.life)
+        self.last.update((query_id, was_failed, expires))
+        self.handle.registerTimer(expires)
+        yield pd.DataFrame(out, columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def refinement_pairs_stream(queries: DataFrame, ts: str = "created_at", delay: str = "1 day", life: str = "30 days") -> DataFrame:
+    """Failed-then-succeeded neighbours per thread (T5). State is the latest turn of each thread and leaves ``life`` of event time after it, so a
+    thread that goes on later starts anew. Turns are paired in (turn, time) order within a batch and across batches as they arrive; turns older than
+    the watermark, ``delay`` behind the newest, and turns without a time are dropped. Needs the RocksDB state store, which is set for the session."""
+    queries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    rows = (queries.filter(F.col("conversation_id").isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
             .select(F.col("tenant_id").cast("string").alias("tenant_id"), F.col("conversation_id").cast("string").alias("conversation_id"),
                     F.col("query_id").cast("string").alias("query_id"), F.coalesce("turn_index", F.lit(2_147_483_647)).alias("turn"),
                     F.col(ts).alias("at"), F.coalesce(failed(), F.lit(False)).alias("failed"),
                     F.coalesce(succeeded(), F.lit(False)).alias("succeeded")))
-
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns = sorted(row for b in batches for row in zip(b["turn"], b["at"], b["query_id"].map(_by_number), b["failed"], b["succeeded"]))
-        before = state.get if state.exists else None
-        out = []
-        for _, _, (_, query_id), failed_, succeeded_ in turns:
-            if before is not None and before[1] and succeeded_:
-                out.append((key[0], key[1], before[0], query_id))
-            before = (query_id, bool(failed_))
-        state.update(before)
-        if out:
-            yield pd.DataFrame(out, columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"])
-
-    return rows.groupBy("tenant_id", "conversation_id").applyInPandasWithState(pair, _PAIR, _LAST, "append", GroupStateTimeout.NoTimeout)
+    processor = _LastTurn(int(pd.Timedelta(life).total_seconds() * 1000))
+    return rows.groupBy("tenant_id", "conversation_id").transformWithStateInPandas(processor, _PAIR, "Append", "EventTime")
 
 
 def _by_number(query_id: str) -> tuple[int, str]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import one_blas_thread, raw_text, sum_over
 from docloom.session import store_table
 
-DIMS, OVERSAMPLE, PASSAGE = 64, 8, 32
+DIMS, OVERSAMPLE, PASSAGE = 64, 16, 32
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Weights in the latent space are inverse document frequencies to this power, so that it follows rare words and not the language of a text.
 POWER = 3
@@ -93,6 +93,20 @@ def _stretches(lists: pa.ListArray, limit: int = STRETCH) -> Iterator[tuple[int,
         k = to
 
 
+def _padded(terms: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The terms of each piece as a row of ``width`` places, filled up with 0."""
+    at = start[:, None] + np.arange(width)[None]
+    return np.where(np.arange(width)[None] < size[:, None], terms[np.minimum(at, len(terms) - 1)], 0)
+
+
+def _row_sums(padded: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``side`` that each row names; row 0 of ``side`` is zero."""
+    total = side.take(padded[:, 0], 0)
+    for k in range(1, padded.shape[1]):
+        total += side.take(padded[:, k], 0)
+    return total
+
+
 def _passages(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Terms, about STRETCH at a time whatever the length of a row, and the running number of the passage that each stands in."""
     whole = STRETCH // PASSAGE * PASSAGE
@@ -130,24 +144,26 @@ def latent_basis(numbered: DataFrame, weight: np.ndarray, dims: int = DIMS) -> t
 
     def rows(batch: pa.RecordBatch, side: np.ndarray):
         for terms, passage in _passages(batch.column(0)):
-            keep = weight[terms] > 0
-            terms, passage = terms[keep], passage[keep]
             if len(terms):
                 first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                yield terms, first, np.add.reduceat(side[terms], first, axis=0)
+                yield terms, first, _row_sums(_padded(terms, first, np.diff(np.append(first, len(terms))), PASSAGE), side)
 
     scaled = (start * weight[:, None]).astype(np.float32)
+    scaled[0] = 0
 
     def spread(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for terms, first, y in rows(batch, scaled):
-            order = np.argsort(terms, kind="stable")
-            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))[order]
-            starts = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]]))
-            ids = terms[order][starts]
-            total[ids] += weight[ids, None] * np.add.reduceat(y[of], starts, axis=0)
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
+            keep = np.flatnonzero(weight[terms] > 0)
+            order = keep[np.argsort(terms[keep], kind="stable")]
+            if len(order):
+                starts = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]]))
+                ids = terms[order][starts]
+                total[ids] += weight[ids, None] * np.add.reduceat(y.take(of[order], 0), starts, axis=0)
 
     basis = np.linalg.qr(sum_over(terms_only, spread, start.shape))[0]
     projected = (basis * weight[:, None]).astype(np.float32)
+    projected[0] = 0
 
     def inner(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for _, _, y in rows(batch, projected):
@@ -188,8 +204,7 @@ def _cosine_windows(side: np.ndarray, classes: list, terms: np.ndarray, ends: np
     row = np.repeat(np.arange(len(sizes)), sizes)
     word = (np.arange(last[-1]) - np.repeat(last - sizes, sizes)) * STEP
     total = np.zeros((len(word) + 1, side.shape[1]), np.float32)
-    at = ends[row] + word
-    np.add.reduceat(side[terms], at, axis=0, out=total[1:])
+    total[1:] = _row_sums(_padded(terms, ends[row] + word, np.minimum(STEP, ends[1:][row] - ends[row] - word), STEP), side)
     np.cumsum(total, axis=0, out=total)
     found = []
     for width, numbers, vectors, floors in classes:
@@ -198,6 +213,8 @@ def _cosine_windows(side: np.ndarray, classes: list, terms: np.ndarray, ends: np
             begin = np.arange(low, min(len(word), low + step))
             window = total[np.minimum(begin + width, last[row[begin]])] - total[begin]
             norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            long = norm >= floors.min()  # no projection is longer
+            begin, window, norm = begin[long], window[long], norm[long]
             dot = window @ vectors.T
             hit, which = np.nonzero((dot >= COSINE * norm[:, None]) & (dot >= floors[None]))
             found.append((begin[hit], numbers[which]))

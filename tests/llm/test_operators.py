@@ -1,12 +1,14 @@
 """Every operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns, against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,38 +450,72 @@ def test_pii_table(docs, empty):
 # --- language model ---------------------------------------------------------------------------------------------------------------
 
 def test_windows_score_each_token_once():
-    for n in [1, 2, 11, 12, 47, 48, 49, 83, 84, 85, 500]:
-        c = np.arange(n + 1) % 7
-        x, y, m = attention_lm.windows(c)
-        assert m.sum() == n
-        start = np.arange(len(x)) * attention_lm.STEP
-        spots = (start[:, None] + np.arange(attention_lm.WINDOW))[m]
-        assert sorted(spots.tolist()) == list(range(n))
-        assert (y[m] == c[1:][spots]).all() and (x[m] == c[:-1][spots]).all()
+    for n in [1, 2, 15, 16, 17, 63, 64, 65, 111, 112, 113, 500]:
+        at, scored = attention_lm.windows(n)
+        assert sorted(at[scored].tolist()) == list(range(n))
+        start = np.arange(len(at)) * attention_lm.STEP
+        context = (at - start[:, None])[1:][scored[1:]]
+        assert not len(context) or context.min() >= attention_lm.OVERLAP
+
+
+def small_counts(size=30, seed=3):
+    """Counts over few ids, with contexts that are not kept."""
+    rng = np.random.default_rng(seed)
+    tables = []
+    for contexts in (range(size + 1), [7, 9], [5, 11, 13]):
+        rows = [(c, y, int(rng.integers(1, 9))) for c in contexts for y in rng.choice(size, 5, replace=False)]
+        totals = [(c, sum(n for x, _, n in rows if x == c) + 4) for c in contexts]
+        tables.append(attention_lm.Counts.table(pa.table({"context": [r[0] for r in rows], "next": [r[1] for r in rows], "n": [r[2] for r in rows]}),
+                                                pa.table({"context": [t[0] for t in totals], "n": [t[1] for t in totals]})))
+    return attention_lm.Counts(size, rng.integers(0, 9, size + 1).astype(float), rng.integers(0, 3, size + 1).astype(float), *tables)
+
+
+def test_counts_are_distributions():
+    counts = small_counts()
+    every = np.arange(31)
+    for x in (0, 7, 30):
+        assert counts.after_id(np.full(31, x), every)[0].sum() == pytest.approx(1)
+    for context in (5, 11, 99):  # the last is not known
+        share, left, _ = counts.look(counts.trie, np.full(31, context), every)
+        assert share.sum() + left[0] == pytest.approx(1)
+
+
+def model_inputs(rng, n=2, length=12, ids=6, dtype=np.float64):
+    x = rng.integers(0, ids, (n, length + 1))
+    one, two = (rng.dirichlet(np.ones(ids), (n, length)) for _ in range(2))
+    pick = lambda p, y: np.take_along_axis(p, y[:, :, None], 2)[:, :, 0].astype(dtype)
+    seen = rng.random((n, length, 2)).astype(dtype)
+    return x, one, two, pick, seen, rng.integers(0, attention_lm.CLASSES, ids)
+
+
+def random_weights(rng):
+    return {k: v.astype(np.float64) + 0.4 * rng.standard_normal(v.shape) for k, v in attention_lm.first_weights().items()}
 
 
 def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(0)
-    w = attention_lm.first_weights(rng.integers(0, 50, (attention_lm.CLASSES,) * 2).astype(float))
-    w["out"] = rng.standard_normal(w["out"].shape).astype(np.float32)
-    x = rng.integers(0, attention_lm.CLASSES, (2, attention_lm.WINDOW))
+    w = random_weights(rng)
+    x, one, two, pick, seen, class_of = model_inputs(rng)
+
+    def probability(x, last):
+        y = x[:, 1:].copy()
+        y[:, -1] = last
+        return attention_lm.forward(w, x[:, :-1], y, class_of, pick(one, y), pick(two, y), seen)["p"]
+    assert np.allclose(sum(probability(x, k)[:, -1] for k in range(6)), 1)
     changed = x.copy()
-    changed[:, 20:] = (changed[:, 20:] + 1) % attention_lm.CLASSES
-    y = rng.integers(0, attention_lm.CLASSES, x.shape)
-    assert np.allclose(attention_lm.log_probabilities(w, x, y)[:, :20], attention_lm.log_probabilities(w, changed, y)[:, :20], atol=1e-4)
-    total = sum(np.exp(attention_lm.log_probabilities(w, x[:1], np.full((1, x.shape[1]), k))) for k in range(attention_lm.CLASSES))
-    assert np.allclose(total, 1, atol=1e-4)
+    changed[:, 8:] = (changed[:, 8:] + 1) % 6
+    assert np.allclose(probability(x, 0)[:, :7], probability(changed, 0)[:, :7])
 
 
 def test_gradients_match_differences():
-    rng = np.random.default_rng(0)
-    w = attention_lm.first_weights(rng.integers(1, 9, (attention_lm.CLASSES,) * 2).astype(float))
-    w = {k: v.astype(np.float64) for k, v in w.items()}
-    w["out"] = rng.standard_normal(w["out"].shape) * 0.3
-    x, y = (rng.integers(0, attention_lm.CLASSES, (3, 9)) for _ in range(2))
-    m = rng.random(x.shape) < 0.8
-    loss = lambda: -(attention_lm.log_probabilities(w, x, y) * m).sum() / m.sum()
-    grads = attention_lm.gradients(w, x, y, m)
+    rng = np.random.default_rng(1)
+    w = random_weights(rng)
+    x, one, two, pick, seen, class_of = model_inputs(rng, 3, 10)
+    y, m = x[:, 1:], rng.random((3, 10)) < 0.8
+    inputs = (x[:, :-1], y, class_of, pick(one, y), pick(two, y), seen)
+    loss = lambda: -(np.log(attention_lm.forward(w, *inputs)["p"]) * m).sum() / m.sum()
+    grads = attention_lm.gradients(w, m, *inputs)
+    assert set(grads) == set(w)
     for k, g in grads.items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         keep = w[k][at]
@@ -491,6 +527,100 @@ def test_gradients_match_differences():
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=2e-3), k
 
 
+def plain_text_score(model, words, ranks):
+    """Log10 probability of one text, id by id, in plain Python over dictionaries."""
+    counts, w, class_of = model["counts"], model["weights"], model["class_of"]
+    end, subwords = len(class_of) - 1, attention_lm.Subwords(ranks)
+    dictionary = {}
+    for name in ("pairs", "words", "trie"):
+        t = getattr(counts, name)
+        ends = [*t["first"][1:], len(t["next"])]
+        dictionary[name] = {int(c): ({int(t["next"][k]): int(t["n"][k]) for k in range(a, b)}, int(t["total"][q]), float(t["left"][q]), float(t["all"][q]))
+                            for q, (c, a, b) in enumerate(zip(t["names"], t["first"], ends, strict=True))}
+
+    def look(name, context, y):
+        found = dictionary[name].get(int(context))
+        return (0.0, 1.0, 0) if found is None else (found[0].get(int(y), 0) / found[3], found[2] / found[3], found[1])
+    ids, one, two, seen = [end], [], [], []
+    before = [end]
+    for word in [*words, attention_lm.END]:
+        now = subwords.encode(word)
+        for k, y in enumerate(now):
+            share, left, times = look("pairs", ids[-1], y)
+            p = share + left * counts.single[y]
+            if k:
+                h, left_h, starts = look("trie", attention_lm.prefixes(now)[k - 1], y)
+                a, b = p, h + left_h * p
+            else:
+                share, left, _ = look("words", attention_lm.prefixes(before)[-1], y)
+                done, left_h, starts = look("trie", attention_lm.prefixes(before)[-1], attention_lm.WORD_END)
+                a = share + left * p
+                b = done * counts.first[y] + left_h * p
+            ids.append(y)
+            one.append(a)
+            two.append(b)
+            seen.append((math.log1p(times), math.log1p(starts)))
+        before = now
+    total = 0.0
+    for t in range(len(one)):
+        low = 0 if t < attention_lm.WINDOW else (t - attention_lm.OVERLAP) // attention_lm.STEP * attention_lm.STEP
+        c = class_of[ids[t]]
+        weight, copied, value = [], 0.0, np.zeros(3)
+        for j in range(low, t):
+            same = j > low and ids[j] == ids[t]
+            twice = same and j - 1 > low and ids[j - 1] == ids[t - 1]
+            s = w["query"][c] @ w["key"][class_of[ids[j]]] + w["near"][t - j] + w["same"][0] * same + w["same"][1] * twice
+            weight.append(math.exp(min(s, 30)))
+        rest = math.exp(min(w["rest"][c], 30))
+        z = sum(weight) + rest
+        for j, a in zip(range(low, t), weight, strict=True):
+            copied += a / z * (ids[j + 1] == ids[t + 1])
+            value += a / z * w["value"][class_of[ids[j]]]
+        copied += rest / z * two[t]
+        gate = np.exp(w["gate"][c] + value + np.array(seen[t]) @ w["seen"])
+        total += math.log10(gate / gate.sum() @ np.array([one[t], two[t], copied]))
+    return total
+
+
+def trained_model(texts, rng):
+    words = Counter(w for t in texts for w in [*t, attention_lm.END])
+    rows = [pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "c"]),
+            pa.RecordBatch.from_arrays([pa.array([b" ".join(t) for t in texts], pa.binary())], ["raw"])]
+    tables = defaultdict(Counter)
+    for function, batch in zip((attention_lm._beginnings(RANKS), attention_lm._between(RANKS)), rows, strict=True):
+        for out in function([batch]):
+            for kind, x, y, n in zip(*(out.column(k).to_pylist() for k in range(4)), strict=True):
+                tables[kind][x, y] += n
+    size = attention_lm.Subwords(RANKS).size
+    single, first = np.zeros(size + 1), np.zeros(size + 1)
+    for (_, y), n in tables[0].items():
+        single[y] += n
+    for (_, y), n in tables[2].items():
+        first[y] += n
+    kept = []
+    for kind in (0, 3, 1):
+        rows = [(x, y, n) for (x, y), n in tables[kind].items() if n > 1]
+        totals = Counter()
+        for (x, _), n in tables[kind].items():
+            totals[x] += n
+        kept.append(attention_lm.Counts.table(pa.table({"context": pa.array([r[0] for r in rows], pa.int64()), "next": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())}),
+                                              pa.table({"context": pa.array(list(totals), pa.int64()), "n": pa.array(list(totals.values()), pa.int64())})))
+    class_of = attention_lm.subword_classes(dict(words), attention_lm.Subwords(RANKS))
+    return {"counts": attention_lm.Counts(size, single, first, *kept), "class_of": class_of,
+            "weights": {k: v + 0.3 * rng.standard_normal(v.shape).astype(np.float32) for k, v in attention_lm.first_weights().items()}}
+
+
+def test_scores_equal_a_plain_loop():
+    rng = random.Random(5)
+    texts = [[w.encode() for w in words(t)] for _, t, *_ in rows() if t][:40]
+    model = trained_model(texts[:25], np.random.default_rng(2))
+    asked = [*texts[20:32], [], [b"new"], [rng.choice(texts[10]) for _ in range(260)]]
+    asked = [t for t in asked if len(t) < 400]
+    got = attention_lm.text_scores(model, *attention_lm.Reader(model["counts"], RANKS).read(asked))
+    want = [plain_text_score(model, t, RANKS) for t in asked]
+    assert np.allclose(got, want, rtol=2e-4, atol=1e-3)
+
+
 def held(i, modulus, rest):
     return i is None or zlib.crc32(str(i).encode()) % modulus == rest
 
@@ -509,27 +639,22 @@ def test_lm_scores(docs, empty):
     assert attention_lm.score(empty, RANKS).count() == 0
 
 
-def test_lm_learns(spark):
-    """Trained weights do better on unseen text than the bigram table alone."""
+def test_lm_learns():
+    """Trained weights do better on unseen text than the first ones: a mark comes back after a gap, which counts of neighbours can't say."""
     rng, order = random.Random(9), "a b c d e f g h".split()
     texts = []
     for _ in range(300):
-        mark = rng.choice(order)  # the mark before a gap of two comes back after it
-        texts.append(" ".join(f"{mark} x y {mark}" for _ in range(12)))
-    subwords = attention_lm.Subwords(RANKS)
-    head = Counter(w.encode() for t in texts for w in t.split())
-    class_of = attention_lm.subword_classes(dict(head), subwords)
-    size = len(class_of) - 1
-    seqs = [class_of[np.concatenate([[size], s, [size]])] for s in subwords.sequences([t.encode().split() for t in texts])]
-    bigrams = np.zeros((attention_lm.CLASSES,) * 2)
-    for s in seqs[:250]:
-        np.add.at(bigrams, (s[:-1], s[1:]), 1)
-    w = attention_lm.first_weights(bigrams)
-    loss = lambda w: -sum((attention_lm.log_probabilities(w, x, y) * m).sum() for x, y, m in map(attention_lm.windows, seqs[250:]))
-    before = loss(w)
-    for k in range(25):
-        w, _ = attention_lm.train_locally(w, seqs[:250], k)
-    assert loss(w) < 0.8 * before
+        mark = rng.choice(order)
+        texts.append([w.encode() for _ in range(12) for w in f"{mark} x y {mark}".split()])
+    model = trained_model(texts[:250], np.random.default_rng(4))
+    model["weights"] = attention_lm.first_weights()
+    reader = attention_lm.Reader(model["counts"], RANKS)
+    train, unseen = reader.read(texts[:250]), reader.read(texts[250:])
+    before = attention_lm.text_scores(model, *unseen).sum()
+    for k in range(12):
+        model["weights"], _ = attention_lm.train_locally(model["weights"], model["class_of"], *train, k)
+    after = attention_lm.text_scores(model, *unseen).sum()
+    assert after > 0.6 * before and after > np.log10(np.maximum(unseen[0]["two"], 1e-30)).sum()
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------------------

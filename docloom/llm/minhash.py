@@ -31,7 +31,7 @@ SHARE_NUM, SHARE_DEN = 75, 100
 #: many of SIZE and of 2 * SIZE agree, each five deviations under what a similarity of 0.75 gives: under one such pair in a million is missed.
 AGREE = (287, 600)
 #: Sets of one bucket, and of one component in a pair of components, that meet in one block.
-BLOCK, SIDE = 256, 128
+BLOCK, SIDE = 1024, 256
 #: Rows of one leader that meet one copy of its set.
 SPREAD = 256
 
@@ -261,10 +261,9 @@ def _blocks(placed: DataFrame, mixed: DataFrame, faces: DataFrame) -> DataFrame:
     cut in parts by a hash, and each part goes to a block with every part."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = _attach(placed, mixed, ["band"], "n", "inner").withColumn("parts", parts)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(faces, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("node", "component", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
-    rows = rows.join(faces, "node").select("band", "low", "high", "part", "node", "component", "size", "face")
+    rows = rows.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component", "size", "face")
     return rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "node")
 
 
@@ -279,9 +278,15 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) after more links between nodes of the components found."""
-    stars = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return store_table(components(stars.unionByName(links)), "components")
+    """(node, component) after more links between nodes. Only the components that the links join are worked on."""
+    named = links.select("a", "b")
+    for side in ("a", "b"):
+        own = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        named = named.join(own, side, "left").withColumn(side, F.coalesce(f"c{side}", side)).drop(f"c{side}")
+    merged = components(named).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    kept = found.join(merged, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    single = merged.join(found.select(F.col("node").alias("component")), "component", "left_anti")  # nodes that had no link so far
+    return store_table(kept.unionByName(single.select(F.col("component").alias("node"), F.col("joined").alias("component"))), "components")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:

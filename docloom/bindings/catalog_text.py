@@ -338,15 +338,15 @@ def quoted_mining(s, d):
     return V.mine_quoted(answers, B.lexicon(s, d), F.lit("2024-01-01").cast("timestamp")).drop("tenant_id")
 
 
-_GAP = r"""dt AS (SELECT w, count(*) AS n FROM (SELECT doc_id, position, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,40}'))) AS w FROM c) WHERE length(w) >= 3 GROUP BY 1),
-qt AS (SELECT w, count(*) AS n FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}_]{2,40}'))) AS w FROM t WHERE created_at >= TIMESTAMP '2024-01-02') WHERE length(w) >= 3 GROUP BY 1),
+_GAP = r"""dt AS (SELECT w, count(*) AS n FROM (SELECT doc_id, position, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]{2,40}'))) AS w FROM c) WHERE length(w) >= 3 GROUP BY 1),
+qt AS (SELECT w, count(*) AS n FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(question, '[\p{L}\p{N}_]{2,40}'))) AS w FROM t WHERE created_at >= TIMESTAMP '2024-01-02') WHERE length(w) >= 3 GROUP BY 1),
 b AS (SELECT coalesce(dt.w, qt.w) AS candidate, coalesce(dt.n, 0) AS doc_freq, coalesce(qt.n, 0) AS query_freq FROM dt FULL JOIN qt USING (w)),
 sg AS (SELECT *, 'doc_frequent' AS signal, doc_freq AS n FROM b WHERE doc_freq >= 8 AND query_freq <= 2 UNION ALL SELECT *, 'query_frequent', query_freq FROM b WHERE query_freq >= 2 AND doc_freq <= 60),
 rk AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY n DESC, candidate) AS rank FROM sg),
 kn AS (SELECT lower(term) AS k FROM lx UNION SELECT lower(unnest(surface_forms)) FROM lx)"""
 
 
-@query("gap_mining", "c t lx", _GAP + " SELECT candidate, doc_freq, query_freq, signal FROM rk WHERE candidate NOT IN (SELECT k FROM kn)")
+@query("gap_mining", "c t lx", _GAP + " SELECT candidate, doc_freq, query_freq, signal FROM rk WHERE lower(candidate) NOT IN (SELECT k FROM kn)")
 def gap_mining(s, d):
     q = B.turns(s, d).withColumn("tenant_id", F.lit("org"))
     return V.mine_gaps(B.chunks(s, d, "org"), q, B.lexicon(s, d), F.lit("2024-01-02").cast("timestamp"), query_min=2, doc_max=60).drop("tenant_id")

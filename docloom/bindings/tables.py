@@ -107,15 +107,21 @@ FROM (SELECT doc_id, tenant_id, effective_date, position - 1 AS position, regexp
 WHERE text <> ''"""
 
 
-def event_stream(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
-    """The event log as a file stream that arrives in ``parts`` files, oldest first, one in each micro-batch."""
+def event_stream(spark: SparkSession, d: str, parts: int = 4, rows_per_file: int = 250_000) -> DataFrame:
+    """The event log as a file stream that arrives in ``parts`` slices of time, oldest first, one in each micro-batch. A slice is as many files as its
+    rows fill; rows without a time arrive first, in a slice of their own."""
     events = raw(spark, d, "events")
-    low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high, rows, timed = events.agg(F.min(at), F.max(at), F.count("*"), F.count("ts")).first()
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
-    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
-    for k in range(parts):  # in turn, so that the files' times are in order
-        events.filter(part == k).repartition(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(1, -(-rows // (parts * rows_per_file)))
+    slices = [events.filter("ts IS NULL")] if low is None or rows > timed else []
+    if low is not None:
+        part = F.least(F.floor((at - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+        slices += [events.filter(part == k) for k in range(parts)]
+    for rows_of in slices:  # in turn, so that the files' times are in order
+        rows_of.repartition(files).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -106,10 +106,10 @@ def title_text(filename: Column) -> Column:
 # --- mining tokens -----------------------------------------------------------------------------------------------------
 
 def mining_tokens(text: Column) -> Column:
-    """Distinct vocabulary of a text: runs of 2-40 word characters, leading prefix letters cut, short and stop words dropped."""
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{WORD}{HEBREW}]{{2,40}}"), F.lit(0)))
+    """Distinct vocabulary of a text as it is written: runs of 2-40 word characters, leading prefix letters cut, short and stop words dropped."""
+    runs = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{WORD}{HEBREW}]{{2,40}}"), F.lit(0)))
     cut = F.transform(runs, lambda r: F.ltrim(r, F.lit(S.MINING_PREFIX_LETTERS)))
-    return F.array_distinct(F.filter(cut, lambda t: (F.length(t) >= 3) & ~t.isin(S.MINING_STOP_WORDS)))
+    return F.array_distinct(F.filter(cut, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(S.MINING_STOP_WORDS)))
 
 
 # Quoted phrases (three quote styles) and acronyms.

@@ -11,6 +11,7 @@ from docloom import settings as S
 from docloom.functions import text as X
 from docloom.operators import fusion, governance, lexical, vector
 from docloom.operators.documents import assemble_context
+from docloom.session import store_table
 
 
 @dataclass
@@ -38,19 +39,21 @@ def with_document_columns(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, postings: DataFrame | None = None,
-                    frequencies: DataFrame | None = None, k: int = 5, as_of_year: int = 2024, include_superseded: bool = False,
+                    frequencies: DataFrame | None = None, stats: DataFrame | None = None, k: int = 5, as_of_year: int = 2024, include_superseded: bool = False,
                     scorer: fusion.Scorer | None = None, amendments: DataFrame | None = None,
                     resolutions: DataFrame | None = None, history: DataFrame | None = None,
                     matched_terms: DataFrame | None = None, lanes: tuple[str, ...] = ("vector", "bm25", "title", "year"),
                     **routes: int) -> Retrieved:
     """questions(tenant_id, question_id, question, embedding), chunks(tenant_id, chunk_id, doc_id, position, section_path,
-    section_ref, text, decision_type, superseded_by_amendment_id, embedding), docs. Currency filters run before any top-k."""
+    section_ref, text, decision_type, superseded_by_amendment_id, embedding), docs. Currency filters run before any top-k. ``postings``,
+    ``frequencies`` and ``stats`` are stored index tables of all chunks; what is missing is computed."""
     lo, hi = X.year_bounds(F.col("question"))
     q = fusion.effective_k(questions.withColumn("year_from", lo).withColumn("year_to", hi), k)
     bound = max(k, S.MAX_RANGE_K)
     pool = chunks if include_superseded else fusion.current_only(chunks, docs)
     live_docs = docs if include_superseded else docs.filter("superseded_by_id is null")
-    full = with_document_columns(pool, docs)
+    # every lane and the final texts read this table: joined once, then scanned column by column
+    full = store_table(with_document_columns(pool, docs), "live-chunks")
     meta = full.select(*META)
 
     lane = {}
@@ -60,7 +63,7 @@ def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, docs: DataFrame, po
         index = postings if postings is not None else lexical.build_postings(chunks)
         allowed = None if include_superseded else meta
         lane["lexical"] = lexical.lexical_search(
-            q.withColumn("_limit", 4 * F.col("k")), index, lexical.index_stats(chunks), 4 * bound,
+            q.withColumn("_limit", 4 * F.col("k")), index, lexical.index_stats(chunks) if stats is None else stats, 4 * bound,
             allowed=allowed, limit_col="_limit", frequencies=frequencies)
     if "title" in lanes:
         lane["title"] = vector.seed_by_title(q, lexical.title_search(q, live_docs), full)

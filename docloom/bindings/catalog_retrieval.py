@@ -229,13 +229,15 @@ def _by_text_length(questions, texts):
     return [-float(len(t)) for t in texts]
 
 
-_TAGS = "'[' || concat_ws(' · ', CASE WHEN doc_type = 'decision' THEN 'החלטה' WHEN doc_type = 'minutes' THEN 'פרוטוקול' ELSE 'v' || doc_id END, CAST(doc_date AS VARCHAR), 'סעיף ' || section_path) || '] body'"
+_TAGS = "'[' || concat_ws(' · ', CASE WHEN doc_type = 'decision' THEN 'החלטה' WHEN doc_type = 'minutes' THEN 'פרוטוקול' ELSE 'v' || doc_id END, CAST(doc_date AS VARCHAR), 'סעיף ' || section_path) || '] ' || coalesce(dd.text, '')"
 
 
-@query("rerank", "v", _BOOSTED + f""", rt AS (SELECT cd.*, length({_TAGS.replace('doc_id', 'cd.doc_id').replace('doc_type', 'cd.doc_type').replace('doc_date', 'cd.doc_date')}) AS n FROM cd JOIN (SELECT chunk_id, section_path FROM v) USING (chunk_id)),
+@query("rerank", "v", _BOOSTED + f""", rt AS (SELECT cd.*, length({_TAGS.replace('doc_id', 'cd.doc_id').replace('doc_type', 'cd.doc_type').replace('doc_date', 'cd.doc_date')}) AS n FROM cd JOIN (SELECT chunk_id, section_path FROM v) USING (chunk_id) LEFT JOIN documents dd ON dd.doc_id = chunk_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n, fused_rank) AS rank FROM rt) SELECT question_id, chunk_id, rank FROM rk WHERE rank <= 15""")
 def rerank(s, d):
-    extra = B.vectors(s, d).select("chunk_id", "section_path", F.lit("body").alias("text"), F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+    # the text of the document with the vector's number
+    texts = B.raw(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    extra = B.vectors(s, d).join(texts, "chunk_id", "left").select("chunk_id", "section_path", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
                                    F.lit(None).cast("string").alias("decision_number"), F.lit(None).cast("string").alias("meeting_number"))
     hinted = _cands(s, d).join(extra, "chunk_id").withColumn("rerank_text", R.rerank_text()).withColumn("question", F.lit("q"))
     return R.rerank(hinted, _by_text_length).select("question_id", "chunk_id", "rank")

@@ -327,12 +327,12 @@ def event_retention_kept(s, d):
     return V.prune_events(_usage_events(s, d), B.as_of())[0].groupBy("lexicon_id").agg(F.count("*").alias("n"))
 
 
-@query("quoted_mining", "lx", r"""wr AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 40),
+@query("quoted_mining", "lx", r"""wr AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 40),
 kn AS (SELECT lower(term) AS k FROM lx UNION SELECT lower(unnest(surface_forms)) FROM lx)
 SELECT w AS candidate, count(DISTINCT doc_id) AS distinct_queries, min(doc_id) AS sample_query_id FROM wr WHERE lower(w) NOT IN (SELECT k FROM kn) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def quoted_mining(s, d):
-    # every longer word of every document put in guillemets, so the miner sees many quoted candidates
-    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{X.WORD}]+"), F.lit(0))), lambda w: F.length(w).between(4, 40))
+    # every word of every document that the pattern can hold put in guillemets, so the miner sees many quoted candidates
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{X.WORD}]+"), F.lit(0))), lambda w: F.length(w).between(2, 40))
     answers = B.raw(s, d, "documents").select(F.lit("org").alias("tenant_id"), F.col("doc_id").alias("query_id"), B.as_of().alias("created_at"),
                                               F.array_join(F.transform(words, lambda w: F.concat(F.lit("«"), w, F.lit("»"))), " ").alias("answer"))
     return V.mine_quoted(answers, B.lexicon(s, d), F.lit("2024-01-01").cast("timestamp")).drop("tenant_id")
@@ -352,12 +352,12 @@ def gap_mining(s, d):
     return V.mine_gaps(B.chunks(s, d, "org"), q, B.lexicon(s, d), F.lit("2024-01-02").cast("timestamp"), query_min=2, doc_max=60).drop("tenant_id")
 
 
-@query("edit_mining", "t lx", r"""x AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '[A-Za-z]{4,40}'))) AS w FROM t WHERE answer <> ''),
-o AS (SELECT query_id, list_distinct(regexp_extract_all(question, '[A-Za-z]{4,40}')) AS ws FROM t), kn AS (SELECT lower(term) AS k FROM lx UNION SELECT lower(unnest(surface_forms)) FROM lx)
+@query("edit_mining", "t lx", r"""x AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(answer, '[\p{L}\p{N}_]{2,40}'))) AS w FROM t WHERE answer <> ''),
+o AS (SELECT query_id, list_distinct(regexp_extract_all(question, '[\p{L}\p{N}_]{2,40}')) AS ws FROM t), kn AS (SELECT lower(term) AS k FROM lx UNION SELECT lower(unnest(surface_forms)) FROM lx)
 SELECT query_id, w AS candidate FROM x JOIN o USING (query_id) WHERE NOT list_contains(ws, w) AND lower(w) NOT IN (SELECT k FROM kn)""")
 def edit_mining(s, d):
     def quoted(col):
-        ws = F.array_distinct(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit("[A-Za-z]{4,40}"), F.lit(0)))
+        ws = F.array_distinct(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(f"[{X.WORD}]{{2,40}}"), F.lit(0)))
         return F.array_join(F.transform(ws, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")
     pairs = B.turns(s, d).select(F.lit("org").alias("tenant_id"), "query_id", quoted("question").alias("original_answer"), quoted("answer").alias("edited_answer"))
     return V.mine_edits(pairs, B.lexicon(s, d)).drop("tenant_id")

@@ -20,7 +20,7 @@ class Learned:
 
 
 def learn(queries: DataFrame, chunks: DataFrame, docs: DataFrame, lexicon: DataFrame, events: DataFrame, since: Column,
-          as_of: Column, max_pairs: int = 50) -> Learned:
+          as_of: Column, max_pairs: int | None = None) -> Learned:
     pairs = L.refinement_pairs(queries, since, max_pairs)
     kept, pruned = L.prune_events(events, as_of)
     return Learned(L.mine_quoted(queries, lexicon, since), L.mine_gaps(chunks, queries, lexicon, since), pairs,

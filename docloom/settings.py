@@ -93,7 +93,6 @@ DOC_FREQ_MIN = 8
 QUERY_FREQ_MAX = 2
 QUERY_FREQ_MIN = 5
 DOC_FREQ_MAX = 0
-MAX_PROPOSALS = 15
 MATCH_EVENT_DAYS = 90
 USAGE_DAYS = 30
 

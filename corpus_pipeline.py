@@ -31,12 +31,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them share. ``n_chars`` follows the text."""
-    kept = docs.columns
-    cut = dedup_lines(docs)
-    if "n_chars" in kept:
+    """All documents, without the lines that ten or more of them share. ``n_chars`` follows the text; columns with the names of the operator's own
+    counts stay what they were."""
+    own = {c: fresh(docs, f"_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    cut = dedup_lines(docs.withColumnsRenamed(own))
+    if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*kept)
+    return cut.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

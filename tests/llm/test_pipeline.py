@@ -52,6 +52,16 @@ def test_stages(spark, sf_dir):
     assert ids(pieces) == every
 
 
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    names = ["score", "row_key", "n_lines", "n_dropped", "cut", "component_id", "kept", "terms"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        wrong = [F.col(c).eqNullSafe(F.concat(F.lit(c), F.col("doc_id").cast("string"))) for c in names]
+        assert out.filter(~(wrong[0] & wrong[1] & wrong[2] & wrong[3] & wrong[4] & wrong[5] & wrong[6] & wrong[7])).count() == 0, name
+
+
 def test_run(spark, sf_dir):
     kept = corpus_pipeline.run(spark, sf_dir)
     assert not ids(kept) & ({500, 501, 600} | set(range(0, 300, 5))) and {1, 2, 404, 502, 503, None} <= ids(kept)
@@ -67,4 +77,4 @@ def test_stages_on_empty_tables(spark, sf_dir, tmp_path):
 
 def test_registered():
     names = set(entry_module.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= names and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))

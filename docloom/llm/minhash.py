@@ -132,13 +132,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return store_table(out.filter("u <> v").distinct(), "edges")
 
-    mark = None
     for _ in range(max_rounds):
         edges = star(star(edges, True), False)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("of"), F.lit(0).alias("at")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("of"), F.lit(1).alias("at")))
+        roles = ends.groupBy("node").agg(F.sum("of").alias("of"), F.max("at").alias("at"))
+        if roles.filter((F.col("of") > 1) | (F.col("of") > 0) & (F.col("at") > 0)).isEmpty():  # only stars are left
             break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -11,11 +11,11 @@ from docloom.bindings import load_catalog
 from docloom.session import build_session
 
 HEADLINE = [
-    "hybrid_retrieve", "vector_search", "lexical_search", "postings", "embed_chunks", "chunk_sections", "text_duplicate_flags",
+    "vector_search", "lexical_search", "postings", "embed_chunks", "chunk_sections", "text_duplicate_flags",
     "duplicate_groups", "content_dedup", "match_terms", "match_terms_by_words", "annotations", "gap_mining", "quoted_mining",
     "refinement_pairs", "tenant_overview", "user_engagement", "weekly_activity", "transcript", "document_report", "golden_scores",
     "golden_drops", "amendment_chain", "resolution_chain", "chain_candidates", "reconcile_pairs", "link_versions", "feedback_queries",
-    "reference_binding", "cache_lookup", "ingest_chunks", "stream_weekly_activity",
+    "reference_binding", "cache_lookup", "ingest_chunks", "stream_weekly_activity", "hybrid_retrieve",
 ]
 
 

@@ -7,21 +7,23 @@ filled. Coordinates of two sets agree with the probability of their similarity a
 
 Links: in each bucket all sets are verified against the bucket's smallest id, which settles groups of near copies in linear work. What is left
 are buckets that hold sets of several components. Their sets meet inside tasks, in blocks of at most BLOCK sets of a bucket and by low bits of
-two sketches only: each component first takes its nearest other set, one verified pair a component; then the components still apart are listed
-with the sets that are near the other one, and these sets are verified against each other in blocks as well. No row is made for a pair of sets:
-rows grow with the sets in mixed buckets, and with the pairs of components that come within AGREE of each other and still are not linked.
+two sketches only: each component first takes its nearest other set, one verified pair a component; then every block names its sets that come within
+AGREE of another component's, and these are verified against each other in the same block. No row is made for a pair of sets or of components:
+rows grow with the sets in mixed buckets only, and a block hands on fewer links than it has components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import hot_rows, mix64, raw_text, shingle_hashes, word_hashes
+from docloom.llm.common import HOT_SHARE, hot_rows, mix64, raw_text, shingle_hashes, word_hashes
 from docloom.session import store_table
 
 BANDS, ROWS, SHINGLE = 72, 6, 5
@@ -30,8 +32,8 @@ SHARE_NUM, SHARE_DEN = 75, 100
 #: Sets are compared by four bits of each coordinate of two sketches, which agree with probability s + (1 - s) / 16. A pair is taken up if this
 #: many of SIZE and of 2 * SIZE agree, each five deviations under what a similarity of 0.75 gives: under one such pair in a million is missed.
 AGREE = (287, 600)
-#: Sets of one bucket, and of one component in a pair of components, that meet in one block.
-BLOCK, SIDE = 1024, 256
+#: Sets of one bucket that meet in one block by their sketches, and shingles of one side of a block whose sets are verified.
+BLOCK, SIDE = 1024, 1 << 21
 #: Rows of one leader that meet one copy of its set.
 SPREAD = 256
 
@@ -95,8 +97,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _attach(left: DataFrame, right: DataFrame, key: list[str], count: str, how: str) -> DataFrame:
-    """Join with a table of unique keys that knows how many rows of ``left`` hold each: the few hot ones are broadcast, the rest shuffled."""
-    hot = hot_rows(right, count)
+    """Join with a table of unique keys that knows how many rows of ``left`` hold each: the few hot ones and the commonest are broadcast, the rest
+    shuffled. As the commonest always counts as hot, the plan is the same for tables with and without hot keys."""
+    total, most = right.agg(F.sum(count), F.max(F.struct(count, *key))).first()
+    if most is None:
+        return left.join(right, key, how)
+    hot = right.filter((F.col(count) * HOT_SHARE > total) | reduce(and_, [F.col(k) == most[k] for k in key]))
     often = left.join(F.broadcast(hot), key)
     return often.unionByName(left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(right, key, how))
 
@@ -218,41 +224,52 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ca, cb, node, first): the sets of two components, ``ca`` the smaller, that are near one of the other."""
+    """(band, low, high, i, j, node, component): the sets of each block that are near one of another component. Where they have more than SIDE shingles
+    they are cut in parts, and every two parts ``i`` and ``j`` meet."""
     for table in _groups(batches, 3):
-        node, comp = table.column(4).to_numpy(), table.column(5).to_numpy()
-        rows = [np.zeros((0, 4), np.int64)]
+        node, comp, size = (table.column(k).to_numpy() for k in (4, 5, 6))
+        near = np.zeros(len(node), bool)
         for x, y, _ in _near(table):
-            for a, b in ((x, y), (y, x)):
-                rows.append(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), node[a], comp[a] < comp[b]], 1))
-            rows = [np.unique(np.concatenate(rows), axis=0)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[0][:, k]) for k in range(3)), pa.array(rows[0][:, 3] == 1)], ["ca", "cb", "node", "first"])
+            near[x] = near[y] = True
+        names, first, of = np.unique(node[near], return_index=True, return_inverse=True)
+        if not len(names):
+            continue
+        part = np.unique((np.cumsum(np.bincount(of, size[near])) - 1) // SIDE, return_inverse=True)[1]
+        n = int(part.max()) + 1
+        own = np.repeat(np.arange(len(names)), n)
+        other = np.tile(np.arange(n), len(names))
+        if n > 1:
+            own, other = own[part[own] != other], other[part[own] != other]
+        key = [np.full(len(own), table.column(k)[0].as_py(), np.int64) for k in range(3)]
+        values = [*key, np.minimum(part[own], other), np.maximum(part[own], other), names[own], comp[near][first][own]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["band", "low", "high", "i", "j", "node", "component"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One link of each block of sets of two components, the one with the smallest ids, if there is any."""
-    for table in _groups(batches, 4):
-        first = table.column(5).to_numpy(zero_copy_only=False)
-        node = table.column(4).to_numpy()
-        sets = [s.values.to_numpy() for s in table.column(6)]
-        one, two = np.flatnonzero(first), np.flatnonzero(~first)
-        link = None
-        if len(one) and len(two):
-            values = np.concatenate([sets[k] for k in two])
-            owner = np.repeat(np.arange(len(two)), [len(sets[k]) for k in two])
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            sizes = np.array([len(sets[k]) for k in two])
-            for a in one[np.argsort(node[one])].tolist():
-                low, high = np.searchsorted(values, sets[a]), np.searchsorted(values, sets[a], "right")
-                count = high - low
-                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                common = np.bincount(owner[at], minlength=len(two))
-                good = np.flatnonzero(SHARE_DEN * common >= SHARE_NUM * (len(sets[a]) + sizes - common))
-                if len(good):
-                    link = (int(node[a]), int(node[two[good]].min()))
-                    break
-        rows = [link] if link else []
+    """Links between the components of each block of sets that join all it can join: fewer than it has components."""
+    for table in _groups(batches, 5):
+        node, comp = (table.column(k).to_numpy() for k in (5, 6))
+        sets = [s.values.to_numpy() for s in table.column(7)]
+        sizes = np.array([len(s) for s in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        commonest, of = np.unique(comp, return_inverse=True)
+        one = np.flatnonzero(of != np.argmax(np.bincount(of, minlength=len(commonest))))  # sets of the commonest component only meet the others
+        rows = []
+        for a in one[np.argsort(node[one], kind="stable")].tolist():
+            if (of == of[a]).all():
+                break
+            low, high = np.searchsorted(values, sets[a]), np.searchsorted(values, sets[a], "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            good = np.flatnonzero((of != of[a]) & (SHARE_DEN * common >= SHARE_NUM * (len(sets[a]) + sizes - common)))
+            while len(good):
+                b = good[np.argmin(node[good])]
+                rows.append((int(node[a]), int(node[b])))
+                of[of == of[b]] = of[a]
+                good = good[of[good] != of[a]]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["a", "b"])
 
 
@@ -272,7 +289,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     degrees = store_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_rows")), "degrees")
     hot = hot_rows(degrees, "n_rows").select("node", F.ceil(F.col("n_rows") / SPREAD).cast("int").alias("n_copies"))
     dealt = rows.join(F.broadcast(hot), "node", "left")
-    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("ca", "cb"), F.coalesce("n_copies", F.lit(1))).cast("int")).drop("n_copies")
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("band", "low", "high", "i", "j"), F.coalesce("n_copies", F.lit(1))).cast("int")).drop("n_copies")
     copies = sets.join(F.broadcast(hot), "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("n_copies", F.lit(1)) - 1)))
     return dealt.join(copies.select("node", "copy", "shingles"), ["node", "copy"]).drop("copy")
 
@@ -317,15 +334,10 @@ def _complete(found: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame
         mixed = _mixed(placed)
         if mixed.isEmpty():
             return found
-    sides = store_table(_blocks(placed, mixed, faces).mapInArrow(_sides, "ca long, cb long, node long, first boolean").distinct(), "sides")
-    counts = sides.groupBy("ca", "cb").agg(*(F.ceil(F.sum(F.when(F.col("first") == x, 1)) / SIDE).cast("int").alias(n) for x, n in ((True, "firsts"), (False, "seconds"))))
-    dealt = _with_sets(sides.join(counts, ["ca", "cb"]), sets)
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("firsts")).otherwise(F.col("seconds"))).cast("int")
-    across = F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("seconds")).otherwise(F.col("firsts")) - 1))
-    dealt = dealt.withColumn("own", own).withColumn("across", across)
-    dealt = dealt.select("ca", "cb", F.when(F.col("first"), F.col("own")).otherwise(F.col("across")).alias("i"),
-                         F.when(F.col("first"), F.col("across")).otherwise(F.col("own")).alias("j"), "node", "first", "shingles")
-    dealt = dealt.repartition("ca", "cb", "i", "j").sortWithinPartitions("ca", "cb", "i", "j")
+    block = ["band", "low", "high", "i", "j"]
+    kind = ", ".join(f"{c} long" for c in [*block, "node", "component"])
+    sides = store_table(_blocks(placed, mixed, faces).mapInArrow(_sides, kind), "sides")
+    dealt = _with_sets(sides, sets).select(*block, "node", "component", "shingles").repartition(*block).sortWithinPartitions(*block)
     links = store_table(dealt.mapInArrow(_linked, "a long, b long"), "links")
     return found if links.isEmpty() else _joined(found, links)
 

@@ -210,6 +210,37 @@ def test_one_template_with_many_unlike_texts(spark, monkeypatch):
     assert made["sides"] < 4000 and made["pairs"] <= 72 * 2000
 
 
+def test_outliers_of_a_large_component_make_no_row_a_pair(spark, monkeypatch):
+    """60 sets that are near all 200 of one component and like none: rows follow the sets in buckets, not the pairs of components and sets."""
+    rng = random.Random(12)
+    new = lambda n: [rng.randrange(1 << 60) for _ in range(n)]
+    template, made, stored = new(200), {}, minhash.store_table
+    sets = [(k, template[:195] + new(5)) for k in range(200)] + [(1000 + k, template[:168] + new(32)) for k in range(60)]  # 168 of 232: 0.724
+    sets.append((999, sets[0][1][:172] + new(28)))  # 172 of 228: linked
+
+    def counted(frame, name):
+        out = stored(frame, name)
+        made[name] = out.count()
+        return out
+    monkeypatch.setattr(minhash, "store_table", counted)
+    table = spark.createDataFrame(sets, "node long, shingles array<long>")
+    shared = spark.createDataFrame([(band, k) for k, _ in sets for band in range(4)], "band long, node long")
+    found = spark.createDataFrame([(k, 0) for k in range(200)], "node long, component long")
+    got = {r["node"]: r["component"] for r in minhash._complete(found, shared, table).collect()}
+    assert got[999] == 0 and all(got.get(1000 + k, 1000 + k) == 1000 + k for k in range(60))
+    assert made["sides"] <= 4 * len(sets)
+
+
+def test_attach_has_one_plan_with_and_without_hot_keys(spark):
+    for often in (1, 5000):
+        left = spark.createDataFrame([(k, k) for k in range(9000)] + [(7, -k) for k in range(often)], "key long, v long")
+        right = left.groupBy("key").count().filter("key % 2 = 1").localCheckpoint()
+        for how, rows in (("inner", 4500 + often), ("left", 9000 + often)):
+            out = minhash._attach(left, right, ["key"], "count", how)
+            assert len(out.collect()) == rows
+            assert "LeftAnti" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_sketch_agreement_follows_similarity():
     rng = np.random.default_rng(1)
     for size, shared in [(40, 30), (300, 200), (2000, 1900), (7, 6)]:

@@ -76,3 +76,16 @@ def test_bounds_hold(clustered):
     angles = np.arccos(np.clip(points[:100] @ points.T, -1, 1))
     for c in range(20):
         assert (bounds[:, c] <= angles[:, own == c].min(1) + 1e-9).all()
+
+
+def test_sample_of_the_fit_is_bounded(spark, monkeypatch):
+    """Whatever the number of cells, the driver gets SAMPLE_BYTES of vectors at most, picked without an ordered limit."""
+    asked = []
+    fetch = type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: asked.append((df._jdf.queryExecution().executedPlan().toString(), fetch(df))) or asked[-1][1])
+    monkeypatch.setattr(C, "SAMPLE_BYTES", 300 * 8 * 4)
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((3000, 4)))], "item_id long, embedding array<double>")
+    cells = C.fit_cells(rows, 40)
+    assert len(cells.centroids) == 40 and len(asked) == 1
+    assert 150 < asked[0][1].num_rows <= 300 and "TakeOrdered" not in asked[0][0]

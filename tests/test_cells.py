@@ -1,6 +1,7 @@
 """Nearest neighbours over cells: equal to a full search, with few products where vectors are clustered."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,25 @@ def test_sample_of_the_fit_is_bounded(spark, monkeypatch):
     cells = C.fit_cells(rows, 40)
     assert len(cells.centroids) == 40 and len(asked) == 1
     assert 150 < asked[0][1].num_rows <= 300 and "TakeOrdered" not in asked[0][0]
+
+
+def test_only_items_within_the_kth_distance_are_looked_at_singly(monkeypatch):
+    """Batches after the first hand on few items of each question, and the rows are those of a full sort; ties go to the smallest id."""
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-1, 2, (4000, 16)).astype(float)  # many equal distances
+    vectors[::50] = 0
+    questions = pd.DataFrame({"question_id": np.arange(20), "low": 0, "high": 0, "owner": [None, "1"] * 10, "embedding": list(vectors[1:21])})
+    items = pd.DataFrame({"item_id": np.arange(4000)[::-1], "bucket": 0, "owner": (np.arange(4000) % 9).astype(str), "embedding": list(vectors)})
+    seen, pick = [], V._best
+    monkeypatch.setattr(V, "_best", lambda d, ids, k: seen.append(len(d)) or pick(d, ids, k))
+    block, best = V._Block(questions), {}
+    for start in range(0, 4000, 500):
+        block.search(items.iloc[start:start + 500], 5, best, [])
+    unit = V._unit(list(vectors))
+    for r in range(20):
+        d = np.round(1 - block.matrix[r] @ unit.T, 9)
+        if r % 2:
+            d[items["owner"].to_numpy() == "1"] = np.nan
+        want = sorted((x, i) for x, i in zip(d, items["item_id"]) if np.isfinite(x))[:5]
+        assert list(zip(best[(r, 0)][1], best[(r, 0)][0])) == want
+    assert sum(seen) < 20 * 4000 / 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,7 +91,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 class _LastTurn(StatefulProcessor):
-    """The latest turn of a thread as value state, with a timer that drops it ``life`` milliseconds of event time after that turn."""
+    """The latest turn of a thread as value state that leaves ``life`` milliseconds of event time after it. A thread has one timer: where the thread went
+    on after it was set, it is set anew when it fires, so that a turn costs no calls for timers. Rows, as a frame for each short thread costs far more."""
 
     def __init__(self, life: int) -> None:
         self.life = life
@@ -100,28 +101,29 @@ class _LastTurn(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "query_id string, failed boolean, expires bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         late = timerValues.getCurrentWatermarkInMs()  # Spark's own filter is one batch behind it
-        turns = sorted(row for b in rows for row in zip(b["turn"], b["at"], b["query_id"].map(_by_number), b["failed"], b["succeeded"])
-                       if row[1].timestamp() * 1000 >= late)
+        turns = sorted((r.turn, r.at, _by_number(r.query_id), r.failed, r.succeeded) for r in rows if r.at.timestamp() * 1000 >= late)
         if not turns:
             return
-        before, out = self.last.get(), []
+        before = self.last.get()
         query_id, was_failed, expires = before if before is not None else (None, False, 0)
-        if before is not None:
-            self.handle.deleteTimer(expires)
         for _, at, (_, this), failed_, succeeded_ in turns:
             when = int(at.timestamp() * 1000)
             if was_failed and succeeded_ and when <= expires:  # a timer fires after the batch that passes it
-                out.append((key[0], key[1], query_id, this))
+                yield Row(tenant_id=key[0], conversation_id=key[1], from_query_id=query_id, to_query_id=this)
             query_id, was_failed, expires = this, bool(failed_), max(expires, when + self.life)
         self.last.update((query_id, was_failed, expires))
-        self.handle.registerTimer(expires)
-        yield pd.DataFrame(out, columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"], dtype=object)
+        if before is None:
+            self.handle.registerTimer(expires)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        yield pd.DataFrame([], columns=["tenant_id", "conversation_id", "from_query_id", "to_query_id"], dtype=object)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expires = self.last.get()[2]
+        if expires > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(expires)
+        else:
+            self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -138,7 +140,7 @@ def refinement_pairs_stream(queries: DataFrame, ts: str = "created_at", delay: s
                     F.col(ts).alias("at"), F.coalesce(failed(), F.lit(False)).alias("failed"),
                     F.coalesce(succeeded(), F.lit(False)).alias("succeeded")))
     processor = _LastTurn(int(pd.Timedelta(life).total_seconds() * 1000))
-    return rows.groupBy("tenant_id", "conversation_id").transformWithStateInPandas(processor, _PAIR, "Append", "EventTime")
+    return rows.groupBy("tenant_id", "conversation_id").transformWithState(processor, _PAIR, "Append", "EventTime")
 
 
 def _by_number(query_id: str) -> tuple[int, str]:

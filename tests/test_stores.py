@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docloom.operators import dedup as D
@@ -105,3 +106,48 @@ def test_threads_have_a_life_time(spark, tmp_path):
     assert got == sorted((r.from_query_id, r.to_query_id) for r in V.refinement_pairs(inside, F.lit(T0)).collect())
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/cp")
     assert {r["key"]["conversation_id"] for r in state.collect()} == {"x", "b"}
+
+
+def test_a_turn_costs_few_state_calls():
+    """A thread without a pair gives no rows, has one timer, and a thread that went on gets its timer anew when it fires."""
+    day, calls = 86_400_000, []
+
+    class Value:
+        now = None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Watermark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def turn(n, at, failed):
+        return Row(query_id=str(n), turn=n, at=dt.datetime.fromtimestamp(at / 1000), failed=failed, succeeded=not failed)
+
+    last = T._LastTurn(10 * day)
+    last.init(Handle())
+    assert list(last.handleInputRows(("t", "c"), iter([turn(1, day, True)]), Watermark(0))) == []
+    pairs = list(last.handleInputRows(("t", "c"), iter([turn(3, 4 * day, True), turn(2, 3 * day, False)]), Watermark(day)))
+    assert [(p.from_query_id, p.to_query_id) for p in pairs] == [("1", "2")] and calls == [("register", 11 * day)]
+    assert list(last.handleExpiredTimer(("t", "c"), Watermark(12 * day), None)) == [] and calls[1:] == [("register", 14 * day)]
+    assert list(last.handleExpiredTimer(("t", "c"), Watermark(14 * day), None)) == [] and last.last.now is None

@@ -690,6 +690,16 @@ def test_lm_learns():
     assert after > 0.6 * before and after > np.log10(np.maximum(unseen[0]["two"], 1e-30)).sum()
 
 
+def test_lm_trains_on_every_row(spark):
+    """Each training text alone moves the weights, whatever its id."""
+    for i in range(4):
+        training = spark.createDataFrame([(i, "a b a b c a b".encode())], "doc_id long, raw binary")
+        words = attention_lm.word_counts(training)
+        head = {bytes(r["word"]): r["c"] for r in words.collect()}
+        weights, first = attention_lm.fit(training, words, head, RANKS)["weights"], attention_lm.first_weights()
+        assert any((weights[k] != first[k]).any() for k in first)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------------------
 
 def test_packing_round_trip(docs, empty):

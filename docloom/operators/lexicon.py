@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +12,10 @@ from docloom.functions import pieces
 from docloom.functions import text as X
 from docloom.operators.documents import turn_segment
 from docloom.operators.scale import top_n, with_next
+from docloom.operators.slices import flat_map
 
 _NOTABLE = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("span", "string"))
-_MATCH = "array<struct<lexicon_id:string,term:string,surface_form:string,start:int,end:int>>"
+_MATCH = "lexicon_id string, term string, surface_form string, start int, end int"
 BROADCAST_ENTRIES = 20_000
 BROADCAST_CHARS = 32 << 20
 
@@ -51,25 +50,17 @@ def match_terms(texts: DataFrame, lexicon: DataFrame, broadcast_entries: int = B
             local.setdefault(r["tenant_id"], []).append((r["lexicon_id"], r["term"], list(r["forms"])))
         shared = texts.sparkSession.sparkContext.broadcast(local)
 
-        @F.pandas_udf(_MATCH)
-        def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def start():
             ready: dict[str, pieces.TermIndex] = {}
-            for tenants, values in batches:
-                out = []
-                for tenant, value in zip(tenants, values):
-                    if tenant not in ready:
-                        ready[tenant] = pieces.TermIndex(shared.value.get(tenant, []))
-                    out.append(_as_structs(ready[tenant].find(value or "")))
-                yield pd.Series(out, dtype=object)
-
-        rows = texts.withColumn("_m", find(F.col("tenant_id").cast("string"), F.col("text")))
-    else:
-        rows = _match_by_words(texts, entries)
-    return rows.select("tenant_id", "text_id", F.explode("_m").alias("_m")).select("tenant_id", "text_id", "_m.*")
 
+            def find(tenant: str | None, text: str | None) -> list[tuple]:
+                if tenant not in ready:
+                    ready[tenant] = pieces.TermIndex(shared.value.get(tenant, []))
+                return ready[tenant].find(text or "")
+            return find
 
-def _as_structs(found: list) -> list[dict]:
-    return [dict(lexicon_id=i, term=t, surface_form=f, start=s, end=e) for i, t, f, s, e in found]
+        return flat_map(texts.withColumn("_tenant", F.col("tenant_id").cast("string")), ["_tenant", "text"], ["tenant_id", "text_id"], _MATCH, start)
+    return _match_by_words(texts, entries)
 
 
 def _match_by_words(texts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -85,15 +76,11 @@ def _match_by_words(texts: DataFrame, entries: DataFrame) -> DataFrame:
     # bounded by the words of one text
     sets = tried.groupBy("tenant_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("lexicon_id", "term", "forms"))).alias("_e"))
 
-    @F.pandas_udf(_MATCH)
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, lists in batches:
-            yield pd.Series([_as_structs(pieces.TermIndex([(e["lexicon_id"], e["term"], list(e["forms"])) for e in es]).find(v or ""))
-                             for v, es in zip(values, lists)], dtype=object)
+    def start():
+        return lambda text, found: pieces.TermIndex([(e["lexicon_id"], e["term"], e["forms"]) for e in found]).find(text or "")
 
     typed = texts.withColumn("_tenant", F.col("tenant_id").cast("string"))
-    return (typed.join(sets.withColumnRenamed("tenant_id", "_tenant"), ["_tenant", "text_id"])
-            .withColumn("_m", find("text", "_e")))
+    return flat_map(typed.join(sets.withColumnRenamed("tenant_id", "_tenant"), ["_tenant", "text_id"]), ["text", "_e"], ["tenant_id", "text_id"], _MATCH, start)
 
 
 @F.pandas_udf(_NOTABLE)

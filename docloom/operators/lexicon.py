@@ -147,10 +147,12 @@ def prune_events(events: DataFrame, as_of: Column, days: int = S.MATCH_EVENT_DAY
 
 def mine_quoted(queries: DataFrame, lexicon: DataFrame, since: Column, min_distinct: int = S.QUOTED_MIN_DISTINCT) -> DataFrame:
     """Quoted phrases and acronyms of recent answers seen in enough distinct queries and unknown so far."""
-    found = (queries.filter((F.col("created_at") >= since) & F.col("answer").isNotNull())
-             .select("tenant_id", "query_id", F.explode(F.array_distinct(X.quoted_and_acronyms(F.col("answer")))).alias("candidate")))
-    counts = found.groupBy("tenant_id", "candidate").agg(F.count_distinct("query_id").alias("distinct_queries"),
-                                                         F.min("query_id").alias("sample_query_id"))
+    recent = queries.filter(F.col("created_at") >= since)  # a missing answer has no candidates
+    found = recent.select("tenant_id", "query_id", F.explode(F.array_distinct(X.quoted_and_acronyms(F.col("answer")))).alias("candidate"))
+    # a candidate stands once in an answer: only queries of several rows, or none of an id, need their ids told apart
+    several = recent.groupBy("query_id").agg(F.count("*").alias("_n")).filter("_n > 1 or query_id is null")
+    distinct = F.count("*") if several.isEmpty() else F.count_distinct("query_id")
+    counts = found.groupBy("tenant_id", "candidate").agg(distinct.alias("distinct_queries"), F.min("query_id").alias("sample_query_id"))
     return _unknown(counts.filter(F.col("distinct_queries") >= min_distinct), "candidate", lexicon)
 
 

@@ -64,3 +64,15 @@ def test_routes_of_the_search(spark, rows):
     assert {r[:2] for r in want} == {tuple(r) for r in whole.select("question_id", "chunk_id").collect()}
     for options in ({"small_forms": 0}, {"small_texts": 0}, {"small_forms": 0, "small_words": 0, "small_texts": 0}):
         assert sorted(map(tuple, L.lexical_search(questions, postings, stats, 1000, **options).collect())) == want
+
+
+def test_hybrid_retrieval_stores_no_whole_posting_table(spark, monkeypatch):
+    from docloom.bindings import catalog_retrieval as C
+    stored = []
+
+    def note(df, name, store=C.store_table):
+        stored.append(name)
+        return store(df, name)
+    monkeypatch.setattr(C, "store_table", note)
+    C._retrieved(spark, "/root/testdata/sf0.001")
+    assert stored == ["chunks"]

@@ -59,3 +59,22 @@ def test_no_shuffle_of_the_blocks(spark, corpus, questions):
     keys = spark.createDataFrame([("t0", "word1", 0)], "tenant_id string, lexeme string, segment long")
     plan = index.blocks.join(F.broadcast(keys), ["tenant_id", "lexeme", "segment"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_blocks_of_texts_equal_blocks_of_postings(spark, corpus):
+    """Blocks built from whole texts hold the postings, bounds included; words of rows that share an id are added up."""
+    more = [(3, "t1", "word5 word5 word7"), (3, "t1", "word5 word8 word9"), (9_000, "t0", "word1 " * 700), (9_001, "t1", "...")]
+    rows = corpus.unionByName(spark.createDataFrame(more, corpus.schema))
+    stats = L.index_stats(rows)
+    found, want = K.build_index(rows, size=32), K.build_blocks(L.build_postings(rows), stats, size=32)
+
+    def postings(index):
+        at = F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("_p")
+        return sorted(map(tuple, index.blocks.select("tenant_id", "lexeme", at).select("tenant_id", "lexeme", "_p.*").collect()))
+
+    assert postings(found) == postings(want)
+    assert ("t1", "word5", 3, 3, 3) in postings(found)
+    assert sorted(map(tuple, found.stats.collect())) == sorted(map(tuple, stats.collect()))
+    best = lambda index: sorted((r[0], r[1], round(r[2], 12)) for r in index.blocks.groupBy("tenant_id", "lexeme").agg(F.max("best")).collect())
+    assert best(found) == best(want)
+    assert found.blocks.groupBy("tenant_id", "lexeme", "segment").count().filter("count > 1").isEmpty()

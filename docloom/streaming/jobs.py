@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docloom import settings as S
@@ -32,32 +33,53 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, sink: Callabl
             .trigger(availableNow=True).start())
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that a task of ``first_attempts`` takes before it keeps the earliest of each key only.
+HELD = 100_000
+
+
+def _earliest(ts: str, order: tuple[str, ...]):
+    """The earliest (ts, *order) row of each (tenant, key) of a task; rows without a time come last."""
+    by = [(c, "ascending") for c in ("tenant_id", "key", ts, *order)]
+
+    def compact(held: list[pa.RecordBatch]) -> pa.Table:
+        rows = pa.Table.from_batches(held).sort_by(by).combine_chunks()  # a stable sort, nulls last
+        starts = np.zeros(rows.num_rows, bool)
+        starts[:1] = True
+        for c in ("tenant_id", "key"):
+            codes = rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            starts[1:] |= codes[1:] != codes[:-1]
+        return rows.filter(pa.array(starts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, room = 0, HELD
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > room:
+                held = compact(held).to_batches()
+                n = sum(b.num_rows for b in held)
+                room = max(HELD, 2 * n)
+        if n:
+            yield from compact(held).to_batches(max_chunksize=10_000)
+    return pick
+
+
 def first_attempts(attempts: DataFrame, delay: str = "1 day", ts: str = "created_at", order: tuple[str, ...] = ()) -> DataFrame:
     """First attempt per (tenant, key) (T2). A key is stripped and cut to its first 128 characters; attempts without one pass unchanged, as
     there is nothing to recognise them by. Within a micro-batch the earliest (ts, *order) wins, across batches the first to arrive. State is
-    released once the watermark is ``delay`` past the attempt."""
-    key = F.substring(F.btrim("key", F.lit(" \t\n\r\x0b\x0c")), 1, S.IDEMPOTENCY_KEY_CHARS)
-    timed = attempts.withColumn("_key", F.when(key != "", key)).withWatermark(ts, delay)
-    keyed = timed.filter("_key is not null").withColumn("key", F.col("_key")).drop("_key")
-    names, wait = keyed.columns, int(pd.Timedelta(delay).total_seconds() * 1000)
+    released once the watermark, ``delay`` behind the newest of these attempts, is ``delay`` past the attempt.
 
-    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = None
-        for rows in batches:
-            if not state.exists:
-                rows = rows if best is None else pd.concat([best, rows])
-                best = rows.sort_values([ts, *order], kind="stable").head(1)
-        if best is not None and not state.exists:
-            state.update((True,))
-            state.setTimeoutTimestamp(max(int(best[ts].iloc[0].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-            yield best[names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    found = keyed.groupBy("tenant_id", "key").applyInPandasWithState(first, schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.unionByName(timed.filter("_key is null").drop("_key"))
+    A batch's rows meet by key and are sorted as columns, without a Python call for each key; Spark's own state then holds the keys that have passed, on
+    disk (the RocksDB state store, which is set for the session)."""
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    key = F.substring(F.btrim("key", F.lit(" \t\n\r\x0b\x0c")), 1, S.IDEMPOTENCY_KEY_CHARS)
+    named = attempts.withColumn("_key", F.when(key != "", key))
+    keyed = named.filter("_key is not null").withColumn("key", F.col("_key")).drop("_key")
+    best = keyed.repartition("tenant_id", "key").mapInArrow(_earliest(ts, order), keyed.schema)
+    found = best.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["tenant_id", "key"])
+    return found.unionByName(named.filter("_key is null").drop("_key").withWatermark(ts, delay))
 
 
 def weekly_activity_stream(queries: DataFrame, delay: str = "2 days", tz: str = S.LOCAL_TIME_ZONE, ts: str = "created_at") -> DataFrame:
@@ -87,7 +109,6 @@ def rolling_usage(daily: DataFrame, days: int = 30) -> DataFrame:
 
 
 _PAIR = "tenant_id string, conversation_id string, from_query_id string, to_query_id string"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _LastTurn(StatefulProcessor):

@@ -151,3 +151,21 @@ def test_a_turn_costs_few_state_calls():
     assert [(p.from_query_id, p.to_query_id) for p in pairs] == [("1", "2")] and calls == [("register", 11 * day)]
     assert list(last.handleExpiredTimer(("t", "c"), Watermark(12 * day), None)) == [] and calls[1:] == [("register", 14 * day)]
     assert list(last.handleExpiredTimer(("t", "c"), Watermark(14 * day), None)) == [] and last.last.now is None
+
+
+def test_first_attempts_keep_one_of_each_key(spark, tmp_path, monkeypatch):
+    """The earliest of a batch and the first batch win, with a bounded number of rows held; attempts without a time take part, those without a key pass."""
+    monkeypatch.setattr(T, "HELD", 3)
+    row = lambda n, key, minute, tenant="t": (tenant, n, key, None if minute is None else T0 + dt.timedelta(minutes=minute))
+    parts = [[row(9, "a", 5), row(1, " a\t", 3), row(2, "a", 3), row(3, None, 1), row(4, " ", 1), row(5, "a", 4, "u"), row(6, "n", None), row(7, "n", 8),
+              row(8, None, 1), row(20, "x" * 130, 2), row(21, "x" * 128, 1), row(22, "m", None), row(23, "a", 7, None), row(24, "a", 6, None)],
+             [row(30, "a", 0), row(31, "b", 9), row(32, "m", 9), row(33, "a", None)]]
+    source = f"{tmp_path}/in"
+    for part in parts:
+        spark.createDataFrame(part, "tenant_id string, event_id long, key string, created_at timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("tenant_id string, event_id long, key string, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = T.first_attempts(stream, "60 days", order=("event_id",))
+    assert out.columns == stream.columns
+    out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/o").awaitTermination()
+    got = sorted((r.event_id, r.key) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/o").collect())
+    assert got == [(1, "a"), (3, None), (4, " "), (5, "a"), (7, "n"), (8, None), (21, "x" * 128), (22, "m"), (24, "a"), (31, "b")]

@@ -105,19 +105,23 @@ def resolution_chain(hits: DataFrame, resolutions: DataFrame, chunks: DataFrame,
             .filter("binding_chunk_id is not null").join(d, "binding_doc_id").drop("_exact", "_exact_doc", "_first"))
 
 
-def append_terminals(hits: DataFrame, chain: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits plus the binding chunks that were not retrieved, ranked after them."""
+def appended_terminals(hits: DataFrame, chain: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The binding chunks that were not retrieved, as rows ranked after the hits of their question."""
     new = (chain.select("question_id", F.col("binding_chunk_id").alias("chunk_id"), "resolution_id")
            .join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
            .groupBy("question_id", "chunk_id").agg(F.min("resolution_id").alias("_o")))
     base = hits.groupBy("question_id").agg(F.max("rank").alias("_n"))
     keep = [c for c in hits.columns if c in chunks.columns and c not in ("chunk_id", "doc_id", "effective_date")]
     doc_cols = [c for c in hits.columns if c in docs.columns and c not in keep and c not in ("doc_id", "tenant_id")]
-    rows = (new.join(base, "question_id")
+    return (new.join(base, "question_id")
             .withColumn("rank", F.col("_n") + F.row_number().over(W.partitionBy("question_id").orderBy("_o", "chunk_id")))
             .join(chunks.select("chunk_id", "doc_id", *keep), "chunk_id").join(docs.select("doc_id", *doc_cols), "doc_id")
             .drop("_n", "_o"))
-    return hits.unionByName(rows, allowMissingColumns=True)
+
+
+def append_terminals(hits: DataFrame, chain: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits plus the binding chunks that were not retrieved, ranked after them."""
+    return hits.unionByName(appended_terminals(hits, chain, chunks, docs), allowMissingColumns=True)
 
 
 def open_escalations(chunks: DataFrame, docs: DataFrame, resolutions: DataFrame) -> DataFrame:

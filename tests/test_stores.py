@@ -169,3 +169,35 @@ def test_first_attempts_keep_one_of_each_key(spark, tmp_path, monkeypatch):
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/o").awaitTermination()
     got = sorted((r.event_id, r.key) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/o").collect())
     assert got == [(1, "a"), (3, None), (4, " "), (5, "a"), (7, "n"), (8, None), (21, "x" * 128), (22, "m"), (24, "a"), (31, "b")]
+
+
+def test_probe_meets_bounded_slices(spark, tmp_path, monkeypatch):
+    """A batch far larger than its store meets the one bucket in slices; every stored hash is still suspected."""
+    monkeypatch.setattr("docloom.operators.hash_store.PROBED", 20)
+    old, new = documents(spark, range(30)), documents(spark, range(600), 10_000)
+    store = HashStore.create(old, f"{tmp_path}/s", 30)
+    plan = store.suspects(new)._jdf.queryExecution().analyzed().toString()
+    assert store.n_buckets == 1 and "sequence(0, 29" in plan
+    assert {r["content_sha256"] for r in store.suspects(new).collect()} >= {f"{k:064x}" for k in range(30)}
+    want = sorted(r["doc_id"] for r in D.dedup_content(new, old).collect())
+    assert sorted(r["doc_id"] for r in store.fresh(new).collect()) == want
+
+
+def test_text_hashes_and_vectors_keep_their_rows(spark):
+    """More texts than a slice, nulls among them, stay with their hash and their vector; a failing call is tried again."""
+    from docloom.functions import pieces
+    from docloom.operators import vector as V8
+    texts = [None if k % 50 == 7 else "" if k % 50 == 8 else f"Text {k} é" for k in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["text_sha256"] for r in D.with_text_hash(rows).collect()}
+    assert got == {k: pieces.folded_hash(t) for k, t in enumerate(texts)}
+    calls = []
+
+    def embedder(part):
+        calls.append(len(part))
+        if len(calls) == 1:
+            raise ValueError("once")
+        assert len(part) <= 96
+        return [[float(len(t)), 1.0] if t else None for t in part]
+    found = {r["id"]: r["embedding"] for r in V8.embed(rows, "text", embedder).collect()}
+    assert found == {k: [float(len(t)), 1.0] if t else None for k, t in enumerate(texts)}

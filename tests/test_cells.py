@@ -112,3 +112,32 @@ def test_only_items_within_the_kth_distance_are_looked_at_singly(monkeypatch):
         want = sorted((x, i) for x, i in zip(d, items["item_id"]) if np.isfinite(x))[:5]
         assert list(zip(best[(r, 0)][1], best[(r, 0)][0])) == want
     assert sum(seen) < 20 * 4000 / 3
+
+
+def test_small_blocks_travel_together(spark):
+    """Blocks of a few rows don't multiply what is sent: questions and items of a small scope meet once, so no question has rows of several blocks."""
+    rng = np.random.default_rng(10)
+    items = table(spark, rng.integers(-1, 2, (600, 8)).astype(float), scopes=3).filter("array_max(embedding) > 0 or array_min(embedding) < 0")
+    asked = items.withColumnRenamed("chunk_id", "question_id")
+    same(V.nearest(asked, items, 5, broadcast_bytes=0, block_bytes=1000), V.nearest(asked, items, 5))
+    side = [F.col("tenant_id").alias("scope"), F.lit(None).cast("string").alias("owner"), "embedding"]
+    partial = V._by_blocks(asked.select(*side, "question_id", F.lit(0).alias("low"), F.lit(0).alias("high")),
+                           items.select(*side, F.col("chunk_id").alias("item_id"), F.lit(0).alias("bucket")), 5, V._OUT.format(q="long", v="long"), 128, 1000, [])
+    assert partial.count() == 5 * items.count()
+
+
+def test_pairs_near_the_kth_distance_are_measured_in_double_precision():
+    """Vectors that differ by less than single precision, and equal ones with ties by id."""
+    import pyarrow as pa
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(12)
+    vectors = np.stack([base + 1e-4 * (k % 7) * rng.standard_normal(12) for k in range(300)])
+    ids = [f"{k}:{k % 3}" for k in range(300)]
+    vs = pa.table({"item_id": ids, "bucket": pa.array([0] * 300, pa.int32()), "owner": [str(k % 5) for k in range(300)], "embedding": vectors.tolist()})
+    qs = pa.table({"question_id": list(range(40)), "low": pa.array([0] * 40, pa.int32()), "high": pa.array([0] * 40, pa.int32()),
+                   "owner": [None if k % 2 else "1" for k in range(40)], "embedding": vectors[:40].tolist()})
+    got = V._meet(qs, vs, 6, []).to_pydict()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for r in range(40):
+        want = sorted((round(1 - float(unit[r] @ unit[k]), 9), ids[k]) for k in range(300) if r % 2 or k % 5 != 1)[:6]
+        assert [(d, i) for q, d, i in zip(got["question_id"], got["dist"], got["item_id"]) if q == r] == want

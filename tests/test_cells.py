@@ -114,6 +114,35 @@ def test_only_items_within_the_kth_distance_are_looked_at_singly(monkeypatch):
     assert sum(seen) < 20 * 4000 / 3
 
 
+def test_questions_are_not_sent_once_for_each_cell(spark, monkeypatch):
+    """What is stored and sent grows with slices, not with cells: a question goes to its nearest cells and then once to each slice of items."""
+    rng = np.random.default_rng(8)
+    items = table(spark, rng.standard_normal((3000, 16)), scopes=2)  # without structure every question looks into every cell
+    asked = items.filter("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "question_id")
+    members, cells = C.build_cells(items, 50)
+    stored, keep = {}, C.store_table
+    monkeypatch.setattr(C, "store_table", lambda df, name: stored.setdefault(name, []).append(keep(df, name)) or stored[name][-1])
+    same(V.nearest(asked, members, 4, cells=cells), V.nearest(asked, items, 4))
+    assert sum(cells.products) > 0.9 * 1000 * 1500
+    assert sum(t.count() for name, tables in stored.items() if name != "cell-sizes" for t in tables) <= 8 * 1000
+
+
+def test_slices_and_shares(spark, monkeypatch, clustered):
+    """Many slices, a cell in several pieces, and limits from a share of the items: the rows of a full search."""
+    monkeypatch.setattr(V, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(C, "SHARED_FROM", 10)
+    rng = np.random.default_rng(9)
+    for vectors in (clustered[:900] + clustered[-30:], rng.integers(0, 3, (900, 8)).astype(float)):
+        items = table(spark, vectors, scopes=2)
+        members, cells = C.build_cells(items, 6)
+        asked = items.filter("chunk_id % 2 = 0").withColumnRenamed("chunk_id", "question_id")
+        options = dict(bucket=F.col("year"), low=F.lit(0), high=F.col("year"), question_owner="doc_id", item_owner="doc_id", carry=("doc_id",))
+        want = V.nearest(asked, items, 3, **options)
+        same(V.nearest(asked, members, 3, cells=cells, block_bytes=2000, **options), want)
+        assert len(cells.products) == 3
+        same(V.nearest(asked, items, 3, broadcast_bytes=0, block_bytes=2000, **options), want)
+
+
 def test_small_blocks_travel_together(spark):
     """Blocks of a few rows don't multiply what is sent: questions and items of a small scope meet once, so no question has rows of several blocks."""
     rng = np.random.default_rng(10)
